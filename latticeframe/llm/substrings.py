@@ -107,7 +107,8 @@ def runs_of(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 class Chunk:
     """A chunk's texts with its runs, and its entries: one for each different (hash, digest), in that order."""
 
-    def __init__(self, packed: bytes):
+    def __init__(self, packed: bytes, many: int = MANY):
+        self.most = many
         self.ids, self.ends, self.text = unzipped(packed, "<i8", "<i8", "u1")
         parts, at = [], 0
         while at < len(self.ends):  # about a megabyte at a time
@@ -134,14 +135,14 @@ class Chunk:
 
     def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(entry, hash, many): the entries that are told to the buckets, one for a hash with many."""
-        many = np.repeat(self.per_key > MANY, self.per_key)
+        many = np.repeat(self.per_key > self.most, self.per_key)
         lead = np.zeros(len(self.key), bool)
         lead[self.key_at] = True
         entry = np.flatnonzero(~many | lead)
         return entry, self.key[entry], many[entry]
 
 
-def pack_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK) -> DataFrame:
     """(chunk, packed): documents as they come, a few megabytes together, in order of id within a chunk."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +157,7 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for row in rows_of(batches, "doc_id", "content"):
             held.append(row)
             weight += len(row[1])
-            if weight >= CHUNK:
+            if weight >= chunk_bytes:
                 yield close()
                 held, weight = [], 0
         if held:
@@ -174,12 +175,12 @@ TOLD = pa.schema([("bucket", pa.int64()), ("chunk", pa.string()), ("entries", pa
 ROLES = pa.schema([("chunk", pa.string()), ("roles", pa.binary()), ("sent_bytes", pa.int64())])
 
 
-def tell(chunks: DataFrame, buckets: int) -> DataFrame:
+def tell(chunks: DataFrame, buckets: int, many: int = MANY) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sink(TOLD)
         for name, packed in rows_of(batches, "chunk", "packed"):
-            c = Chunk(packed)
-            entry, key, many = c.told()
+            c = Chunk(packed, many)
+            entry, key, dealt = c.told()
             bucket = bucket_of(key, buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -188,7 +189,7 @@ def tell(chunks: DataFrame, buckets: int) -> DataFrame:
                 if len(e):
                     at = entry[e]
                     digest = c.digest[at]
-                    out.add((b, name, zipped(at.astype("<u4"), key[e], digest.astype("<u4"), (digest >> np.uint64(32)).astype("<u2"), c.owner[at], many[e].astype("u1"), np.minimum(c.size[c.example[at]], 255).astype("u1"))), 16 * len(e))
+                    out.add((b, name, zipped(at.astype("<u4"), key[e], digest.astype("<u4"), (digest >> np.uint64(32)).astype("<u2"), c.owner[at], dealt[e].astype("u1"), np.minimum(c.size[c.example[at]], 255).astype("u1"))), 16 * len(e))
                 if out.full():
                     yield out.take()
         yield from out.rest()
@@ -279,7 +280,7 @@ def send(name: str, c: Chunk, role: np.ndarray, shards: int, out: Sink) -> None:
         out.add((s, name, zipped(at[e].astype("<i8"), owner[e].astype("<i8"), size[e].astype("<i8"), text)), len(text))
 
 
-def search(sent: pa.Table) -> pa.Table:
+def search(sent: pa.Table, block_bytes: int = BLOCK) -> pa.Table:
     """The windows of a shard's runs that also stand in a smaller document, by chunk."""
     names, parts = sent.column("chunk").to_pylist(), [unzipped(x, "<i8", "<i8", "<i8", "u1") for x in sent.column("runs").to_pylist()]
     texts, starts, owners, places = [], [], [], []
@@ -300,11 +301,11 @@ def search(sent: pa.Table) -> pa.Table:
         cut = np.r_[0, np.cumsum(size + LENGTH - 1)]
         a = 0
         while a < len(at):
-            b = max(a + 1, int(np.searchsorted(cut, cut[a] + BLOCK - held, side="right")) - 1)
+            b = max(a + 1, int(np.searchsorted(cut, cut[a] + block_bytes - held, side="right")) - 1)
             block.append((i, at[a:b], owner[a:b], size[a:b], text[cut[a] : cut[b]]))
             held += cut[b] - cut[a]
             a = b
-            if held >= BLOCK - LENGTH * 4:
+            if held >= block_bytes - LENGTH * 4:
                 close()
                 block, held = [], 0
     if block:
@@ -359,21 +360,21 @@ def finish(c: Chunk, role: np.ndarray, found: list[bytes], out: Sink) -> None:
         begin = end
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, bucket_entries: int = BUCKET, shard_bytes: int = SHARD, block_bytes: int = BLOCK, many: int = MANY) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
     docs = docs.where(F.col(id_col).isNotNull())
-    chunks = materialise(pack_chunks(docs, id_col, text_col), "chunks")
+    chunks = materialise(pack_chunks(docs, id_col, text_col, chunk_bytes), "chunks")
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(1, n_bytes // 18 // BUCKET + 1)  # about one run in eighteen bytes
-    roles = materialise(tell(chunks, buckets).groupBy("bucket").applyInArrow(assign, "chunk string, roles binary, sent_bytes long"), "roles")
-    shards = max(1, (roles.agg(F.sum("sent_bytes")).first()[0] or 0) // SHARD + 1)
+    buckets = max(1, n_bytes // 18 // bucket_entries + 1)  # about one run in eighteen bytes
+    roles = materialise(tell(chunks, buckets, many).groupBy("bucket").applyInArrow(assign, "chunk string, roles binary, sent_bytes long"), "roles")
+    shards = max(1, (roles.agg(F.sum("sent_bytes")).first()[0] or 0) // shard_bytes + 1)
     by_chunk = chunks.groupBy("chunk")
 
     def ship(packed: pa.Table, told: pa.Table) -> pa.Table:
         out = Sink(SENT)
         # chunks with the same texts have the same name; each row is one chunk
         for name, raw in zip(packed.column("chunk").to_pylist(), packed.column("packed").to_pylist(), strict=True):
-            c = Chunk(raw)
+            c = Chunk(raw, many)
             send(name, c, roles_of(c, told.column("roles").to_pylist()), shards, out)
         return pa.Table.from_batches([out.take()])
 
@@ -381,11 +382,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out, told_rows = Sink(RESULT), told.column("roles").to_pylist()
         roles_in, found = [x for x, k in zip(told_rows, told.column("kind").to_pylist(), strict=True) if k == 0], [x for x, k in zip(told_rows, told.column("kind").to_pylist(), strict=True) if k == 1]
         for raw in packed.column("packed").to_pylist():
-            c = Chunk(raw)
+            c = Chunk(raw, many)
             finish(c, roles_of(c, roles_in), found, out)
         return pa.Table.from_batches([out.take()])
 
     sent = by_chunk.cogroup(roles.groupBy("chunk")).applyInArrow(ship, "shard long, chunk string, runs binary")
-    found = sent.groupBy("shard").applyInArrow(search, "chunk string, windows binary")
+    found = sent.groupBy("shard").applyInArrow(lambda runs: search(runs, block_bytes), "chunk string, windows binary")
     told = roles.select("chunk", "roles", F.lit(0).alias("kind")).unionByName(found.select("chunk", F.col("windows").alias("roles"), F.lit(1).alias("kind")))
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(close, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
