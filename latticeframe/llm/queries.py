@@ -68,5 +68,33 @@ def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
 
+QUALITY_SQL = r"""
+with base as (select doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i+4], ' ') g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) i from base where len(ws) >= 5)),
+rep as (select doc_id, i from win qualify count(*) over (partition by doc_id, g) > 1),
+cov as (select doc_id, count(distinct i + k) n from rep cross join (select unnest(range(5)) k) group by doc_id),
+lines as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from base),
+m as (select b.doc_id, b.source, len(ws)::bigint n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(c.n, 0)::bigint n_repeat_words
+  from base b join lines using (doc_id) left join cov c using (doc_id)),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m),
+hosts as (select source, count(*) n, count(*) filter (where base_failed or 10 * n_symbols > 3 * n_words or 2 * n_dup_lines > n_words) failed from f group by source),
+prior as (select avg(failed / n) mu, var_samp(failed / n) v from hosts),
+p2 as (select case when v > 0 and v < mu * (1 - mu) then mu * (1 - mu) / v - 1 else 2.0 end w, case when v > 0 and v < mu * (1 - mu) then mu else 0.5 end mean from prior),
+bad as (select source from hosts cross join p2 where (failed + w * mean) / (n + w) > 0.6)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not exists (select 1 from bad where bad.source is not distinct from f.source) kept from f
+"""
+
+CONTAINMENT_SQL = r"""
+with texts as (select doc_id id, text, 0 kind from documents union all select item_id, text, 1 from benchmark),
+words as (select id, kind, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from texts),
+sh as (select distinct id, kind, array_to_string(ws[i:i+4], ' ') g from (select *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) i from words where len(ws) > 0)),
+items as (select id, g, count(*) over (partition by id) n from sh where kind = 1),
+met as (select d.id doc_id, i.id item_id, count(*) n_shared, max(n)::bigint n_shingles from sh d join items i using (g) where d.kind = 0 group by 1, 2)
+select doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles containment from met where n_shared / n_shingles >= 0.8
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": QUALITY_SQL, "op5_contained_items": CONTAINMENT_SQL}

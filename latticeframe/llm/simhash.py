@@ -105,7 +105,9 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
 
 
 def allocate(n: int, both: np.ndarray, limit: int) -> tuple[float, list[tuple[list[int], int]]]:
-    """The cheapest partitions and thresholds over numbers of partitions: (cost, [(bits, threshold)]); -1 leaves a partition out."""
+    """The cheapest partitions and thresholds over numbers of partitions: (cost, [(bits, threshold)]); -1 leaves a partition
+    out. A few fingerprints are costed as a thousand, for which probes of many bits do not pay either."""
+    n, both = (n, both) if n >= 1000 else (1000, np.full((BITS, BITS), 250) + np.diag(np.full(BITS, 250)))
     one = np.diag(both) / max(n, 1)
     differ = 2 * one * (1 - one)
     best: tuple[float, list] = (math.inf, [])
@@ -127,6 +129,10 @@ def allocate(n: int, both: np.ndarray, limit: int) -> tuple[float, list[tuple[li
     return best
 
 
+def _entered(part: int, own: Column, flips: list[int]) -> Column:
+    return F.transform(F.lit([signed(f) for f in flips]).cast("array<bigint>"), lambda f: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(f).alias("value")))
+
+
 def keys(partitions: list[tuple[list[int], int]]) -> Column:
     """All (partition, value) under which a fingerprint is entered."""
     entries = []
@@ -137,8 +143,8 @@ def keys(partitions: list[tuple[list[int], int]]) -> Column:
         flips = [0]
         for _ in range(threshold):
             flips = sorted({f ^ (1 << b) for f in flips for b in bits} | set(flips))
-        entries += [F.struct(F.lit(i).alias("part"), own.bitwiseXOR(F.lit(signed(f))).alias("value")) for f in flips]
-    return F.array(*entries)
+        entries.append(_entered(i, own, flips))
+    return F.flatten(F.array(*entries))
 
 
 def links_in_cell(fps: np.ndarray, nodes: np.ndarray, limit: int) -> list[tuple[int, int]]:
