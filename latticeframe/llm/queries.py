@@ -49,7 +49,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
     chain = toxicity.train_chain(docs, labels, categories)
-    return toxicity.score_chain(docs, chain, list(categories)).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return toxicity.score_chain(docs, chain, list(categories)).withColumn("toxic", F.col("p_toxic") >= 0.4)  # nearest to equal recall and precision on held-out labels
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted in order by logistic models over words; each later model also gets the earlier
+The categories are predicted in order by logistic models over words and their beginnings; each later model also gets the earlier
 categories' probabilities, which in training are out-of-fold predictions, so that it sees them as wrong as they will
 be. Words that speak for a category are chosen by their counts over the training sample.
 
@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 from latticeframe.llm.common import Sink, rows_of
 
 WORD = re.compile(r"[^\W\d_]+")
-FOLDS, MOST_WORDS, LEAST_TEXTS = 3, 512, 4
+FOLDS, MOST_WORDS, LEAST_TEXTS, STEMS = 3, 512, 4, (3, 4, 5, 6)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """Distinct words of a lower-cased text as sorted 63-bit hashes."""
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in set(WORD.findall((text or "").lower()))), np.int64))
+    """Distinct words of a lower-cased text and their beginnings, which inflected forms share, as sorted 32-bit hashes."""
+    words = set(WORD.findall((text or "").lower()))
+    for k in STEMS:
+        words |= {w[:k] + "-" for w in words if len(w) > k and w[-1] != "-"}
+    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)))
 
 
 @dataclass
@@ -48,7 +51,7 @@ class Link:
         return float(1 / (1 + np.exp(-(self.base + self.weights[at].sum() + self.earlier @ np.array(before)))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
     """Weights (the last for the constant) by Newton steps; the constant is not shrunk."""
     x = np.hstack([x, np.ones((len(x), 1))])
     shrink = np.full(x.shape[1], ridge)
@@ -65,7 +68,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
 
 def choose_words(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The words whose presence goes most with the label, by chi-square; sorted."""
-    flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    flat = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
     words, at = np.unique(flat, return_inverse=True)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     n = np.bincount(at, minlength=len(words))
@@ -87,7 +90,7 @@ def matrix(texts: list[np.ndarray], words: np.ndarray) -> np.ndarray:
 def fit_link(texts: list[np.ndarray], y: np.ndarray, before: np.ndarray) -> Link:
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
-        return Link(np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), float(np.log((rate + 1e-9) / (1 - rate + 1e-9))))
+        return Link(np.zeros(0, np.uint32), np.zeros(0), np.zeros(before.shape[1]), float(np.log((rate + 1e-9) / (1 - rate + 1e-9))))
     words = choose_words(texts, y)
     w = logistic(np.hstack([matrix(texts, words), before]), y)
     return Link(words, w[: len(words)], w[len(words) : -1], float(w[-1]))
@@ -109,7 +112,7 @@ def fit_chain(texts: list[np.ndarray], labels: np.ndarray) -> list[Link]:
     return chain
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_labelled: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
+def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_labelled: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
     """categories: name to a 0/1 column of labels, in the order of the chain."""
     names = list(categories)
     own = labels.select(F.col(id_col).alias("id"), *(c.cast("int").alias(name) for name, c in categories.items())).dropna()
@@ -128,7 +131,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # most_labelled rows of a few numbers
     rows = texts.select("id", *names, "text").mapInArrow(work, "id long, " + ", ".join(f"{name} int" for name in names) + ", words binary").collect()
     rows = sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0], bytes(r[-1])))
-    return fit_chain([np.frombuffer(bytes(r[-1]), np.int64) for r in rows], np.array([list(r[1:-1]) for r in rows]).reshape(len(rows), len(names)))
+    return fit_chain([np.frombuffer(bytes(r[-1]), np.uint32) for r in rows], np.array([list(r[1:-1]) for r in rows]).reshape(len(rows), len(names)))
 
 
 def score_chain(docs: DataFrame, chain: list[Link], names: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
