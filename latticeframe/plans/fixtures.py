@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeframe.operators.lattice import nearest_seed_label
-from latticeframe.plans.lineage import materialise
+from latticeframe.plans.lineage import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,16 +33,22 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select((F.col("s_suppkey").cast("long") + 1).alias("grain"), *at)
 
 
-@lru_cache(maxsize=8)
-def _labelled(app: str, sf_dir: str) -> DataFrame:
-    spark = SparkSession.getActiveSession()
-    found = nearest_seed_label(cells(spark, sf_dir), seeds(spark, sf_dir), size(spark, sf_dir))
-    return materialise(found.withColumn("set_id", F.lit(1).cast("long")), "voxels")
+_made: dict[tuple[str, str], tuple[str, object]] = {}
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, x, y, z, ck, grain, d, set_id), made once for a session and a folder."""
-    return _labelled(spark.sparkContext.applicationId, sf_dir)
+    """(k, x, y, z, ck, grain, d, set_id), written once for an application and a folder, and again if it has gone."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key in _made:
+        try:
+            return spark.read.schema(_made[key][1]).parquet(_made[key][0])
+        except AnalysisException:
+            del _made[key]
+    found = nearest_seed_label(cells(spark, sf_dir), seeds(spark, sf_dir), size(spark, sf_dir)).withColumn("set_id", F.lit(1).cast("long"))
+    path = f"{shared_dir(spark)}/voxels-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    _made[key] = path, found.schema
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
