@@ -166,7 +166,13 @@ def cluster_merge(spark, sf):
     return lattice.cluster_merge(_clusters(spark, sf), X.size(spark, sf))
 
 
-@query()
+# a cell fills in the round that is its distance to the nearest filled cell, from neighbours of the round before
+@query(f"""with recursive {X.SQL}, pm as materialized (select x, y, z, grain from porous),
+rd as materialized (select a.x, a.y, a.z, min(greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.z - b.z))) r from pm a cross join pm b where a.grain = 0 and b.grain > 0 group by 1, 2, 3),
+f(r, x, y, z, grain) as (select 0::bigint, x, y, z, grain from pm where grain > 0 union all
+  select f.r + 1, rd.x, rd.y, rd.z, min(((f.x - rd.x) * 9 + (f.y - rd.y) * 3 + f.z - rd.z + 13) * 1000000 + f.grain) % 1000000 from f join rd
+  on rd.r = f.r + 1 and abs(f.x - rd.x) <= 1 and abs(f.y - rd.y) <= 1 and abs(f.z - rd.z) <= 1 group by f.r, rd.x, rd.y, rd.z)
+select 1::bigint set_id, x, y, z, grain from f""")
 def void_fill(spark, sf):
     return lattice.void_fill(X.voxels_porous(spark, sf), X.size(spark, sf))
 
@@ -220,7 +226,7 @@ def lattice_order(spark, sf):
     return mesh.numbered(X.voxels(spark, sf), "x", ["y", "z"], "p").orderBy("x", "y", "z").select("x", "y", "z", "grain", (F.col("p") + 1).alias("position"))
 
 
-@query("with dim as (select cast(floor(cbrt(count(*)) + 1e-9) as bigint) n from orders), g as (select unnest(range(n*n*n)) i, n from dim) select i // (n*n) x, (i // n) % n y, i % n z, 0::bigint grain from g")
+@query("with dim as (select cast(floor(cbrt(count(*)) + 1e-9) as bigint) n from orders), g as (select unnest(range(n*n*n)) i, n from dim) select i // (n*n) x, (i // n) % n y, i % n z, 0::bigint grain from g", name="lattice")
 def lattice_cells(spark, sf):
     return lattice.lattice(spark, X.size(spark, sf))
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 FOUND: dict[str, tuple[Callable, str | None]] = {}
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a function of (spark, sf_dir) under its name. sql follows the fixtures' WITH list; one that starts with WITH or SELECT stands alone."""
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    """Register a function of (spark, sf_dir) under its own or the given name. sql follows the fixtures' WITH list; one that starts with WITH or SELECT stands alone."""
 
     def keep(f: Callable) -> Callable:
-        FOUND[f.__name__] = f, sql
+        FOUND[name or f.__name__] = f, sql
         return f
 
     return keep
