@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from latticeframe.operators import lattice, results
 from latticeframe.plans import fixtures as X
 from latticeframe.plans import queries_grains as G
-from latticeframe.plans.lineage import shared_dir
+from latticeframe.plans.lineage import materialise, shared_dir
 from latticeframe.plans.registry import query
 from latticeframe.sources import files, store
 from latticeframe.streaming import ingest
@@ -36,13 +36,13 @@ def _shown(nodes):
 @query(f"select {SHOWN} from nodes")
 def loadstep_text_scan(spark, sf):
     path = _folder(spark, "loadsteps")
-    files.write_loadsteps(X.node_results(spark, sf), path)
+    files.write_loadsteps(materialise(X.node_results(spark, sf), "nodes"), path)
     return _shown(files.read_loadsteps(spark, path))
 
 
 def _filled_store(spark, sf):
     root = _folder(spark, "store")
-    nodes, loads = X.node_results(spark, sf), X.load_cases(spark, sf)
+    nodes, loads = materialise(X.node_results(spark, sf), "nodes"), X.load_cases(spark, sf)
     own = X.table(spark, sf, "embeddings").select((F.col("vec_id") + 1).alias("grain"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(("phi1", "phi", "phi2"))))
     store.append_set(root, X.voxels(spark, sf), own, nodes.where("load_step <= 3"), loads)
     store.append_set(root, X.voxels_porous(spark, sf), own, nodes.where("load_step > 3"), loads)
@@ -100,7 +100,7 @@ def probability_csv(spark, sf):
 @query("select load_step, count(*) n, round(min(sx), 6) low, round(max(sx), 6) high from nodes group by 1")
 def loadstep_stream_ingest(spark, sf):
     source, kept, marks = (_folder(spark, f"stream-{x}") for x in ("in", "store", "marks"))
-    nodes = X.node_results(spark, sf)
+    nodes = materialise(X.node_results(spark, sf), "nodes")
     for part in (nodes.where("load_step <= 4"), nodes.where("load_step > 4")):  # files arrive in two goes
         files.write_loadsteps(part, f"{source}/{uuid.uuid4().hex}")
         ingest.ingest_loadsteps(spark, source, kept, marks)

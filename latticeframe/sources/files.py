@@ -42,21 +42,21 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_loadsteps(nodes: DataFrame, path: str) -> None:
-    """Text of fixed-width fields in a folder for each load step, with a header line in each file."""
+    """Text of fixed-width fields in one job: a folder `ls=<n>` for each load step with one file, a header line first,
+    then the nodes in order of id. Readers take the step from the name, as in files `ls_<n>.csv`."""
     form = ";".join(["%16.0f"] + ["%16.8E"] * (len(STORED) - 1)) + ";"
-    line = F.format_string(form, *(F.col(c).cast("double") for c in STORED)).alias("value")
-    header = nodes.sparkSession.createDataFrame([(";".join(c.rjust(WIDTH) for c in STORED) + ";",)], "value string")
-    steps = [r[0] for r in nodes.select("load_step").distinct().orderBy("load_step").collect()]  # a row for each load step
-    for step in steps:
-        body = nodes.where(F.col("load_step") == step).select(F.col("id").alias("k"), line)
-        rows = header.select(F.lit(-1).cast("long").alias("k"), "value").unionByName(body)
-        rows.repartitionByRange(1, "k").sortWithinPartitions("k").select("value").write.mode("overwrite").text(f"{path}/ls_{step}.csv")
+    line = F.format_string(form, *(F.col(c).cast("double") for c in STORED))
+    header = F.lit(";".join(c.rjust(WIDTH) for c in STORED) + ";")
+    body = nodes.select(F.col("load_step").alias("ls"), F.col("id").alias("k"), line.alias("value"))
+    heads = nodes.select(F.col("load_step").alias("ls")).distinct().select("ls", F.lit(None).cast("long").alias("k"), header.alias("value"))
+    rows = heads.unionByName(body).repartition("ls").sortWithinPartitions("ls", F.col("k").asc_nulls_first())
+    rows.select("ls", "value").write.mode("overwrite").partitionBy("ls").text(path)
 
 
 def parse_loadsteps(lines: DataFrame) -> DataFrame:
     """Lines (value, path) to node rows: 19 fields of 16 characters every 17, the load step from the path; header and short lines go."""
     fields = [F.trim(F.substring("value", STRIDE * j + 1, WIDTH)).try_cast("double").alias(c) for j, c in enumerate(STORED)]
-    step = F.regexp_extract("path", r"ls_(\d+)\.csv", 1).cast("int").alias("load_step")
+    step = F.regexp_extract("path", r"ls[_=](\d+)", 1).cast("int").alias("load_step")
     return lines.select(step, *fields).where(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long"))
 
 
