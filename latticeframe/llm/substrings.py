@@ -35,6 +35,8 @@ MANY = 64
 #: Text bytes of a chunk, entries of a bucket, text bytes of a shard, and of a block with a suffix array of its own.
 CHUNK, BUCKET, SHARD, BLOCK = 6 << 20, 400_000, 1_500_000, 3_000_000
 KEEP, WHOLE, SEND, DEAL = 0, 1, 2, 3
+#: Bytes that are hashed at a time.
+PIECE = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,11 +113,14 @@ class Chunk:
         self.most = many
         self.ids, self.ends, self.text = unzipped(packed, "<i8", "<i8", "u1")
         parts, at = [], 0
-        while at < len(self.ends):  # about a megabyte at a time
-            begin = self.ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(self.ends, begin + (1 << 20))))
-            found = runs_of(self.text[begin : self.ends[to - 1]], self.ends[at:to] - begin)
-            parts.append((*found[:2], found[2] + at, found[3] + begin, found[4]))
+        while at < len(self.ends):  # documents of about a megabyte together; a longer one in pieces that share no window
+            begin = int(self.ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(self.ends, begin + PIECE)))
+            end = int(self.ends[to - 1])
+            for a in range(begin, end, PIECE) if to == at + 1 else [begin]:
+                b = min(end, a + PIECE + LENGTH - 1) if to == at + 1 else end
+                found = runs_of(self.text[a:b], self.ends[at:to] - a if to > at + 1 else np.array([b - a]))
+                parts.append((*found[:2], found[2] + at, found[3] + a, found[4]))
             at = to
         key, digest, self.doc, self.first, self.size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else runs_of(self.text, self.ends)
         order = np.lexsort((digest, key))
@@ -326,7 +331,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 def finish(c: Chunk, role: np.ndarray, found: list[bytes], out: Sink) -> None:
     """Each document of a chunk without the bytes under repeated windows."""
-    change = np.zeros(len(c.text) + 1, np.int64)
+    change = np.zeros(len(c.text) + 1, np.int32)
     whole = (c.ids[c.doc] > c.owner[c.entry]) | (role[c.entry] == WHOLE)
     np.add.at(change, c.first[whole], 1)
     np.add.at(change, c.first[whole] + c.size[whole] + LENGTH - 1, -1)

@@ -84,6 +84,17 @@ def test_against_brute_force(spark, limits):
     assert found == brute([(i, (t or "").encode()) for i, t in rows])
 
 
+def test_long_documents_in_pieces(monkeypatch):
+    """Pieces cut runs but change no window's hash."""
+    rng = random.Random(4)
+    raw = bytes(rng.choice(b"abc ") for _ in range(5000))
+    packed = S.zipped(np.array([1], "<i8"), np.array([len(raw)], "<i8"), np.frombuffer(raw, np.uint8))
+    windows = lambda c: {p: int(c.key[e]) for e, f, n in zip(c.entry, c.first, c.size, strict=True) for p in range(f, f + n)}
+    whole = windows(S.Chunk(packed))
+    monkeypatch.setattr(S, "PIECE", 700)
+    assert windows(S.Chunk(packed)) == whole and len(whole) == len(raw) - 49
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(docs).count() == 0
