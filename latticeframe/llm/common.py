@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that are turned into Python objects at a time, and bytes after which an output batch is sent.
 SLICE_ROWS, FLUSH_BYTES = 256, 4 << 20
+WHITE = re.compile(rb"[ \t-\r]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,22 @@ def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]
             yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
 
 
+def word_lists(raw: bytes, k: int, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Lower-cased (A-Z) words of a text, about a megabyte of it at a time, for shingles of k words: each list starts with
+    the last k - 1 words of the one before, so every shingle is in one list. A text of fewer words is one list."""
+    at, kept, told = 0, [], False
+    while at < len(raw) or not told:
+        gap = WHITE.search(raw, at + size) if at + size < len(raw) else None
+        end = gap.start() if gap else len(raw)
+        words = kept + raw[at:end].lower().split()
+        at, kept = end, words[-(k - 1) :]
+        if len(words) >= k or (end == len(raw) and not told):
+            told = True
+            yield words
+        if end == len(raw):
+            break
+
+
 class Sink:
     """Collects output rows and hands them on as batches of a few megabytes."""
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Sink, rows_of, text_bytes
+from latticeframe.llm.common import Sink, rows_of, text_bytes, word_lists
 from latticeframe.plans.lineage import materialise
 
 WORDS = 5
@@ -94,20 +94,20 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8, id_co
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, out = table.value, Sink(schema)
         for row, doc, raw in rows_of(batches, "row", "doc_id", "content"):
-            words = raw.lower().split()
-            hashes = shingle_hashes(words)
-            at = hashes & np.uint64(FILTER_BITS - 1)
-            hits = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-            if len(hits):
-                found = {b" ".join(words[i : i + WORDS]): i for i in hits.tolist()}
-                for s, i in found.items():
-                    out.add((row, doc, int(hashes[i].view(np.int64)), s), len(s))
-                if out.full():
-                    yield out.take()
+            found: dict[bytes, int] = {}
+            for words in word_lists(raw, WORDS):
+                hashes = shingle_hashes(words)
+                at = hashes & np.uint64(FILTER_BITS - 1)
+                hits = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                found |= {b" ".join(words[i : i + WORDS]): int(hashes[i].view(np.int64)) for i in hits.tolist()}
+            for s, h in found.items():
+                out.add((row, doc, h, s), len(s))
+            if out.full():
+                yield out.take()
         yield from out.rest()
 
     # rows that share an id (or have none) are told apart by the hash of their content
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("content")).withColumn("row", F.xxhash64("content"))
     held = base.mapInArrow(look_up, "row long, doc_id long, hash long, shingle binary")
-    met = held.join(shingles, ["hash", "shingle"]).groupBy("row", "doc_id", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"), F.max("in_sketch").alias("candidate"))
+    met = held.join(shingles, ["hash", "shingle"]).groupBy("row", "doc_id", "item_id", "n_shingles").agg(F.count_distinct("shingle").alias("n_shared"), F.max("in_sketch").alias("candidate"))
     return met.where("candidate").withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= share).select("doc_id", "item_id", "n_shared", "n_shingles", "containment")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Sink, rows_of, text_bytes
+from latticeframe.llm.common import Sink, rows_of, text_bytes, word_lists
 from latticeframe.operators.components import connected_components
 from latticeframe.plans.lineage import materialise
 
@@ -33,18 +33,19 @@ PROBE_COST = 20.0
 
 def fingerprint(raw: bytes) -> int:
     """Majority of the shingles' 64-bit hashes, bit by bit, as an unsigned integer."""
-    words = raw.lower().split()
-    if not words:
-        return 0
-    text = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(SHINGLE, len(words))
-    hashes = np.array([xxhash.xxh64_intdigest(text[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    ones, n = np.zeros(BITS, np.int64), 0
+    for words in word_lists(raw, SHINGLE):
+        if not words:
+            return 0
+        text = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        k = min(SHINGLE, len(words))
+        hashes = np.array([xxhash.xxh64_intdigest(text[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+        for at in range(0, len(hashes), 4096):
+            ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
 def signed(value: int) -> int:

@@ -264,7 +264,8 @@ def test_containment(spark):
             at = rng.randint(0, len(body))
             body[at:at] = part
         rows.append((d, " ".join(body).upper() if d % 5 == 0 else " \n".join(body), "h"))
-    rows.append(rows[10])
+    half = " ".join(items[7][1].split()[: len(items[7][1].split()) // 2 + 3])
+    rows += [rows[10], (500, half, "h"), (500, half, "h")]  # a repeated row does not add up to an item
     shingles = lambda t: (lambda w: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split())
     plain = {(d, i) for d, t, _ in rows for i, s in items if shingles(s) and len(shingles(t) & shingles(s)) >= 0.8 * len(shingles(s)) - 1e-9}
     table = spark.createDataFrame(rows, "doc_id long, text string, hash string")
@@ -273,6 +274,22 @@ def test_containment(spark):
     assert containment.contained_items(table.where("false"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_word_lists_hold_every_shingle_once():
+    from latticeframe.llm.common import word_lists
+
+    rng = random.Random(3)
+    for _ in range(300):
+        raw = "".join(rng.choice(["A", "b", "cde", " ", "\n", "  "]) for _ in range(rng.randint(0, 60))).encode()
+        words = raw.lower().split()
+        for k in (3, 5):
+            for size in (1, 5, 17, 1000):
+                lists = list(word_lists(raw, k, size))
+                if len(words) < k:
+                    assert lists == [words]
+                else:
+                    assert [tuple(x[i : i + k]) for x in lists for i in range(len(x) - k + 1)] == [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+
+
 def test_sketches_are_long_enough():
     for n in range(1, 3000):
         need = -(-8 * n // 10)
