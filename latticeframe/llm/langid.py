@@ -55,10 +55,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pseud
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(held[at])], ["lang", "bin", "n"])
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    if (n := rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages or more; a model for more than {MOST_LANGUAGES} is not sent to all tasks")
     counts = rows.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()  # languages x bins
     langs = sorted(set(counts.column("lang").to_pylist()))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; a model for more than {MOST_LANGUAGES} is not sent to all tasks")
     table = np.full((len(langs), BINS), pseudo)
     index = {x: i for i, x in enumerate(langs)}
     np.add.at(table, ([index[x] for x in counts.column("lang").to_pylist()], counts.column("bin").to_numpy()), counts.column("n").to_numpy())
