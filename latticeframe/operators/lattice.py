@@ -72,8 +72,9 @@ def fill_fraction(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("set_id").agg(filled.alias("fill_fraction"), F.min(F.col("grain") > 0).alias("complete"))
 
 
-def slice_components(voxels: DataFrame) -> DataFrame:
-    """(set_id, z, grain, x, y, lbl): like cells joined by edges in a slice; lbl is the first cell's rank by (y, x).
+def slice_components(voxels: DataFrame, stride: int = 1000) -> DataFrame:
+    """(set_id, z, grain, x, y, lbl): like cells joined by edges in a slice; lbl is the first cell's y * stride + x.
+    stride: as large as the lattice's edge at least.
 
     Cells along x are first compressed to runs, runs of neighbouring rows that overlap are linked, and the runs'
     components are found."""
@@ -81,12 +82,13 @@ def slice_components(voxels: DataFrame) -> DataFrame:
     starts = voxels.where("grain > 0").withColumn("new", F.coalesce(((F.lag("grain").over(line) != F.col("grain")) | (F.lag("x").over(line) != F.col("x") - 1)).cast("int"), F.lit(1)))
     numbered = starts.withColumn("run", F.sum("new").over(line))
     runs = numbered.groupBy("set_id", "z", "y", "grain", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = materialise(runs.withColumn("lbl", F.col("y") * 1000 + F.col("x0")), "runs")
+    runs = materialise(runs.withColumn("lbl", F.col("y") * stride + F.col("x0")), "runs")
     below = runs.select("set_id", "z", "grain", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("lbl").alias("b_lbl"))
-    node = lambda lbl: (F.col("set_id") * 1000 + F.col("z")) * 1000000 + F.col(lbl)
+    slot = stride * stride
+    node = lambda lbl: (F.col("set_id") * stride + F.col("z")) * slot + F.col(lbl)
     edges = runs.join(below, ["set_id", "z", "grain", "y"]).where("x0 <= b1 and b0 <= x1").select(node("lbl").alias("u"), node("b_lbl").alias("v"))
     found = materialise(connected_components(edges), "slice-components")
-    named = runs.withColumn("node", node("lbl")).join(found, "node", "left").withColumn("lbl", F.coalesce(F.col("component") % 1000000, F.col("lbl")))
+    named = runs.withColumn("node", node("lbl")).join(found, "node", "left").withColumn("lbl", F.coalesce(F.col("component") % slot, F.col("lbl")))
     return named.select("set_id", "z", "grain", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "lbl")
 
 
@@ -96,7 +98,7 @@ def slice_grains(voxels: DataFrame, n: int) -> DataFrame:
     like = lambda f, w, c, d: F.coalesce((f("grain").over(w) == F.col("grain")) & (f(c).over(w) == F.col(c) + d), F.lit(False))
     inner = like(F.lag, rows, "x", -1) & like(F.lead, rows, "x", 1) & like(F.lag, columns, "y", -1) & like(F.lead, columns, "y", 1)
     edge = voxels.withColumn("edge", (~inner).cast("int")).where("grain > 0").select(*CELL, "edge")
-    cells = slice_components(voxels).join(edge, CELL)
+    cells = slice_components(voxels, max(1000, n)).join(edge, CELL)
     found = cells.groupBy("set_id", "z", "grain", F.col("lbl").alias("component")).agg(F.count(F.lit(1)).alias("area"), F.sum("edge").alias("perimeter"))
     area, p = F.col("area"), F.col("perimeter")
     found = found.withColumn("norm_area", area / float(n * n)).withColumn("ecr", F.sqrt(F.col("norm_area") / PI_2D))
