@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticeframe.llm.common import Sink, rows_of, text_bytes
 from latticeframe.plans.lineage import materialise
@@ -102,3 +103,23 @@ def quality_rules(docs: DataFrame, host_limit: float = 0.6, id_col: str = "doc_i
     rejected = host_rates(measured).where(F.col("shrunk_rate") > host_limit).select("host", F.lit(True).alias("rejected"))
     joined = measured.join(rejected, measured["host"].eqNullSafe(rejected["host"]), "left").drop(rejected["host"])
     return joined.select("doc_id", *MEASURES, base_failed().alias("base_failed"), (~base_failed() & F.col("rejected").isNull()).alias("kept"))
+
+
+def keep_documents(docs: DataFrame, host_limit: float = 0.6, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows and columns of documents that quality_rules keeps. The texts are measured once and written with their
+    measures, so that only hosts, never texts, are joined where the rejected hosts are few."""
+    own = T.StructType([T.StructField("doc", docs.schema), T.StructField("host", T.StringType()), *(T.StructField(m, T.LongType()) for m in MEASURES)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                doc = pa.StructArray.from_arrays(part.columns, part.schema.names)
+                found = list(zip(*(measures((t or "").encode()) for t in part.column(text_col).to_pylist()), strict=True))
+                host = part.column(host_col).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([doc, host, *(pa.array(c, pa.int64()) for c in found)], ["doc", "host", *MEASURES])
+
+    measured = materialise(docs.mapInArrow(work, own), "measured")
+    rejected = materialise(host_rates(measured).where(F.col("shrunk_rate") > host_limit).select(F.col("host").alias("rejected")), "rejected-hosts")
+    kept = measured.where(~base_failed())
+    return kept.join(rejected, kept["host"].eqNullSafe(rejected["rejected"]), "left_anti").select("doc.*")
