@@ -15,12 +15,14 @@ from latticeframe.plans.lineage import materialise
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _those(docs, quality.quality_rules(docs).where("kept"))
+    return quality.keep_documents(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return _those(docs, simhash.near_duplicates(docs).where("doc_id = component_id"))
+    kept = materialise(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    # the kept ids grow with the input, so both sides are always dealt by id
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +43,6 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def _those(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    ids = materialise(kept.select("doc_id").distinct(), "kept")
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
-
-
 STAGES = [
     ("quality rules", quality_stage),
     ("near-dedup", near_dedup_stage),
