@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from latticeframe.llm import vocab
 from latticeframe.llm.common import Sink, rows_of, text_bytes
+from latticeframe.plans.lineage import materialise
 
 STORE = "digest binary, n_tokens long, version string"
 
@@ -83,4 +84,6 @@ def count_tokens(docs: DataFrame, store_path: str, tokenizer_path: str = vocab.B
 
     misses.mapInArrow(encode, STORE).write.mode("append").parquet(store_path)
     keyed = content.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), digest)
-    return keyed.join(stored_counts(spark, store_path, version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    # a digest may stand for a third of all rows: a join of two plain tables is one whose large keys Spark can split
+    counts = materialise(stored_counts(spark, store_path, version), "counts")
+    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
