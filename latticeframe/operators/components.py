@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from latticeframe.plans.lineage import materialise
 
 
+#: Edges up to which a round is one job.
+SMALL = 1000
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) of every node that has an edge; component is its smallest reachable node.
 
@@ -23,10 +27,12 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), "least")
+        # a node may have a third of all edges: joins of plain tables are ones whose large keys Spark can split
+        plain = materialise if state[0] > SMALL else lambda df, _: df
+        least = plain(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "large")
-        lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        large = plain(large, "large")
+        lowest = plain(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = materialise(small.where("u != v").distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
