@@ -1,4 +1,4 @@
-"""A training corpus in five stages: quality rules, SimHash near-dedup, benchmark decontamination, secret scans, encoding.
+"""A training corpus in five stages: quality rules, near-dedup, benchmark decontamination, secret scans, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
 columns of `documents`. Nulls, empty texts, repeated rows and further columns are handled as the operators say.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeframe.llm import bpe, containment, quality, secrets, simhash
+from latticeframe.llm import bpe, containment, near_copies, quality, secrets
 from latticeframe.plans.lineage import materialise
 
 
@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    kept = materialise(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    """One document of each group that five-word Jaccard similarity of at least 0.8 connects: the one with the smallest id."""
+    kept = materialise(near_copies.kept_ids(docs), "kept")
     # the kept ids grow with the input, so both sides are always dealt by id
     return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
