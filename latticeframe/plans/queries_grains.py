@@ -141,6 +141,15 @@ def near_cell_join(spark, sf):
     return lattice.near_cell_pairs(X.labelled(spark, sf).where("ck % 10 = 0").select(F.col("k").alias("id"), "x", "y", "z"), 3)
 
 
+# all filled cells of the porous lattice are points; touching cells are met by offset
+@query(""", ce as materialized (select x // 3 cx, y // 3 cy, z // 3 cz, k id from vox where ck % 10 <> 0),
+near as (select a.dx, b.dy, c.dz from (values (-1), (0), (1)) a(dx) cross join (values (-1), (0), (1)) b(dy) cross join (values (-1), (0), (1)) c(dz)),
+sp as (select cx + dx cx, cy + dy cy, cz + dz cz, id from ce cross join near)
+select a.id id_a, b.id id_b from ce a join sp b on a.cx = b.cx and a.cy = b.cy and a.cz = b.cz and a.id < b.id""")
+def near_cell_join_filled(spark, sf):
+    return lattice.near_cell_pairs(X.labelled(spark, sf).where("ck % 10 <> 0").select(F.col("k").alias("id"), "x", "y", "z"), 3)
+
+
 CLUSTERS = "cl as (select x, y, z, k + 1 as cluster from vox where ck % 3 = 0)"
 
 
