@@ -175,6 +175,20 @@ def cluster_merge(spark, sf):
     return lattice.cluster_merge(_clusters(spark, sf), X.size(spark, sf))
 
 
+@query(f"""with recursive {X.SQL}, cl as materialized (select x, y, z, k + 1 as cluster from vox where ck % 10 <> 0),
+six as materialized (select * from (values (-1,0,0),(1,0,0),(0,-1,0),(0,1,0),(0,0,-1),(0,0,1)) t(dx,dy,dz)),
+cc(x, y, z, cluster, merged) using key (x, y, z) as (
+  select x, y, z, cluster, cluster from cl
+  union
+  select c.x, c.y, c.z, c.cluster, min(n.merged) from cc n cross join six s join recurring.cc c
+    on c.x = n.x + s.dx and c.y = n.y + s.dy and c.z = n.z + s.dz
+  group by c.x, c.y, c.z, c.cluster, c.merged having min(n.merged) < c.merged)
+select x, y, z, cluster, merged from cc""")
+def cluster_merge_filled(spark, sf):
+    cells = X.labelled(spark, sf).where("ck % 10 <> 0").select("x", "y", "z", (F.col("k") + 1).alias("cluster"))
+    return lattice.cluster_merge(cells, X.size(spark, sf))
+
+
 # a cell fills in the round that is its distance to the nearest filled cell, from neighbours of the round before
 @query(f"""with recursive {X.SQL}, pm as materialized (select x, y, z, grain from porous),
 rd as materialized (select a.x, a.y, a.z, min(greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.z - b.z))) r from pm a cross join pm b where a.grain = 0 and b.grain > 0 group by 1, 2, 3),

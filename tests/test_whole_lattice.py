@@ -4,6 +4,7 @@ import itertools
 
 import __spark_entry__ as entry
 from latticeframe.plans import fixtures as X
+from tests.test_lattice import flood
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +21,10 @@ def test_near_cells_of_all_filled_cells(spark):
     plain = {(a, b) for at, ids in blocks.items() for o in near for a in ids for b in blocks.get(tuple(map(sum, zip(at, o, strict=True))), []) if a < b}
     rows = [tuple(r) for r in entry.queries()["near_cell_join_filled"](spark, SF).select("id_a", "id_b").collect()]
     assert len(rows) == len(plain) and set(rows) == plain
+
+
+def test_merge_of_all_filled_cells(spark):
+    cells = filled(spark)
+    plain = flood(dict.fromkeys(cells, 1), [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)])
+    found = {(r.x, r.y, r.z): r.merged for r in entry.queries()["cluster_merge_filled"](spark, SF).collect()}
+    assert found == {at: cells[first] + 1 for at, first in plain.items()}
