@@ -110,6 +110,13 @@ def strain_displacement(spark, sf):
     return cells.join(X.load_cases(spark, sf), "load_step").select("load_step", "x", "y", "z", *(F.round(c * 1e4, 6).alias(n) for n, c in zip(("ux", "uy", "uz"), u, strict=True)))
 
 
+@query("select load_step, x, y, z, " + ", ".join(f"round(({e}) * 1e4, 6) {u}" for u, e in (("ux", "exx*x + exy*y + exz*z"), ("uy", "exy*x + eyy*y + eyz*z"), ("uz", "exz*x + eyz*y + ezz*z"))) + " from lat cross join loads")
+def strain_displacement_all(spark, sf):
+    u = S.displacement("x", "y", "z", "exx", "eyy", "ezz", "exy", "eyz", "exz")
+    both = X.cells(spark, sf).crossJoin(F.broadcast(X.load_cases(spark, sf)))  # a case for each nation
+    return both.select("load_step", "x", "y", "z", *(F.round(c * 1e4, 6).alias(n) for n, c in zip(("ux", "uy", "uz"), u, strict=True)))
+
+
 FACE = "(least(x, y, z) <= 0.25 or greatest(x, y, z) >= n - 1.25)"
 
 
@@ -191,6 +198,11 @@ def safe_mean(spark, sf):
     return own.groupBy(F.col("p_size").cast("long").alias("size")).agg(F.round(F.coalesce(F.avg(F.when(F.col("p_partkey") % 7 == 0, F.col("p_retailprice").cast("double"))), F.lit(0.0)), 6).alias("mean"))
 
 
+@query("select event_type, round(coalesce(avg(value::double), 0.0), 6) mean from events group by event_type")
+def safe_mean_events(spark, sf):
+    return X.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.coalesce(F.avg(F.col("value").cast("double")), F.lit(0.0)), 6).alias("mean"))
+
+
 @query("select l.load_step, x, y, z, round(coalesce(m.sx, 0), 6) as value from (select load_step, lat.* from lat cross join (select distinct load_step from nodes) s) l left join nodes m using (load_step, x, y, z)")
 def value_at_coord(spark, sf):
     nodes = X.node_results(spark, sf)

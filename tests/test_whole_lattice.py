@@ -1,6 +1,7 @@
 """Queries over all cells against brute force on the smallest tables."""
 
 import itertools
+import math
 
 import __spark_entry__ as entry
 from latticeframe.plans import fixtures as X
@@ -28,3 +29,23 @@ def test_merge_of_all_filled_cells(spark):
     plain = flood(dict.fromkeys(cells, 1), [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)])
     found = {(r.x, r.y, r.z): r.merged for r in entry.queries()["cluster_merge_filled"](spark, SF).collect()}
     assert found == {at: cells[first] + 1 for at, first in plain.items()}
+
+
+def test_displacements_under_every_load_case(spark):
+    cells = [(r.x, r.y, r.z) for r in X.cells(spark, SF).collect()]
+    loads = {r.load_step: r for r in X.load_cases(spark, SF).collect()}
+    rows = {(r.load_step, r.x, r.y, r.z): r for r in entry.queries()["strain_displacement_all"](spark, SF).collect()}
+    assert set(rows) == {(s, *at) for s in loads for at in cells}
+    for (step, x, y, z), r in rows.items():
+        e = loads[step]
+        assert math.isclose(r.uy, (e.exy * x + e.eyy * y + e.eyz * z) * 1e4, abs_tol=1e-6)
+
+
+def test_mean_of_all_event_values(spark):
+    values = {}
+    for r in X.table(spark, SF, "events").select("event_type", "value").collect():
+        values.setdefault(r.event_type, []).append(r.value)
+    found = dict(entry.queries()["safe_mean_events"](spark, SF).select("event_type", "mean").collect())
+    plain = {k: [v for v in vs if v is not None] for k, vs in values.items()}
+    assert set(found) == set(plain)
+    assert all(math.isclose(found[k], sum(v) / len(v) if v else 0.0, abs_tol=1e-6) for k, v in plain.items())
