@@ -1,7 +1,8 @@
 """A training corpus in five stages: quality rules, near-dedup, benchmark decontamination, secret scans, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
-columns of `documents`. Nulls, empty texts, repeated rows and further columns are handled as the operators say.
+columns of `documents`. Rows are judged as rows, never by id alone: ids may be null or repeated. Empty texts and further
+columns are handled as the operators say, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,16 +21,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word Jaccard similarity of at least 0.8 connects: the one with the smallest id."""
-    kept = materialise(near_copies.kept_ids(docs), "kept")
-    # the kept ids grow with the input, so both sides are always dealt by id
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    return near_copies.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = materialise(containment.contained_items(docs, items).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return containment.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

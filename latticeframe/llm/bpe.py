@@ -5,7 +5,11 @@ scans that share one boundary share all later ones: chunks are stitched at the f
 both scans found, and where a piece outruns the overlap the scan goes on over the joined text until they meet. Then
 the pieces are encoded. Decoding joins the tokens' raw bytes.
 
-Null text is empty: no ids and no bytes. Repeated rows give repeated results. Extra columns are ignored.
+Pieces are cut as the rank library cuts them, whatever versions of Unicode it and the splitter here follow (vocab.py).
+
+Null text is empty: no ids and no bytes. Rows without an id are encoded like others. Repeated rows give repeated
+results. A text of any length is one row; beyond chunk_chars it is cut, and a piece may be as long as the text. Extra
+columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +20,6 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,22 +37,22 @@ class PieceIds(dict):
 
     def __init__(self, encoding, most: int = 400_000):
         super().__init__()
-        self.encode_piece, self.most = encoding._encode_single_piece, most
+        self.encode_piece, self.most = encoding.encode_to_numpy, most
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = np.asarray(self.encode_piece(piece), "<u4").tobytes()
+        ids = self.encode_piece(piece, disallowed_special=()).astype("<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
 
 @functools.lru_cache(maxsize=2)
-def codec(ranks_path: str, pattern: str):
-    """(pattern, piece table, token bytes by id) for this process."""
+def codec(ranks_path: str, pattern: str, changes: tuple):
+    """(splitter, piece table, token bytes by id) for this process."""
     by_id = {rank: token for token, rank in vocab.read_ranks(ranks_path).items()}
-    return regex.compile(pattern), PieceIds(vocab.rank_encoding(ranks_path, pattern)), by_id
+    return vocab.Splitter(pattern, changes), PieceIds(vocab.piece_encoding(ranks_path)), by_id
 
 
 def decode_ids(ids: bytes, by_id: dict[int, bytes]) -> bytes:
@@ -100,11 +103,12 @@ def encode_decode(docs: DataFrame, ranks_path: str = vocab.BYTE_RANKS, pattern:
     """(doc_id, ids, decoded): ids as little-endian unsigned 32-bit integers, and the bytes they stand for."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spec = "doc_id long, ids binary, decoded binary"
+    changes = vocab.class_changes()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (rx, table, by_id), out = codec(ranks_path, pattern), Sink(ENCODED)
+        (splitter, table, by_id), out = codec(ranks_path, pattern, changes), Sink(ENCODED)
         for doc, text in rows_of(batches, "doc_id", "text"):
-            ids = b"".join(map(table.__getitem__, rx.findall(text)))
+            ids = b"".join(map(table.__getitem__, splitter.pieces(text)))
             out.add((doc, ids, decode_ids(ids, by_id)), len(ids) + len(text))
             if out.full():
                 yield out.take()
@@ -125,19 +129,19 @@ def encode_decode(docs: DataFrame, ranks_path: str = vocab.BYTE_RANKS, pattern:
     scanned = pa.schema([*pieces, ("ends", pa.binary())])
 
     def scan_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (rx, _, _), out = codec(ranks_path, pattern), Sink(scanned)
+        (splitter, _, _), out = codec(ranks_path, pattern, changes), Sink(scanned)
         for doc, row, start, last, text in rows_of(batches, "doc_id", "row", "start", "last", "text"):
-            out.add((doc, row, start, last, text, (start + scan(rx, text, last)).astype("<i8").tobytes()), len(text) * 3)
+            out.add((doc, row, start, last, text, (start + scan(splitter.rx, splitter.shadow(text), last)).astype("<i8").tobytes()), len(text) * 3)
             if out.full():
                 yield out.take()
         yield from out.rest()
 
     def join_chunks(chunks: pa.Table) -> pa.Table:
-        rx, table, by_id = codec(ranks_path, pattern)
+        splitter, table, by_id = codec(ranks_path, pattern, changes)
         rows = sorted(zip(*(chunks.column(c).to_pylist() for c in ("start", "text", "ends")), strict=True))
         starts = [r[0] for r in rows]
         text = "".join(r[1][:chunk_chars] for r in rows)
-        ends = stitch(rx, text, starts, [np.frombuffer(r[2], "<i8") for r in rows])
+        ends = stitch(splitter.rx, splitter.shadow(text), starts, [np.frombuffer(r[2], "<i8") for r in rows])
         ids = b"".join(table[text[a:b]] for a, b in pairwise([0, *ends.tolist()]))
         return pa.table([[chunks.column("doc_id")[0].as_py()], [ids], [decode_ids(ids, by_id)]], schema=ENCODED)
 

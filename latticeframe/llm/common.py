@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a batch that are turned into Python objects at a time, and bytes after which an output batch is sent.
 SLICE_ROWS, FLUSH_BYTES = 256, 4 << 20
@@ -71,3 +72,23 @@ class Sink:
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.columns[0]:
             yield self.take()
+
+
+def _hashable(df: DataFrame, name: str) -> Column:
+    """A column as Spark can hash it: maps, which it cannot, as JSON."""
+    kind = df.schema[name].dataType
+    column = F.col(f"`{name}`")
+    return column if isinstance(kind, T.AtomicType) else F.to_json(F.struct(column.alias("v")))
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes over all columns of a row, named k1 and k2."""
+    columns = [_hashable(df, c) for c in df.columns]
+    # nulls do not count in the hash, so each column says whether it is one
+    columns += [F.concat_ws("", *(F.col(f"`{c}`").isNull().cast("int").cast("string") for c in df.columns))]
+    return [F.xxhash64(F.lit(k), *columns).alias(f"k{k}") for k in (1, 2)]
+
+
+def text_keys(column: str = "text") -> list[Column]:
+    """Two 64-bit hashes of a text, named t1 and t2; null counts as empty."""
+    return [F.xxhash64(F.lit(k), text_bytes(column)).alias(f"t{k}") for k in (1, 2)]

@@ -1,15 +1,20 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Short test items are looked up inside long documents. Items are partitioned by their number of shingles (powers of
-two), and an item's sketch is its smallest shingle hashes, as many as its partition needs for a document that holds
-the asked share of any item of the partition to hold at least one of them: largest size - ceil(share * largest size)
-+ 1. A document is not sketched: whole-document signatures lose a short item in a long document, whose Jaccard
-similarity is near nothing. So no pair is lost, and pairs that meet on a sketch are verified by exact containment
-of the item's shingles.
+Short test items are looked up inside long documents, whose Jaccard similarity is near nothing, so the sketches are of
+the kind that keeps containment: a shingle is in a sketch where its hash is below a threshold. Items are partitioned by
+their number of shingles (powers of two) and each partition has its own threshold, so that an item keeps about
+`SKETCH` to twice as many shingles, and all of them where it has no more than that. A document's sketch for a partition
+is its shingles below that partition's threshold.
+
+Search: the document sketches probe the item sketches; a pair is a candidate where the share of the item's sketch that is
+met is at most four standard errors below the asked share. Verification: candidate pairs alone are counted in full, by
+the exact shingles of the candidate items and documents. A pair is lost only where sampling is off by four standard
+errors (one in 30,000 at the limit); items of up to SKETCH shingles lose none.
 
 Shingles are five words (split at ASCII white space, A-Z lower-cased), compared as text. A text of one to four words
-is one shingle; one without words (null, empty) has none and matches nothing. Repeated rows give repeated pairs
-once. Extra columns are ignored. An empty table gives no rows.
+is one shingle; one without words (null, empty) has none and matches nothing. Rows without an id, and rows that share
+one, are told apart by their texts; a pair of (id, item) from one text is given once. Long texts are read a megabyte at a
+time. Extra columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Sink, rows_of, text_bytes, word_lists
+from latticeframe.llm.common import Sink, rows_of, text_bytes, text_keys, word_lists
 from latticeframe.plans.lineage import materialise
 
-WORDS = 5
-#: Bits of the filter of item shingles that every task gets: 2 MB whatever the number of items.
-FILTER_BITS = 1 << 24
+WORDS, SKETCH = 5, 32
+#: Bits of a filter for each hash in it, and most bits of one (32 MB): with more hashes it passes more that the join then drops.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 28
 BITMAP_BITS = 8 * 4096
 
 
@@ -45,69 +50,110 @@ def shingle_hashes(words: list[bytes], size: int = WORDS) -> np.ndarray:
     return mixed
 
 
-def sketch_size(n: int, share: float) -> int:
-    """Hashes kept for an item of n shingles: what the largest item of its partition needs, n at most."""
-    largest = (1 << n.bit_length()) - 1
-    return min(n, largest - int(np.ceil(share * largest - 1e-9)) + 1)
+def threshold(n: int) -> int:
+    """Hashes below it are in the sketch of an item of n shingles."""
+    return min(1 << 64, (SKETCH << 64) >> max(0, n.bit_length() - 1))
+
+
+def least_met(n: int, share: float) -> int:
+    """Sketch shingles of n that a candidate must meet; n is the sketch's size."""
+    return max(1, int(np.ceil((share - 4 * np.sqrt(share * (1 - share) / n)) * n - 1e-9)))
 
 
 def item_shingles(items: DataFrame, share: float, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, n_shingles, hash, shingle, in_sketch), each distinct shingle of an item once."""
-    schema = pa.schema([("item_id", pa.int64()), ("n_shingles", pa.int64()), ("hash", pa.int64()), ("shingle", pa.binary()), ("in_sketch", pa.bool_())])
+    """(item, item_id, n_shingles, hash, shingle, in_sketch, need), each distinct shingle of an item once. item tells items
+    apart; need is the number of sketch shingles that a candidate must meet."""
+    schema = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("hash", pa.int64()), ("shingle", pa.binary()), ("in_sketch", pa.bool_()), ("need", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sink(schema)
-        for item, raw in rows_of(batches, "item_id", "content"):
-            words = raw.lower().split()
+        for key, item, raw in rows_of(batches, "item", "item_id", "content"):
             found: dict[bytes, int] = {}
-            for i, h in enumerate(shingle_hashes(words).tolist()):
-                found[b" ".join(words[i : i + WORDS])] = h
-            ranked = sorted((h, s) for s, h in found.items())
-            kept = sketch_size(len(ranked), share)
-            for rank, (h, s) in enumerate(ranked):
-                out.add((item, len(ranked), h - (1 << 64) if h >> 63 else h, s, rank < kept), len(s))
+            for words in word_lists(raw, WORDS):
+                for i, h in enumerate(shingle_hashes(words).tolist()):
+                    found[b" ".join(words[i : i + WORDS])] = h
+            limit = threshold(len(found))
+            sketch = sum(h < limit for h in found.values())
+            if not sketch:
+                limit, sketch = 1 << 64, len(found)
+            need = int(np.ceil(share * sketch - 1e-9)) if sketch == len(found) else least_met(sketch, share)
+            for s, h in found.items():
+                out.add((key, item, len(found), h - (1 << 64) if h >> 63 else h, s, h < limit, need), len(s))
             if out.full():
                 yield out.take()
         yield from out.rest()
 
     base = items.select(F.col(id_col).cast("long").alias("item_id"), text_bytes(text_col).alias("content")).distinct()
-    return base.mapInArrow(work, "item_id long, n_shingles long, hash long, shingle binary, in_sketch boolean")
-
-
-def shingle_filter(shingles: DataFrame) -> np.ndarray:
-    """Byte table of FILTER_BITS bits, one set for each item shingle's hash; at most 512 rows of 4 KB come to the driver."""
-    place = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
-    maps = shingles.groupBy(F.shiftright(place, BITMAP_BITS.bit_length() - 1).alias("part"))
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    base = base.withColumn("item", F.xxhash64("item_id", "content"))
+    return base.mapInArrow(work, "item long, item_id long, n_shingles long, hash long, shingle binary, in_sketch boolean, need long")
+
+
+def shingle_filter(hashes: DataFrame) -> np.ndarray:
+    """Byte table with one bit set for each hash, sized by their number up to FILTER_BITS; it comes to the driver in rows of
+    4 KB."""
+    n = hashes.count()
+    size = min(FILTER_BITS, max(BITMAP_BITS, 1 << (FILTER_SHARE * max(1, n) - 1).bit_length()))
+    place = F.col("hash").bitwiseAND(F.lit(size - 1))
+    maps = hashes.groupBy(F.shiftright(place, BITMAP_BITS.bit_length() - 1).alias("part"))
+    table = np.zeros(size // 8, np.uint8)
     for part, bits in maps.agg(F.bitmap_construct_agg(F.pmod(place, F.lit(BITMAP_BITS)))).collect():
         table[part * 4096 : part * 4096 + len(bits)] = np.frombuffer(bytes(bits), np.uint8)
     return table
 
 
-def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_shared, n_shingles, containment): documents that hold at least `share` of an item's distinct shingles."""
-    shingles = materialise(item_shingles(items, share, item_id_col, item_text_col), "item-shingles")
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(shingle_filter(shingles))  # 2 MB always
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("shingle", pa.binary())])
+def met_shingles(contents: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(t1, t2, hash, shingle): the distinct shingles of each text of (t1, t2, content) that may be among the hashes."""
+    table = contents.sparkSession.sparkContext.broadcast(shingle_filter(hashes))
+    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("hash", pa.int64()), ("shingle", pa.binary())])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, out = table.value, Sink(schema)
-        for row, doc, raw in rows_of(batches, "row", "doc_id", "content"):
+        mask = np.uint64(8 * len(bits) - 1)
+        for t1, t2, raw in rows_of(batches, "t1", "t2", "content"):
             found: dict[bytes, int] = {}
             for words in word_lists(raw, WORDS):
                 hashes = shingle_hashes(words)
-                at = hashes & np.uint64(FILTER_BITS - 1)
+                at = hashes & mask
                 hits = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                 found |= {b" ".join(words[i : i + WORDS]): int(hashes[i].view(np.int64)) for i in hits.tolist()}
             for s, h in found.items():
-                out.add((row, doc, h, s), len(s))
+                out.add((t1, t2, h, s), len(s))
             if out.full():
                 yield out.take()
         yield from out.rest()
 
-    # rows that share an id (or have none) are told apart by the hash of their content
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("content")).withColumn("row", F.xxhash64("content"))
-    held = base.mapInArrow(look_up, "row long, doc_id long, hash long, shingle binary")
-    met = held.join(shingles, ["hash", "shingle"]).groupBy("row", "doc_id", "item_id", "n_shingles").agg(F.count_distinct("shingle").alias("n_shared"), F.max("in_sketch").alias("candidate"))
-    return met.where("candidate").withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= share).select("doc_id", "item_id", "n_shared", "n_shingles", "containment")
+    return contents.mapInArrow(look_up, "t1 long, t2 long, hash long, shingle binary")
+
+
+def contaminated_texts(docs: DataFrame, items: DataFrame, share: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(t1, t2, item, item_id, n_shared, n_shingles): texts, by their keys, that hold at least `share` of an item's shingles."""
+    shingles = materialise(item_shingles(items, share, item_id_col, item_text_col), "item-shingles")
+    contents = docs.select(*text_keys(text_col), text_bytes(text_col).alias("content"))
+    text = ["t1", "t2"]
+    sketch = shingles.where("in_sketch").select("item", "hash", "shingle", "need")
+    # copies of a text are one: their rows are combined before they are dealt
+    probes = met_shingles(contents, sketch.select("hash")).distinct()
+    candidates = probes.join(sketch, ["hash", "shingle"]).groupBy(*text, "item").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need"))
+    candidates = materialise(candidates.where("met >= need").select(*text, "item"), "candidates")
+    wanted = shingles.join(candidates.select("item").distinct(), "item", "left_semi")
+    held = met_shingles(contents.join(candidates.select(*text).distinct(), text, "left_semi"), wanted.select("hash")).distinct()
+    pairs = held.join(wanted.select("item", "item_id", "n_shingles", "hash", "shingle"), ["hash", "shingle"]).join(candidates, [*text, "item"], "left_semi")
+    counted = pairs.groupBy(*text, "item", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"))
+    return counted.where(F.col("n_shared") / F.col("n_shingles") >= share)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_shared, n_shingles, containment): documents that hold at least `share` of an item's distinct shingles."""
+    found = materialise(contaminated_texts(docs, items, share, text_col, item_id_col, item_text_col), "contaminated")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text_col))
+    both = rows.join(found, ["t1", "t2"]).select("doc_id", "t1", "t2", "item", "item_id", "n_shared", "n_shingles").distinct()
+    return both.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, share: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows and columns of documents whose text holds no item."""
+    found = contaminated_texts(docs, items, share, text_col, item_id_col, item_text_col).select("t1", "t2").distinct()
+    found = materialise(found.toDF("bad_t1", "bad_t2"), "contaminated")
+    t1, t2 = text_keys(text_col)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), t1.alias("bad_t1"), t2.alias("bad_t2"))
+    return row.join(found, ["bad_t1", "bad_t2"], "left_anti").select("doc.*")

@@ -1,36 +1,40 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least `share`, found without loss.
+"""Near copies: SimHash candidates verified by the Jaccard similarity of five-word shingles.
 
-Two sets that similar share a shingle among the first n - ceil(share * n) + 1 of each, whatever the common order of the
-shingles (prefix filtering). The order puts shingles that a sample finds often last, so that common passages seldom
-bring texts together; the sample has no effect on the result. Texts that meet under a shingle are counted by pair:
-a similar pair shares so many of its prefixes that most others go, and what stays is verified on the whole sets.
+Texts are fingerprinted by their sets of shingles. simhash.near_links searches the fingerprints with a limit wide enough
+for a Jaccard similarity of `share` (at 0.8 two fingerprints differ in about ten of 64 bits), screens what meets by a
+second fingerprint and by size, and so gives families of texts that may be similar. Inside a family the sets themselves
+are compared: links are those of exact similarity `share` or more, and a group is what links connect.
 
-The first round pairs each cell's texts with two of them only, which joins large groups; the second takes all pairs
-whose texts the first has not joined. So the links connect exactly what all similar pairs connect.
+A family of some size is dealt out in blocks. First every block is searched together with the family's most copied text;
+then the texts outside the largest group so found are compared, block by block, with each other and with that group.
+Only links that join something new are written.
 
 Shingles are split and lower-cased as in containment.py and compared by 64-bit hashes. Texts of equal sets are one node;
-texts without words (null, empty) are copies of each other. Extra columns are ignored. An empty table gives no rows.
+texts without words (null, empty) are copies of each other. Rows are told apart by all their columns, so repeated ids or
+rows without one do no harm. One row of a group stays: of the smallest id, rows without an id last, ties by a hash of the
+row. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Sink, rows_of, text_bytes, word_lists
-from latticeframe.llm.containment import FILTER_BITS, WORDS, shingle_filter, shingle_hashes
+from latticeframe.llm.common import Sink, row_keys, rows_of, text_bytes, word_lists
+from latticeframe.llm.containment import WORDS, shingle_hashes
+from latticeframe.llm.simhash import near_links
 from latticeframe.operators.components import connected_components
 from latticeframe.plans.lineage import materialise
 
-#: Texts of the sample, how many of them must hold a shingle that goes last, and how many such shingles tasks get at most.
-SAMPLE, OFTEN, MOST = 2000, 3, 100_000
-#: Rows of the cells that are taken at a time, and rows above which a cell is paired text by text.
-CHUNK, LARGE = 1 << 17, 64
+#: Differing bits up to which the two fingerprints make a candidate, and shingles of a block of a family.
+LIMIT, LIMIT2, WEIGHT = 12, 18, 100_000
+ODD = np.uint64(0x9E3779B97F4A7C15)
+KEY = ["k1", "k2"]
 
 
 def shingle_set(raw: bytes) -> np.ndarray:
@@ -42,158 +46,188 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def _content(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("content"))
+def set_fingerprint(shingles: np.ndarray, seed: int) -> int:
+    """Majority of the hashes' bits over a set, as a signed integer; the seed picks one of independent fingerprints."""
+    mixed = (shingles ^ np.uint64(seed)) * ODD
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(mixed), 4096):
+        ones += np.unpackbits(mixed[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(mixed), bitorder="little").view("<i8")[0])
 
 
-def frequent(base: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that several texts of a sample hold."""
-    total = base.count()
-    taken = base.where(F.pmod(F.xxhash64("doc_id", "content"), F.lit(max(1, total // SAMPLE))) == 0) if total else base
+def describe(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, node, n, fp, fp2) of every row of (k1, k2, doc_id, content)."""
+    names = ("k1", "k2", "doc_id")
+    schema = pa.schema([(c, pa.int64()) for c in (*names, "node", "n", "fp", "fp2")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (raw,) in rows_of(batches, "content"):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(raw).view(np.int64))], ["hash"])
-
-    counts = taken.mapInArrow(work, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "hash").limit(MOST).select("hash").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
-
-
-def prefixes(base: DataFrame, share: float) -> DataFrame:
-    """(doc_id, node, n, prefix) of every text."""
-    held = base.sparkSession.sparkContext.broadcast(frequent(base))  # 0.8 MB at most
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, often = Sink(schema), held.value
-        for doc, raw in rows_of(batches, "doc_id", "content"):
+        out = Sink(schema)
+        for *known, raw in rows_of(batches, *names, "content"):
             shingles = shingle_set(raw)
-            n = len(shingles)
-            late = often[np.minimum(np.searchsorted(often, shingles), len(often) - 1)] == shingles if len(often) else np.zeros(n, bool)
-            ordered = np.concatenate([shingles[~late], shingles[late]])
-            first = ordered[: n - int(np.ceil(share * n - 1e-9)) + 1]
-            out.add((doc, node_of(shingles), n, first.view(np.int64)), 8 * len(first))
+            out.add((*known, node_of(shingles), len(shingles), set_fingerprint(shingles, 1), set_fingerprint(shingles, 2)))
             if out.full():
                 yield out.take()
         yield from out.rest()
 
-    return base.mapInArrow(work, "doc_id long, node long, n long, prefix array<long>")
-
-
-def whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first one and without repeated rows, many cells at a time and none cut."""
-
-    def tidy(columns: list[np.ndarray]) -> list[np.ndarray]:
-        new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
-        return [c[new] for c in columns]
-
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-        if sum(len(h[0]) for h in held) >= CHUNK:
-            columns = tidy([np.concatenate(c) for c in zip(*held, strict=True)])
-            cut = int(np.argmax(columns[0] == columns[0][-1]))
-            if cut:
-                yield [c[:cut] for c in columns]
-            held = [[c[cut:] for c in columns]]
-    if held:
-        yield tidy([np.concatenate(c) for c in zip(*held, strict=True)])
-
-
-def star_pairs(cell: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the first two rows of each cell with all that follow them."""
-    at = np.arange(len(cell))
-    start = np.maximum.accumulate(np.where(np.r_[True, cell[1:] != cell[:-1]], at, 0))
-    for k in (0, 1):
-        later = at[at > start + k]
-        yield start[later] + k, later
-
-
-def open_pairs(cell: np.ndarray, n: np.ndarray, group: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs in a cell whose groups differ and whose sizes allow the share; rows of a cell are sorted by n."""
-    edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-    sizes = np.diff(edge)
-    mixed = np.minimum.reduceat(group, edge[:-1]) != np.maximum.reduceat(group, edge[:-1])
-    rows = np.repeat(mixed & (sizes <= LARGE), sizes)
-    alive, d = np.flatnonzero(rows), 1
-    while len(alive := alive[alive + d < len(cell)]):
-        alive = alive[(cell[alive] == cell[alive + d]) & (n[alive] >= share * n[alive + d] - 1e-9)]
-        differ = alive[group[alive] != group[alive + d]]
-        if len(differ):
-            yield differ, differ + d
-        d += 1
-    for a, b in zip(edge[:-1][mixed & (sizes > LARGE)].tolist(), edge[1:][mixed & (sizes > LARGE)].tolist(), strict=True):
-        kinds, counts = np.unique(group[a:b], return_counts=True)
-        main = kinds[np.argmax(counts)]  # its rows are met from the others' side
-        for i in (a + np.flatnonzero(group[a:b] != main)).tolist():
-            low, high = a + np.searchsorted(n[a:b], share * n[i] - 1e-9), a + np.searchsorted(n[a:b], n[i] / share + 1e-9, "right")
-            other = np.arange(low, high)
-            other = other[(group[other] != group[i]) & ((group[other] == main) | (other > i))]
-            if len(other):
-                yield np.full(len(other), i), other
-
-
-def counted(cells: DataFrame, names: list[str], pairs_of: Callable, share: float) -> DataFrame:
-    """(u, v, need): pairs that may be similar after the count of shared prefix shingles; need is the overlap they must have."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_cells(batches, names):
-            at = dict(zip(names, columns, strict=True))
-            for i, j in pairs_of(at):
-                for k in range(0, len(i), 1 << 16):
-                    a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                    swap = at["node"][a] > at["node"][b]
-                    u, v = np.where(swap, b, a), np.where(swap, a, b)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at["node"][u], at["node"][v], at["n"][u], at["n"][v])], ["u", "v", "nu", "nv"])
-
-    dealt = cells.repartition("hash").sortWithinPartitions(*names)
-    met = dealt.select(names).mapInArrow(work, "u long, v long, nu long, nv long").groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("shared"))
-    met = met.withColumn("need", F.ceil(share / (1 + share) * (F.col("nu") + F.col("nv")) - 1e-9))
-    # what lies behind a prefix of n shingles is ceil(share * n) - 1 at most
-    behind: Column = F.ceil(share * F.greatest("nu", "nv") - 1e-9) - 1
-    return met.where((F.col("shared") + behind >= F.col("need")) & (F.least("nu", "nv") >= share * F.greatest("nu", "nv") - 1e-9)).select("u", "v", "need")
-
-
-def verified(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets overlap as they need."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct()
-    held = base.sparkSession.sparkContext.broadcast(shingle_filter(wanted))  # 2 MB always
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    return keyed.mapInArrow(work, ", ".join(f"{c} long" for c in schema.names))
+
+
+class Family:
+    """Shingle sets of some texts as one array, for exact comparison of one with many."""
+
+    def __init__(self, sets: list[np.ndarray], share: float):
+        self.share, self.size = share, np.array([len(s) for s in sets])
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
+        self.kinds = int(self.flat.max()) + 1 if len(self.flat) else 0
+
+    def similar(self, at: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others have the share with text `at`."""
+        sizes = self.size[others]
+        able = np.minimum(sizes, self.size[at]) >= self.share * np.maximum(sizes, self.size[at]) - 1e-9
+        out = np.zeros(len(others), bool)
+        picked = others[able]
+        if not len(picked):
+            return out
+        mark = np.zeros(self.kinds, np.int32)
+        mark[self.flat[self.start[at] : self.start[at + 1]]] = 1
+        size = self.size[picked]
+        first = np.cumsum(size) - size
+        step = np.arange(size.sum()) - np.repeat(first, size)
+        both = np.add.reduceat(mark[self.flat[np.repeat(self.start[picked], size) + step]], first)
+        out[able] = both * (1 + self.share) >= self.share * (self.size[at] + size) - 1e-9
+        return out
+
+
+def spanning(family: Family, first: int) -> list[tuple[int, int]]:
+    """Links that connect what similar pairs of a family connect, starting from text `first`."""
+    links, free = [], np.arange(len(family.size))
+    at = first
+    while len(free):
+        queue, free = [at], free[free != at]
+        while queue and len(free):
+            a = queue.pop()
+            near = family.similar(a, free)
+            reached = free[near].tolist()
+            links += [(a, b) for b in reached]
+            queue += reached
+            free = free[~near]
+        at = int(free[0]) if len(free) else -1
+    return links
+
+
+def joining(family: Family, group: np.ndarray, active: np.ndarray) -> list[tuple[int, int]]:
+    """Links between texts of different groups, one at most for each text and group it meets."""
+    links, group = [], np.unique(group, return_inverse=True)[1]
+    for a in active.tolist():
+        others = np.flatnonzero(group != group[a])
+        if not len(others):
+            break
+        near = others[family.similar(a, others)]
+        if len(near):
+            met, at = np.unique(group[near], return_index=True)
+            links += [(a, int(b)) for b in near[at]]
+            group[np.isin(group, met)] = group[a]
+    return links
+
+
+PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _links(nodes: list[int], links: list[tuple[int, int]]) -> pa.Table:
+    out = [(max(nodes[a], nodes[b]), min(nodes[a], nodes[b])) for a, b in links]
+    return pa.table([[u for u, _ in out], [v for _, v in out]], schema=PAIRS)
+
+
+def _family(rows: pa.Table, share: float) -> tuple[list[int], Family]:
+    return rows.column("node").to_pylist(), Family([np.frombuffer(s, "<u8") for s in rows.column("shingles").to_pylist()], share)
+
+
+def block_links(sets: DataFrame, share: float) -> DataFrame:
+    """Links inside every block of a family, its most copied text in each."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("node", "ascending")])
+        nodes, family = _family(rows, share)
+        return _links(nodes, spanning(family, rows.column("leader").to_pylist().index(True) if True in rows.column("leader").to_pylist() else 0))
+
+    far = F.expr("filter(sequence(0, blocks - 1), b -> b <> block)")
+    copies = sets.where("leader and blocks > 1").withColumn("block", F.explode(far)).select(sets.columns)
+    return sets.unionByName(copies).groupBy("family", "block").applyInArrow(work, "u long, v long")
+
+
+def cross_links(sets: DataFrame, grouped: DataFrame, share: float, weight: int) -> DataFrame:
+    """Links between the groups of families of several blocks; grouped: (node, family, n, grp) of their texts."""
+    sizes = grouped.groupBy("family", "grp").agg(F.count(F.lit(1)).alias("texts"))
+    main = sizes.groupBy("family").agg(F.max_by("grp", F.struct("texts", "grp")).alias("main"))
+    sided = grouped.join(main, "family").withColumn("rest", F.col("grp") != F.col("main"))
+    parts = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) / weight).cast("int")
+    counts = sided.groupBy("family").agg(parts(F.col("rest")).alias("rests"), parts(~F.col("rest")).alias("mains")).where("rests > 0")
+    dealt = sided.join(counts, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    # a pair of blocks is (i, j) of the rest with i <= j, or (i, -1 - j) of the rest and the main group
+    pairs = F.when(F.col("rest"), F.expr("concat(transform(sequence(0, rests - 1), i -> struct(least(i, own) as i, greatest(i, own) as j)), transform(sequence(0, mains - 1), j -> struct(own as i, -1 - j as j)))"))
+    pairs = pairs.otherwise(F.expr("transform(sequence(0, rests - 1), i -> struct(i as i, -1 - own as j))"))
+    rows = dealt.select("node", "family", "grp", "rest", F.explode(pairs).alias("p")).select("node", "family", "grp", "rest", "p.i", "p.j")
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("node", "ascending")])
+        nodes, family = _family(rows, share)
+        return _links(nodes, joining(family, rows.column("grp").to_numpy(), np.flatnonzero(rows.column("rest").to_numpy(zero_copy_only=False))))
+
+    return rows.join(sets.select("node", "shingles"), "node").groupBy("family", "i", "j").applyInArrow(work, "u long, v long")
+
+
+def similar_links(nodes: DataFrame, contents: DataFrame, share: float, weight: int = WEIGHT) -> DataFrame:
+    """(u, v) links of nodes that connect what candidate pairs of the share connect. nodes: (node, n, fp, fp2, copies, k1,
+    k2), the keys of a row that holds the text; contents: (k1, k2, content)."""
+    found = materialise(connected_components(near_links(nodes, LIMIT, limit2=LIMIT2, ratio=share)), "families")
+    members = nodes.join(found.withColumnRenamed("component", "family"), "node")
+    whole = members.groupBy("family").agg(F.max_by("node", F.struct("copies", "node")).alias("first"), F.ceil(F.sum("n") / weight).cast("int").alias("blocks"))
+    placed = members.join(whole, "family").select(*KEY, "node", "n", "family", (F.col("node") == F.col("first")).alias("leader"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed = materialise(placed, "family-members")
+    kept = ("node", "n", "family", "leader", "blocks", "block")
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("family", pa.int64()), ("leader", pa.bool_()), ("blocks", pa.int32()), ("block", pa.int32()), ("shingles", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, bits = Sink(schema), held.value
-        for (raw,) in rows_of(batches, "content"):
-            shingles = shingle_set(raw)
-            node = node_of(shingles)
-            at = node & (FILTER_BITS - 1)
-            if bits[at >> 3] >> (at & 7) & 1:
-                out.add((node, shingles.view(np.int64)), 8 * len(shingles))
+        out = Sink(schema)
+        for *known, raw in rows_of(batches, *kept, "content"):
+            held = shingle_set(raw).astype("<u8").tobytes()
+            out.add((*known, held), len(held))
             if out.full():
                 yield out.take()
         yield from out.rest()
 
-    sets = materialise(base.select("content").mapInArrow(work, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
-    # the smaller node may have many pairs: both tables are plain there, so Spark can split its rows
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return both.where(F.size(F.array_intersect("su", "sv")) >= F.col("need")).select("u", "v")
-
-
-def kept_ids(docs: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id): the smallest id of each group of texts that similar pairs connect."""
-    base = _content(docs, id_col, text_col)
-    own = materialise(prefixes(base, share), "prefixes")
-    cells = lambda df, *more: df.select(F.explode("prefix").alias("hash"), "n", "node", *more)
-    pairs = materialise(counted(cells(own), ["hash", "node", "n"], lambda at: star_pairs(at["hash"], at["node"]), share), "star-pairs")
-    links = materialise(verified(base, pairs), "star-links")
-    joined = materialise(connected_components(links), "joined")
-    grouped = own.join(joined, "node", "left").withColumn("own_group", F.coalesce("component", "node"))
-    pairs = materialise(counted(cells(grouped, "own_group"), ["hash", "n", "node", "own_group"], lambda at: open_pairs(at["hash"], at["n"], at["own_group"], share), share), "open-pairs")
-    more = materialise(verified(base, pairs), "open-links")
-    if not more.isEmpty():
-        joined = materialise(connected_components(links.unionByName(more)), "joined")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    named = nodes.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("doc_id").alias("doc_id"))
-    return named.where("doc_id is not null").select("doc_id").distinct()
+    # rows that repeat as a whole have one key: one of them is enough, and it is taken after the join by node
+    spec = "node long, n long, family long, leader boolean, blocks int, block int, shingles binary"
+    sets = contents.join(placed, KEY).select(*kept, "content").mapInArrow(work, spec)
+    sets = materialise(sets.dropDuplicates(["node"]), "shingle-sets")
+    links = materialise(block_links(sets, share), "block-links")
+    several = placed.where("blocks > 1")
+    if several.isEmpty():
+        return links
+    groups = materialise(connected_components(links), "block-groups").withColumnRenamed("component", "grp")
+    grouped = materialise(several.join(groups, "node", "left").select("node", "family", "n", F.coalesce("grp", "node").alias("grp")), "grouped")
+    more = materialise(cross_links(sets.where("blocks > 1"), grouped, share, weight), "cross-links")
+    return links.unionByName(more)
+
+
+def keep_one(docs: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of texts that similar pairs connect, with all its columns."""
+    keyed = docs.select(*row_keys(docs), F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("content"))
+    own = materialise(describe(keyed), "described")
+    first = F.min(F.struct(*KEY)).alias("key")
+    nodes = own.groupBy("node").agg(*(F.max(c).alias(c) for c in ("n", "fp", "fp2")), F.count(F.lit(1)).alias("copies"), first)
+    nodes = materialise(nodes.select("node", "n", "fp", "fp2", "copies", "key.k1", "key.k2"), "nodes")
+    found = materialise(connected_components(similar_links(nodes, keyed.select(*KEY, "content"), share)), "groups")
+    grouped = own.join(found, "node", "left").select(*KEY, "doc_id", F.coalesce("component", "node").alias("grp"))
+    best = grouped.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("best"))
+    repeats = own.groupBy(*KEY).agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    best = materialise(best.select("best.k1", "best.k2").join(repeats, KEY), "kept-rows")
+    names = [f"kept_{c}" for c in KEY]
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(k.alias(n) for k, n in zip(row_keys(docs), names, strict=True)))
+    # the kept keys grow with the input, so both sides are always dealt by key
+    kept = marked.join(best.hint("merge").toDF(*names, "repeated"), names)
+    once = kept.where("repeated").groupBy(*names).agg(F.first("doc").alias("doc")).select("doc.*")
+    return kept.where("not repeated").select("doc.*").unionByName(once)

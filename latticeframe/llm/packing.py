@@ -1,11 +1,12 @@
 """Packing token ids into rows of a fixed length, best fit decreasing.
 
 Documents are encoded, texts longer than a row are split without loss into row-long pieces and a rest, and pieces are
-dealt by a hash of (document, piece) to shards of bounded size. In each shard the pieces, longest first, go to the
+dealt by a hash of (document, piece, ids) to shards of bounded size. In each shard the pieces, longest first, go to the
 open row with the least room that is enough; a segment tree over room sizes finds it in logarithmic time.
 
-Null and empty texts have no ids and so no piece. Rows with the same id are packed one by one. Ties in length go by
-document, then piece. Extra columns are ignored. An empty table gives no rows.
+Null and empty texts have no ids and so no piece. Rows with the same id, or with none, are packed one by one. Ties in
+length go by document (none last), then piece, then ids. A text of any length is encoded whole. Extra columns are
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeframe.llm import vocab
+from latticeframe.llm.bpe import codec
 from latticeframe.llm.common import Sink, rows_of, text_bytes
 
 PACKS = "shard long, pack int, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>"
@@ -76,13 +78,20 @@ def pack_tokens(docs: DataFrame, capacity: int = 2048, ranks_path: str = vocab.B
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("content"))
     total = base.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
+    parts = min(-(-shards // 8), max(10_000, shards // 200))  # tasks take their shards one after the other
     dtype = "<u2" if max(vocab.read_ranks(ranks_path).values()) < 1 << 16 else "<u4"
+    changes = vocab.class_changes()
     cut = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, out = vocab.rank_encoding(ranks_path, pattern), Sink(cut)
         for doc, raw in rows_of(batches, "doc_id", "content"):
-            ids = encoding.encode_to_numpy(raw.decode("utf-8", "replace"), disallowed_special=()).astype(dtype)
+            text = raw.decode("utf-8", "replace")
+            if vocab.LONG_GAP.search(text):
+                splitter, table, _ = codec(ranks_path, pattern, changes)
+                ids = np.frombuffer(b"".join(map(table.__getitem__, splitter.pieces(text))), "<u4").astype(dtype)
+            else:
+                ids = encoding.encode_to_numpy(text, disallowed_special=()).astype(dtype)
             for piece, at in enumerate(range(0, len(ids), capacity)):
                 part = ids[at : at + capacity].tobytes()
                 out.add((doc, piece, part), len(part))
@@ -102,7 +111,9 @@ def pack_tokens(docs: DataFrame, capacity: int = 2048, ranks_path: str = vocab.B
         return pa.Table.from_batches([out.take()])
 
     pieces = base.mapInArrow(encode, "doc_id long, piece int, ids binary")
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # repeated ids, or rows without one, are told apart by what they hold, and equal rows by a number of their own
+    own = F.xxhash64("doc_id", "piece", "ids", F.monotonically_increasing_id())
+    dealt = pieces.withColumn("shard", F.pmod(own, F.lit(shards))).repartition(parts, "shard")
     return dealt.groupBy("shard").applyInArrow(pack, PACKS)
 
 

@@ -3,12 +3,13 @@
 Every text has a 64-bit fingerprint. Bits that vary together are grouped into m partitions, and thresholds
 T1..Tm (each -1 or more) that sum to limit - m + 1 are given to them by dynamic programming over estimated probes and
 candidates: two fingerprints within the limit must differ in at most Ti bits of some partition i. Each fingerprint
-is entered under its own value of a partition and under those up to Ti bits away; fingerprints that meet are compared
-in full. Only links that join something new are written, so a cell of n fingerprints gives at most n - 1 of them, and
-a cell with more than `block` fingerprints is dealt out as pairs of blocks.
+is entered under its own value of a partition and under those up to Ti bits away, by which it probes for the others' own; fingerprints that meet are compared in full. In a large
+cell only links that join something new are written, n - 1 of n fingerprints at most, and a cell with more than
+`block` fingerprints is dealt out as pairs of blocks.
 
-Null and empty texts have fingerprint zero and link like any other. Equal fingerprints are one node. Extra columns
-are ignored. An empty table gives no rows.
+Null and empty texts have fingerprint zero and link like any other. Equal fingerprints are one node, so repeated rows
+and rows without an id cost nothing; a component's id is its smallest id that is not null. Long texts are read a
+megabyte at a time. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from latticeframe.plans.lineage import materialise
 
 BITS, SEED, SHINGLE = 64, 42, 3
 #: Cost of one entry under a key, in comparisons.
-PROBE_COST = 20.0
+PROBE_COST = 400.0
+#: Fingerprints up to which a cell is compared pair by pair, and rows of the cells that are taken at a time.
+SMALL_CELL, CHUNK = 16, 1 << 17
 
 
 def fingerprint(raw: bytes) -> int:
@@ -105,9 +108,10 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def allocate(n: int, both: np.ndarray, limit: int) -> tuple[float, list[tuple[list[int], int]]]:
+def allocate(n: int, both: np.ndarray, limit: int, block: int = 8192, meet: float = 1.0) -> tuple[float, list[tuple[list[int], int]]]:
     """The cheapest partitions and thresholds over numbers of partitions: (cost, [(bits, threshold)]); -1 leaves a partition
-    out. A few fingerprints are costed as a thousand, for which probes of many bits do not pay either."""
+    out. A few fingerprints are costed as a thousand, for which probes of many bits do not pay either. meet: share of all
+    pairs that could meet by their sizes."""
     n, both = (n, both) if n >= 1000 else (1000, np.full((BITS, BITS), 250) + np.diag(np.full(BITS, 250)))
     one = np.diag(both) / max(n, 1)
     differ = 2 * one * (1 - one)
@@ -121,7 +125,13 @@ def allocate(n: int, both: np.ndarray, limit: int) -> tuple[float, list[tuple[li
             for b in bits:
                 near[1:] = near[1:] * (1 - differ[b]) + near[:-1] * differ[b]
                 near[0] *= 1 - differ[b]
-            costs.append([0.0] + [n * PROBE_COST * sum(math.comb(len(bits), k) for k in range(t + 1)) + n * (n - 1) / 2 * near[: t + 1].sum() for t in range(limit + 1)])
+            cost = [0.0]
+            for t in range(limit + 1):
+                probes = sum(math.comb(len(bits), k) for k in range(t + 1))
+                met = meet * near[: t + 1].sum()
+                copies = max(1.0, n * met / block)  # entries of a cell that is dealt out by blocks
+                cost.append(n * probes * PROBE_COST * copies + n * (n - 1) / 2 * met)
+            costs.append(cost)
         table = {0: (0.0, [])}
         for cost in costs:
             table = {s: min((table[s - t][0] + cost[t + 1], [*table[s - t][1], t]) for t in range(-1, limit + 1) if s - t in table) for s in {a + t for a in table for t in range(-1, limit + 1)}}
@@ -131,11 +141,12 @@ def allocate(n: int, both: np.ndarray, limit: int) -> tuple[float, list[tuple[li
 
 
 def _entered(part: int, own: Column, flips: list[int]) -> Column:
-    return F.transform(F.lit([signed(f) for f in flips]).cast("array<bigint>"), lambda f: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(f).alias("value")))
+    steps = F.lit([signed(f) for f in flips]).cast("array<bigint>")
+    return F.transform(steps, lambda f: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(f).alias("value"), (f == 0).alias("own")))
 
 
 def keys(partitions: list[tuple[list[int], int]]) -> Column:
-    """All (partition, value) under which a fingerprint is entered."""
+    """All (partition, value, own) under which a fingerprint is entered: its own value, and those that probe for others."""
     entries = []
     for i, (bits, threshold) in enumerate(partitions):
         if threshold < 0:
@@ -148,72 +159,132 @@ def keys(partitions: list[tuple[list[int], int]]) -> Column:
     return F.flatten(F.array(*entries))
 
 
-def links_in_cell(fps: np.ndarray, nodes: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Links that span each connected part of a cell: from each node reached on to all not yet reached."""
+class Nearness:
+    """Which fingerprints of a cell link: at most `limit` differing bits, and as many of a second fingerprint, and sizes
+    whose ratio is `ratio` at least."""
+
+    def __init__(self, limit: int, limit2: int, ratio: float):
+        self.limit, self.limit2, self.ratio = limit, limit2, ratio
+
+    def among(self, at: int, others: np.ndarray, fp: np.ndarray, fp2: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Those of the rows `others` that link with the row `at`."""
+        found = others[np.bitwise_count(fp[others] ^ fp[at]) <= self.limit]
+        return found[self._rest(at, found, fp2, size)] if len(found) else found
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, fp: np.ndarray, fp2: np.ndarray, size: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(fp[a] ^ fp[b]) <= self.limit
+        near[near] = self._rest(a[near], b[near], fp2, size)
+        return near
+
+    def _rest(self, a, b, fp2: np.ndarray, size: np.ndarray) -> np.ndarray:
+        alike = np.minimum(size[a], size[b]) >= self.ratio * np.maximum(size[a], size[b]) - 1e-9
+        return alike & (np.bitwise_count(fp2[a] ^ fp2[b]) <= self.limit2)
+
+
+def links_in_cell(rows: np.ndarray, own: np.ndarray, near: Nearness, *values: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span each connected part of a cell, from each row reached on to those not yet reached. A row that only
+    probes links to rows that have the cell's value."""
     links = []
-    while len(fps) > 1:
-        queue, fps, nodes = [(fps[0], int(nodes[0]))], fps[1:], nodes[1:]
-        while queue and len(fps):
-            fp, node = queue.pop()
-            near = np.bitwise_count(fps ^ fp) <= limit
-            if near.any():
-                reached = nodes[near].tolist()
-                links += [(node, x) for x in reached]
-                queue += zip(fps[near], reached, strict=True)
-                fps, nodes = fps[~near], nodes[~near]
+    free_own, free_probe = rows[own[rows]], rows[~own[rows]]
+    while len(free_own):
+        queue, free_own = [int(free_own[0])], free_own[1:]
+        while queue and (len(free_own) or len(free_probe)):
+            at = queue.pop()
+            reached = near.among(at, free_own, *values)
+            if len(reached):
+                free_own = np.setdiff1d(free_own, reached, assume_unique=True)
+            if own[at]:
+                probes = near.among(at, free_probe, *values)
+                if len(probes):
+                    free_probe = np.setdiff1d(free_probe, probes, assume_unique=True)
+                    reached = np.concatenate([reached, probes])
+            links += [(at, x) for x in reached.tolist()]
+            queue += reached.tolist()
     return links
 
 
-def near_links(nodes: DataFrame, limit: int, block: int = 1024) -> DataFrame:
-    """(u, v) links that connect exactly what pairs within the limit connect; nodes: (fp, node), fp distinct."""
+def cell_links(cell: np.ndarray, own: np.ndarray, near: Nearness, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): places of the links of all cells; rows of a cell stand together. Small cells are compared pair by pair."""
+    edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+    sizes = np.diff(edge)
+    some = np.logical_or.reduceat(own, edge[:-1])
+    left, right = [], []
+    alive = np.flatnonzero(np.repeat(some & (sizes > 1) & (sizes <= SMALL_CELL), sizes))
+    for d in range(1, SMALL_CELL):
+        alive = alive[alive + d < len(cell)]
+        alive = alive[cell[alive] == cell[alive + d]]
+        if not len(alive):
+            break
+        a = alive[own[alive] | own[alive + d]]
+        a = a[near.pairs(a, a + d, *values)]
+        left.append(a)
+        right.append(a + d)
+    for k in np.flatnonzero(some & (sizes > SMALL_CELL)).tolist():
+        found = links_in_cell(np.arange(edge[k], edge[k + 1]), own, near, *values)
+        if found:
+            a, b = np.array(found, np.int64).T
+            left.append(a)
+            right.append(b)
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def near_links(nodes: DataFrame, limit: int, block: int = 8192, limit2: int = BITS, ratio: float = 0.0) -> DataFrame:
+    """(u, v) links of nodes that connect exactly what pairs within the limits connect. nodes: (node, fp), node not null,
+    and where limit2 or ratio are given also fp2, a second fingerprint, and n, a size."""
     n, both = bit_counts(nodes)
-    partitions = allocate(n, both, limit)[1]
-    entered = nodes.select("fp", "node", F.explode(keys(partitions)).alias("k")).select("fp", "node", "k.part", "k.value")
-    large = materialise(entered.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "large-cells")
-    blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    dealt = entered.join(large, ["part", "value"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    more = [F.col(c) if c in nodes.columns else F.lit(0).cast("long").alias(c) for c in ("fp2", "n")]
+    nodes, meet = nodes.select("node", "fp", *more), 1.0
+    if ratio:  # sizes of that ratio are of one class or of two next to each other: a node is entered in its own and probes the next
+        nodes = nodes.withColumn("size", F.floor(F.log(F.col("n") + 1.0) / F.lit(-math.log(ratio))).cast("int"))
+        counts = dict(nodes.groupBy("size").count().collect())  # a row for each class of sizes
+        meet = sum(c * (c + counts.get(k + 1, 0)) for k, c in counts.items()) / max(1, n) ** 2
+    partitions = allocate(n, both, limit, block, meet)[1]
+    entered = nodes.withColumn("k", F.explode(keys(partitions)))
+    if ratio:
+        entered = entered.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+        entered = entered.select("node", "fp", "fp2", "n", F.xxhash64("k.part", F.col("size") + F.col("up")).alias("part"), "k.value", (F.col("k.own") & (F.col("up") == 0)).alias("own"))
+    else:
+        entered = entered.select("node", "fp", "fp2", "n", F.col("k.part").cast("long").alias("part"), "k.value", "k.own")
+    large = materialise(entered.groupBy("part", "value").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block), "large-cells")
+    blocks = F.coalesce(F.ceil(F.col("rows") / block), F.lit(1)).cast("int")
+    dealt = entered.join(large, ["part", "value"], "left").withColumn("blocks", blocks).withColumn("of", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("fp", "node", F.xxhash64("part", "value", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    cells = dealt.select("node", "fp", "fp2", "n", "own", F.xxhash64("part", "value", F.least("of", "other"), F.greatest("of", "other")).alias("cell"))
+    names, near = ("cell", "node", "fp", "fp2", "n", "own"), Nearness(limit, limit2, ratio)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sink(pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-        held = [np.zeros(0, np.int64)] * 3
-
-        def close(cell: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> None:
-            edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True]) if len(cell) else np.zeros(1, np.int64)
-            sizes = np.diff(edge)
-            for at in edge[:-1][sizes == 2].tolist() if (sizes == 2).sum() < 64 else []:
-                for link in links_in_cell(fps[at : at + 2], ids[at : at + 2], limit):
-                    out.add(link)
-            if (sizes == 2).sum() >= 64:
-                at = edge[:-1][sizes == 2]
-                at = at[np.bitwise_count(fps[at] ^ fps[at + 1]) <= limit]
-                for link in zip(ids[at].tolist(), ids[at + 1].tolist(), strict=True):
-                    out.add(link)
-            for a, b in zip(edge[:-1][sizes > 2].tolist(), edge[1:][sizes > 2].tolist(), strict=True):
-                for link in links_in_cell(fps[a:b], ids[a:b], limit):
-                    out.add(link)
+        held: list[list[np.ndarray]] = []
+
+        def close(columns: list[np.ndarray]) -> pa.RecordBatch:
+            cell, node, fp, fp2, size, own = columns
+            a, b = cell_links(cell, own, near, fp.view(np.uint64), fp2.view(np.uint64), size)
+            pairs = np.unique(np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b])], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
         for batch in batches:
-            new = [np.asarray(batch.column(c)) for c in ("cell", "fp", "node")]
-            cell, fps, ids = (np.concatenate(x) for x in zip(held, new, strict=True))
-            if not len(cell):
-                continue
-            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
-            close(cell[:cut], fps[:cut].view(np.uint64), ids[:cut])
-            held = [cell[cut:], fps[cut:], ids[cut:]]
-            if out.full():
-                yield out.take()
-        close(held[0], held[1].view(np.uint64), held[2])
-        yield from out.rest()
+            if batch.num_rows:
+                held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            if sum(len(h[0]) for h in held) >= CHUNK:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.argmax(columns[0] == columns[0][-1]))  # the last cell may go on in the next batch
+                if cut:
+                    yield close([c[:cut] for c in columns])
+                held = [[c[cut:] for c in columns]]
+        if held:
+            yield close([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(work, "u long, v long")
+    return cells.select(*names).repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(work, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, limit: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): texts whose fingerprints differ in at most `limit` bits link; component_id is the smallest id reachable."""
+    """(doc_id, fp, component_id): texts whose fingerprints differ in at most `limit` bits link; component_id is the
+    smallest id reachable, null where no text reachable has an id."""
     own = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = connected_components(near_links(nodes, limit))
-    named = materialise(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "components")
+    nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = connected_components(near_links(nodes.select("fp", F.col("fp").alias("node")), limit))
+    parts = materialise(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part")), "parts")
+    least = parts.groupBy("part").agg(F.min("least").alias("component_id"))
+    named = materialise(parts.join(least, "part").select("fp", "component_id"), "components")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")

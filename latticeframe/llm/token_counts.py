@@ -3,8 +3,9 @@
 A text's count depends only on its normalised content and on the tokenizer's file, so counts are stored under the two
 digests. A run joins the documents' digests to the store, encodes each distinct miss once and appends it.
 
-Null text counts as empty (0 tokens). Repeated rows and copies share one entry. Extra columns are ignored. An empty
-table gives an empty result and leaves the store as it is.
+Null text counts as empty (0 tokens). Rows without an id are counted like others. Repeated rows and copies share one
+entry. A text of any length is counted whole. Extra columns are ignored. An empty table gives an empty result and adds
+no entry to the store.
 """
 
 from __future__ import annotations
@@ -29,28 +30,35 @@ def counter(path: str):
     """A function from text to its number of tokens, as the file's own library counts.
 
     A plain byte-level BPE .json goes through the rank form of the same vocabulary, which gives the same ids several
-    times faster; any other .json goes through its own library, and a .model through the sentence-piece one.
+    times faster, but for texts with very long white space, which the rank library cannot take. Any other .json goes
+    through its own library, and a .model through the sentence-piece one.
     """
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda text: len(model.encode(text, num_threads=1))
-    if fast := vocab.byte_level_json(path):
-        encoding, special = fast
-
-        def count(text: str) -> int:
-            if any(s in text for s in special):
-                return len(encoding.encode(text, allowed_special=set(special)))
-            return len(encoding.encode_to_numpy(text, disallowed_special=()))
-
-        return count
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda text: len(tokenizer.encode(text, add_special_tokens=False))
+
+    def plain(text: str) -> int:
+        return len(tokenizer.encode(text, add_special_tokens=False))
+
+    if not (fast := vocab.byte_level_json(path)):
+        return plain
+    encoding, special = fast
+
+    def count(text: str) -> int:
+        if vocab.LONG_GAP.search(text):
+            return plain(text)
+        if any(s in text for s in special):
+            return len(encoding.encode(text, allowed_special=set(special)))
+        return len(encoding.encode_to_numpy(text, disallowed_special=()))
+
+    return count
 
 
 def stored_counts(spark: SparkSession, store_path: str, version: str) -> DataFrame:

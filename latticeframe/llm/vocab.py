@@ -6,8 +6,11 @@ import base64
 import functools
 import hashlib
 import json
+import re
+from collections.abc import Iterator
 
 import public_tokenizers
+import regex
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +31,68 @@ def rank_encoding(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
+#: White space in a row from which a text is split outside the rank library, whose own matcher gives up near a million.
+LONG_GAP = re.compile(r"\s{100000}")
+#: One character of each class of the split pattern for characters whose class the two matchers see differently.
+STAND_INS = {r"\p{L}": "\u4e00", r"\p{N}": "0", r"\s": "\u2003"}
+OTHER = "\ue000"
+
+
+def _all_characters() -> str:
+    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+
+def class_members(cls: str) -> set[str]:
+    """All characters that the rank library's matcher takes for a class: only what matches is encoded, here as bytes."""
+    import tiktoken
+
+    probe = tiktoken.Encoding("probe", pat_str=cls, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return set(bytes(probe.encode_ordinary(_all_characters())).decode())
+
+
+@functools.lru_cache(maxsize=1)
+def class_changes() -> tuple[tuple[int, int, str], ...]:
+    """(first, last, stand-in) of the runs of characters that the `regex` module puts in another class than the rank
+    library does; the two follow different versions of Unicode."""
+    text, changed = _all_characters(), {}
+    theirs = {cls: class_members(cls) for cls in STAND_INS}
+    for cls, members in theirs.items():
+        for c in members ^ set(regex.findall(cls, text)):
+            changed[ord(c)] = next((STAND_INS[k] for k, v in theirs.items() if c in v), OTHER)
+    runs: list[list] = []
+    for c in sorted(changed):
+        if runs and runs[-1][1] == c - 1 and runs[-1][2] == changed[c]:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c, changed[c]])
+    return tuple(map(tuple, runs))
+
+
+class Splitter:
+    """Pieces of a text as the rank library's matcher cuts them, by the `regex` module over a text of the same length in
+    which characters of other classes have stand-ins. The pattern's classes are letters, numbers and white space."""
+
+    def __init__(self, pattern: str, changes: tuple[tuple[int, int, str], ...]):
+        self.rx = regex.compile(pattern)
+        self.odd = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b, _ in changes) + "]") if changes else None
+        self.table = {c: s for a, b, s in changes for c in range(a, b + 1)}
+
+    def shadow(self, text: str) -> str:
+        return text.translate(self.table) if self.odd and not text.isascii() and self.odd.search(text) else text
+
+    def pieces(self, text: str) -> Iterator[str] | list[str]:
+        shadow = self.shadow(text)
+        if shadow is text:
+            return self.rx.findall(text)
+        return [text[m.start() : m.end()] for m in self.rx.finditer(shadow)]
+
+
+@functools.lru_cache(maxsize=4)
+def piece_encoding(path: str):
+    """An encoding that takes its whole input for one piece."""
+    return rank_encoding(path, r"[\s\S]+")
+
+
 def byte_of_letter() -> dict[str, int]:
     """Byte-level vocabularies write a byte as a letter: printable Latin-1 as itself, the others from U+0100 on, in order."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]

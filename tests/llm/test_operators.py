@@ -63,7 +63,7 @@ def test_bpe(docs):
 
 
 def test_stitching_any_text():
-    rx = bpe.codec(vocab.BYTE_RANKS, vocab.PATTERN)[0]
+    rx = bpe.codec(vocab.BYTE_RANKS, vocab.PATTERN, ())[0].rx
     rng = random.Random(5)
     for _ in range(300):
         text = "".join(rng.choice(["a", " ", "\n", "'", "r", "e", "l", "1", ".", "é", "'ll"]) for _ in range(rng.randint(1, 80)))
@@ -73,6 +73,33 @@ def test_stitching_any_text():
         assert bpe.stitch(rx, text, starts, found).tolist() == [m.end() for m in rx.finditer(text)]
 
 
+LONG = [c * 2_000_000 for c in (" ", "\n", "a", "\u0301")] + ["x" + "\n" * 1_200_000 + "y'll", " " * 1_000_000 + "end"]
+
+
+def test_long_runs_of_one_character(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(LONG)], "doc_id long, text string, source string")
+    whole, rx = vocab.piece_encoding(vocab.BYTE_RANKS), bpe.codec(vocab.BYTE_RANKS, vocab.PATTERN, ())[0].rx
+    ids = {i: [x for piece in rx.findall(t) for x in whole.encode_ordinary(piece)] for i, t in enumerate(LONG)}
+    coded = {r.doc_id: (np.frombuffer(bytes(r.ids), "<u4").tolist(), bytes(r.decoded).decode()) for r in bpe.encode_decode(docs).collect()}
+    assert coded == {i: (ids[i], t) for i, t in enumerate(LONG)}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, str(tmp_path / "store")).collect()}
+    library = Tokenizer.from_file(vocab.BYTE_JSON)
+    assert counts == {i: len(ids[i]) for i in ids} and counts[0] == len(library.encode(LONG[0], add_special_tokens=False))
+    packed = packing.pack_tokens(docs).collect()
+    assert sum(r.n_tokens for r in packed) == sum(map(len, ids.values()))
+    assert secrets.find_secrets(docs).count() == quality.quality_rules(docs).count() == len(LONG)
+
+
+def test_pieces_are_those_of_the_rank_library():
+    """Every character beside a contraction, a digit, a space and itself."""
+    changes, encoding = vocab.class_changes(), vocab.rank_encoding(vocab.BYTE_RANKS)
+    splitter, table, _ = bpe.codec(vocab.BYTE_RANKS, vocab.PATTERN, changes)
+    odd = [chr(c) for a, b, _ in changes for c in range(a, b + 1)]
+    for chars in (odd, [chr(c) for c in range(0x250)], [chr(c) for c in range(0x250, 0x110000, 97) if not 0xD800 <= c < 0xE000]):
+        text = "".join(f"{c}'t{c} 1{c}{c}a {c}\n" for c in chars)
+        assert b"".join(map(table.__getitem__, splitter.pieces(text))) == encoding.encode_to_numpy(text).astype("<u4").tobytes()
+
+
 def test_token_counts(spark, docs, tmp_path):
     tokenizer = Tokenizer.from_file(vocab.BYTE_JSON)
     plain = expected(docs, lambda t: (len(t.encode()), len(tokenizer.encode(t, add_special_tokens=False).ids)))
@@ -211,6 +238,13 @@ def test_simhash(spark, docs):
     assert len({find(i) for i in range(100, 180)}) < 80
 
 
+def test_simhash_of_rows_without_ids(spark):
+    big = (1 << 60) + 1
+    rows = [(None, "a b c"), (None, "a b c"), (big, "a b c"), (big + 1, "a b c"), (None, "other words here"), (None, None), (3, "")]
+    found = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == sorted([(0, big), (0, big), (big, big), (big + 1, big), (0, 0), (0, 3), (3, 3)])
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_simhash_links_connect_all(spark, block):
     rng = random.Random(9)
@@ -290,10 +324,30 @@ def test_word_lists_hold_every_shingle_once():
                     assert [tuple(x[i : i + k]) for x in lists for i in range(len(x) - k + 1)] == [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
 
 
-def test_sketches_are_long_enough():
+def test_sketches_keep_their_share():
     for n in range(1, 3000):
-        need = -(-8 * n // 10)
-        assert containment.sketch_size(n, 0.8) >= n - need + 1
+        kept = n * containment.threshold(n) / 2**64
+        assert n <= 32 and kept == n or 32 <= kept <= 64
+        assert 0 < containment.least_met(n, 0.8) <= 0.8 * n + 1
+
+
+def test_search_keeps_long_items_that_are_held(spark):
+    """Items of hundreds of words, whose sketch is a tenth of them, at containments around 0.8."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, [rng.choice(words) for _ in range(rng.randint(60, 900))]) for i in range(40)]
+    rows = []
+    for d in range(200):
+        part = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, len(part) // 20)):
+            part[rng.randrange(len(part))] = "changed"
+        rows.append((d, " ".join([rng.choice(words) for _ in range(rng.randint(0, 500))] + part)))
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    held = {d: shingles(t.split()) for d, t in rows}
+    plain = {(d, i) for i, s in items for d in held if len(shingles(s) & held[d]) >= 0.8 * len(shingles(s))}
+    found = containment.contained_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(s)) for i, s in items], "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert found <= plain and len(found) >= 0.98 * len(plain) and len(plain) > 100
 
 
 def test_language(spark):
