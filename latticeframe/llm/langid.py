@@ -4,11 +4,11 @@ Byte trigrams of the lower-cased text are hashed into a fixed number of bins, an
 distribution over them from all its training documents. For a document, expectation-maximisation finds the language
 proportions under which its trigrams are most likely; the set of languages is the one of the most likely k, for each
 k, whose likelihood less a penalty per language is best. The language with the largest proportion is the answer and
-that proportion its score.
+that proportion its score. With many languages the bins are fewer, so that the model every task gets keeps its size.
 
 Null texts and texts without a letter are `und` with score 0. Ties go to the language that comes first. Repeated rows
-count as often as they come in training. Extra columns are ignored. An empty table gives no rows; without any
-training row every answer is `und`.
+count as often as they come in training, and rows without an id like others. Texts are read whole. Extra columns are
+ignored. An empty table gives no rows; without any training row every answer is `und`.
 """
 
 from __future__ import annotations
@@ -25,17 +25,25 @@ from latticeframe.llm.common import Sink, rows_of
 
 BINS, UNDETERMINED = 1 << 15, "und"
 #: Overlapping trigrams are not independent: a document's likelihood counts as that of a third of them.
-DEPENDENCE, ROUNDS, LEAST_SHARE = 3.0, 12, 0.02
+DEPENDENCE, ROUNDS, STILL, LEAST_SHARE = 3.0, 40, 1e-3, 0.02
 LETTER = regex.compile(r"\p{L}")
-#: Languages for which a model is sent to all tasks: 100 MB at most.
-MOST_LANGUAGES = 400
+#: Entries of a model (languages x bins) that is sent to all tasks, 52 MB; and cells of the arrays for a batch of texts.
+MOST_ENTRIES, BATCH_CELLS = 400 * BINS, 1_600_000
 
 
-def bins_of(raw: bytes) -> np.ndarray:
+def bins_for(languages: int) -> int:
+    """Bins of a model: BINS, halved until the model has its size, 256 at least."""
+    bins = BINS
+    while bins > 256 and bins * languages > MOST_ENTRIES:
+        bins //= 2
+    return bins
+
+
+def bins_of(raw: bytes, bins: int = BINS) -> np.ndarray:
     """Bins of the trigrams of a text with a space at both ends."""
     x = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
     gram = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
-    return ((gram * np.uint32(2654435769)) >> np.uint32(17)).astype(np.int64)
+    return ((gram * np.uint32(2654435769)) >> np.uint32(33 - bins.bit_length())).astype(np.int64)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -47,19 +55,26 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pseud
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, held in sums.items():
+                at = np.flatnonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(held[at])], ["lang", "bin", "n"])
+            sums.clear()
+
         for lang, text in rows_of(batches, "lang", "text"):
-            sums.setdefault(lang, np.zeros(BINS, np.int64))
-            sums[lang] += np.bincount(bins_of(text.lower().encode()), minlength=BINS)
-        for lang, held in sums.items():
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(held[at])], ["lang", "bin", "n"])
+            if lang not in sums:
+                if len(sums) * bins >= MOST_ENTRIES:
+                    yield from told()
+                sums[lang] = np.zeros(bins, np.int64)
+            sums[lang] += np.bincount(bins_of(text.lower().encode(), bins), minlength=bins)
+        yield from told()
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    if (n := rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()) > MOST_LANGUAGES:
-        raise ValueError(f"{n} languages or more; a model for more than {MOST_LANGUAGES} is not sent to all tasks")
+    bins = bins_for(rows.select("lang").distinct().count())
     counts = rows.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()  # languages x bins
     langs = sorted(set(counts.column("lang").to_pylist()))
-    table = np.full((len(langs), BINS), pseudo)
+    table = np.full((len(langs), bins), pseudo)
     index = {x: i for i, x in enumerate(langs)}
     np.add.at(table, ([index[x] for x in counts.column("lang").to_pylist()], counts.column("bin").to_numpy()), counts.column("n").to_numpy())
     return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -69,7 +84,7 @@ def mixtures(model: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     """(proportions of the chosen languages, number chosen) for each text; all texts of a batch advance together."""
     doc, at, n = [], [], []
     for d, raw in enumerate(texts):
-        bins, counts = np.unique(bins_of(raw), return_counts=True)
+        bins, counts = np.unique(bins_of(raw, model.shape[1]), return_counts=True)
         doc.append(np.full(len(bins), d))
         at.append(bins)
         n.append(counts)
@@ -89,7 +104,9 @@ def mixtures(model: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
         share = start.copy()
         for _ in range(ROUNDS):
             mix = share[:, local] * l
-            share = np.add.reduceat(mix * (c / np.maximum(mix.sum(axis=0), 1e-300)), first, axis=1) / total[of]
+            before, share = share, np.add.reduceat(mix * (c / np.maximum(mix.sum(axis=0), 1e-300)), first, axis=1) / total[of]
+            if np.abs(share - before).max() < STILL:
+                break
         return share, np.add.reduceat(c * np.log(np.maximum((share[:, local] * l).sum(axis=0), 1e-300)), first)
 
     k, everyone = len(model), np.arange(len(texts))
@@ -141,7 +158,7 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str =
         for doc, text in rows_of(batches, "doc_id", "text"):
             held.append((doc, text))
             weight += len(text or "")
-            if weight > 400_000 or len(held) >= 256:
+            if weight * max(1, len(langs)) > BATCH_CELLS or len(held) >= 256:
                 settle()
                 held, weight = [], 0
                 if out.full():

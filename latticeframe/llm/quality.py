@@ -1,11 +1,14 @@
 """Quality rules with host-level verdicts.
 
-Each document gets its rule measures. Failures are summed by host; a host's rate of failures is shrunk towards the
-rate over all hosts by a beta prior fitted to the hosts' rates by moments, and a host whose shrunk rate passes a
-limit is rejected with all its documents.
-
-Null and empty texts have no words and fail the base rule. A null host is a host of its own. Repeated rows count as
-often as they come. Extra columns are ignored. An empty table gives no rows.
+Each document gets its rule measures. Failures are summed by host. Hosts' rates scatter more than chance would have it;
+what is left after the binomial part is taken off gives a beta prior around the rate of all documents, so that hosts of
+one or two documents, whose rates are 0 or 1 by luck, do not pass for a wide prior. A host's rate is shrunk towards that
+rate, and the host is rejected with all its documents where the shrunk rate is above a limit by 1.645 standard deviations
+of its posterior (95 percent).
+
+Null and empty texts have no words and fail the base rule. A null host is a host of its own. Rows without an id and
+repeated rows count as often as they come. Texts are measured whole. Extra columns are ignored. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -86,26 +89,40 @@ def rule_failed():
     return base_failed() | (10 * F.col("n_symbols") > 3 * F.col("n_words")) | (2 * F.col("n_dup_lines") > F.col("n_words"))
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
-    """(host, n_docs, n_failed, shrunk_rate): moments of the hosts' rates, each host once, give the beta prior. With one
-    host, or rates that do not differ, the prior is uniform on (0, 1)."""
+def prior(hosts: DataFrame) -> tuple[float, float]:
+    """(weight, mean) of the beta prior. The sum of squares between hosts is what chance alone gives, but for the part that
+    goes with the correlation rho inside hosts; the weight is 1 / rho - 1. With one host, one document a host, or without
+    failures or their opposite there is nothing to fit: the prior is uniform on (0, 1)."""
+    n, f = F.col("n_docs"), F.col("n_failed")
+    h, docs, failed, squares, between = hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(f), F.sum(n * n), F.sum(f * f / n)).first()
+    free = docs - squares / docs - (h - 1) if h else 0
+    if not free or not 0 < failed < docs:
+        return 2.0, 0.5
+    mean = failed / docs
+    rho = ((between - failed * mean) / (mean * (1 - mean)) - (h - 1)) / free
+    return 1 / min(max(rho, 1e-6), 0.999) - 1, mean
+
+
+def host_rates(measured: DataFrame, host_limit: float) -> DataFrame:
+    """(host, n_docs, n_failed, shrunk_rate, rejected)."""
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(rule_failed().cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_samp(rate)).first()
-    usable = bool(v) and v < m * (1 - m)
-    weight, mean = (m * (1 - m) / v - 1, m) if usable else (2.0, 0.5)
-    return hosts.select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.lit(weight * mean)) / (F.col("n_docs") + F.lit(weight))).alias("shrunk_rate"))
+    weight, mean = prior(hosts)
+    rate, total = (F.col("n_failed") + F.lit(weight * mean)) / (F.col("n_docs") + F.lit(weight)), F.col("n_docs") + F.lit(weight + 1)
+    shrunk = F.col("shrunk_rate")
+    return hosts.withColumn("shrunk_rate", rate).withColumn("rejected", shrunk - 1.645 * F.sqrt(shrunk * (1 - shrunk) / total) > host_limit)
 
 
-def quality_rules(docs: DataFrame, host_limit: float = 0.6, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, measures, base_failed, kept). host_limit: a host goes whose shrunk rate of failed documents is above it."""
+def quality_rules(docs: DataFrame, host_limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(doc_id, measures, base_failed, kept, host_rate). host_limit: a host goes whose rate of failed documents is above it
+    for certain."""
     measured = materialise(measure(docs, id_col, text_col, host_col), "quality")
-    rejected = host_rates(measured).where(F.col("shrunk_rate") > host_limit).select("host", F.lit(True).alias("rejected"))
-    joined = measured.join(rejected, measured["host"].eqNullSafe(rejected["host"]), "left").drop(rejected["host"])
-    return joined.select("doc_id", *MEASURES, base_failed().alias("base_failed"), (~base_failed() & F.col("rejected").isNull()).alias("kept"))
+    verdicts = host_rates(measured, host_limit).select(F.col("host").alias("of"), "shrunk_rate", "rejected")
+    # every document meets its host's verdict: hosts are few beside documents, but one may have a third of them
+    joined = measured.join(materialise(verdicts, "hosts"), F.col("host").eqNullSafe(F.col("of")))
+    return joined.select("doc_id", *MEASURES, base_failed().alias("base_failed"), (~base_failed() & ~F.col("rejected")).alias("kept"), F.col("shrunk_rate").alias("host_rate"))
 
 
-def keep_documents(docs: DataFrame, host_limit: float = 0.6, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def keep_documents(docs: DataFrame, host_limit: float = 0.5, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows and columns of documents that quality_rules keeps. The texts are measured once and written with their
     measures, so that only hosts, never texts, are joined where the rejected hosts are few."""
     own = T.StructType([T.StructField("doc", docs.schema), T.StructField("host", T.StringType()), *(T.StructField(m, T.LongType()) for m in MEASURES)])
@@ -120,6 +137,5 @@ def keep_documents(docs: DataFrame, host_limit: float = 0.6, text_col: str = "te
                 yield pa.RecordBatch.from_arrays([doc, host, *(pa.array(c, pa.int64()) for c in found)], ["doc", "host", *MEASURES])
 
     measured = materialise(docs.mapInArrow(work, own), "measured")
-    rejected = materialise(host_rates(measured).where(F.col("shrunk_rate") > host_limit).select(F.col("host").alias("rejected")), "rejected-hosts")
-    kept = measured.where(~base_failed())
-    return kept.join(rejected, kept["host"].eqNullSafe(rejected["rejected"]), "left_anti").select("doc.*")
+    rejected = materialise(host_rates(measured, host_limit).where("rejected").select(F.col("host").alias("of")), "rejected-hosts")
+    return measured.where(~base_failed()).join(rejected, F.col("host").eqNullSafe(F.col("of")), "left_anti").select("doc.*")

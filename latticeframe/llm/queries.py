@@ -28,7 +28,7 @@ def op3_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op5_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     langs, model = langid.train(docs.where(~langid.held_out()))
     found = langid.identify(docs, langs, model)
-    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_languages")
+    shares = F.transform(F.array_sort(F.map_entries("proportions")), lambda e: F.concat(e["key"], F.lit(":"), F.format_number(e["value"], 3)))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_languages", F.array_join(shares, ",").alias("proportions"))
 
 
 def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +80,15 @@ m as (select b.doc_id, b.source, len(ws)::bigint n_words, coalesce(list_sum(list
   from base b join lines using (doc_id) left join cov c using (doc_id)),
 f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m),
 hosts as (select source, count(*) n, count(*) filter (where base_failed or 10 * n_symbols > 3 * n_words or 2 * n_dup_lines > n_words) failed from f group by source),
-prior as (select avg(failed / n) mu, var_samp(failed / n) v from hosts),
-p2 as (select case when v > 0 and v < mu * (1 - mu) then mu * (1 - mu) / v - 1 else 2.0 end w, case when v > 0 and v < mu * (1 - mu) then mu else 0.5 end mean from prior),
-bad as (select source from hosts cross join p2 where (failed + w * mean) / (n + w) > 0.6)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not exists (select 1 from bad where bad.source is not distinct from f.source) kept from f
+sums as (select count(*) h, sum(n)::double docs, sum(failed)::double failed, sum(n * n)::double squares, sum(failed * failed / n) between_hosts from hosts),
+fit as (select *, failed / docs mean, docs - squares / docs - (h - 1) free from sums),
+prior as (select case when free <> 0 and failed > 0 and failed < docs
+  then 1 / least(greatest(((between_hosts - failed * mean) / (mean * (1 - mean)) - (h - 1)) / free, 1e-6), 0.999) - 1 else 2.0 end w,
+  case when free <> 0 and failed > 0 and failed < docs then mean else 0.5 end mean from fit),
+rates as (select source, n, w, (failed + w * mean) / (n + w) rate from hosts cross join prior),
+verdicts as (select source, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + w + 1)) > 0.5 rejected from rates)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected kept, round(rate, 6) host_rate
+  from f join verdicts v on v.source is not distinct from f.source
 """
 
 CONTAINMENT_SQL = r"""

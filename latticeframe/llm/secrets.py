@@ -2,11 +2,13 @@
 
 Patterns find the base spans (assigned credentials, access key ids, hex runs). Beyond them, base64 and hex candidates
 are decoded and reported only where their structure parses: DER key encodings whose nested lengths add up, OpenSSH
-key blobs with length-prefixed fields, PEM blocks around either, and signed tokens whose header is JSON that names an
-algorithm. Positions are code points, ends exclusive.
+key blobs with length-prefixed fields, PEM blocks around either (with real or escaped line ends, or with the headers of
+an encrypted body), and signed tokens whose header is JSON that names an algorithm; a token is tried at every dotted
+part. Positions are code points, ends exclusive.
 
-Null and empty texts have no spans. Rows are independent: repeated rows repeat their result. Extra columns are
-ignored.
+Null and empty texts have no spans. Rows are independent: repeated rows repeat their result, and rows without an id are
+scanned like others. Texts are scanned whole, in time that goes with their length. Extra columns are ignored. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"e
 HINTS = ("password", "passwd", "secret", "token", "api")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----")
+PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: ")
 
 
 def decode_base64(run: str) -> bytes | None:
@@ -70,7 +73,7 @@ def der_items(raw: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(raw: bytes) -> bool:
-    """PKCS#1 and SEC1 private keys, PKCS#8, encrypted PKCS#8, and SubjectPublicKeyInfo."""
+    """PKCS#1, DSA and SEC1 private keys, PKCS#8, encrypted PKCS#8, and SubjectPublicKeyInfo."""
     top = der_items(raw) if raw[:1] == b"\x30" else None
     if not top or len(top) != 1:
         return False
@@ -78,6 +81,8 @@ def is_der_key(raw: bytes) -> bool:
     tags = [t for t, _ in parts]
     if tags[:1] == [0x02] and len(parts) >= 9 and set(tags[:9]) == {0x02}:
         return True
+    if tags == [0x02] * 6 and parts[0][1] == b"\x00":
+        return True
     if tags[:2] == [0x02, 0x04] and parts[0][1] == b"\x01":
         return True
     if tags[:3] == [0x02, 0x30, 0x04] and parts[0][1] in (b"\x00", b"\x01"):
@@ -114,6 +119,44 @@ def is_signed_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and decode_base64(payload) is not None
 
 
+def signed_tokens(text: str) -> list[tuple[int, int, int]]:
+    """Three dotted parts of which the first is a header; after one that is none the next part is tried."""
+    found = []
+    for m in DOTTED.finditer(text):
+        parts, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(parts):
+            # `{` is an `e` in base64
+            if len(parts[i]) >= 8 and parts[i][0] == "e" and is_signed_token(parts[i], parts[i + 1]):
+                end = at + sum(map(len, parts[i : i + 3])) + 2
+                found.append((at, 6, end))
+                at, i = end + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+    return found
+
+
+def is_pem_key(body: str) -> bool:
+    """A key between BEGIN and END: its base64 after any headers. An encrypted body has no structure of its own; its
+    headers and a length of whole cipher blocks stand for it."""
+    lines = [x.strip() for x in body.replace("\\r", "\n").replace("\\n", "\n").split("\n")]
+    headers = [x for x in lines if PEM_HEADER.match(x)]
+    raw = decode_base64("".join("".join(x.split()) for x in lines if not PEM_HEADER.match(x)))
+    if raw is None:
+        return False
+    if any(h.startswith("DEK-Info: ") for h in headers):
+        return len(raw) >= 16 and len(raw) % 8 == 0
+    return is_der_key(raw) or is_ssh_key(raw)
+
+
+def pem_blocks(text: str) -> list[tuple[int, int, int]]:
+    found = []
+    for m in PEM.finditer(text):
+        at, mark = text.find("-----", m.end()), f"-----END {m[1]}-----"
+        if at >= 0 and text.startswith(mark, at) and is_pem_key(text[m.end() : at]):
+            found.append((m.start(), 3, at + len(mark)))
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of kind, end)."""
     found = []
@@ -129,10 +172,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     found = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            raw = decode_base64("".join(m[2].split()))
-            if raw is not None and (is_der_key(raw) or is_ssh_key(raw)):
-                found.append((m.start(), 3, m.end()))
+        found += pem_blocks(text)
     for m in BASE64_RUN.finditer(text):
         raw = decode_base64(m[0])
         if raw:
@@ -141,7 +181,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         raw = bytes.fromhex(m[0])
         found += [(m.start(), kind, m.end()) for kind, test in ((4, is_der_key), (5, is_ssh_key)) if test(raw)]
     if "eyJ" in text or "ewo" in text or "eyA" in text or "ewk" in text or "ew0" in text:  # `{"`, `{\n`, `{ `, `{\t` and `{\r` in base64
-        found += [(m.start(), 6, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
+        found += signed_tokens(text)
     return found
 
 
@@ -169,14 +209,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def masked(text: str) -> str:
     """The text with every span, overlapping ones together, overwritten by the kinds it holds: `<assign>`, `<hex,der>`."""
-    parts, at = [], 0
+    parts, at, i = [], 0, 0
     spans = sorted(set(base_spans(text) + confirmed_spans(text)))
-    while spans:
-        start, kind, end = spans.pop(0)
-        kinds = [kind]
-        while spans and spans[0][0] < end:
-            end = max(end, spans[0][2])
-            kinds.append(spans.pop(0)[1])
+    while i < len(spans):
+        start, kind, end = spans[i]
+        kinds, i = [kind], i + 1
+        while i < len(spans) and spans[i][0] < end:
+            end = max(end, spans[i][2])
+            kinds.append(spans[i][1])
+            i += 1
         parts += [text[at:start], "<" + ",".join(KINDS[k] for k in dict.fromkeys(kinds)) + ">"]
         at = end
     return "".join([*parts, text[at:]])

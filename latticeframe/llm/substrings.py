@@ -5,18 +5,20 @@ windows have equal smallest hashes, so windows can only repeat under a hash that
 into chunks; each chunk tells, for each (hash, digest of the run's bytes), its smallest document. Where a run's bytes
 as a whole occur in a smaller document, all its windows go; where a hash has several runs, one copy of each goes on.
 
-Shards. Those runs, a hash's all to one shard, are searched with suffix arrays (Larsson-Sadakane refinement, Kasai's
-common prefixes); a shard beyond its size is cut into blocks with a suffix array each, merged by binary search. A hash
-with very many different runs is dealt out window by window instead, each to the shard of its own bytes.
+Shards. Those runs, a hash's all to one shard, are searched with suffix arrays: a shard's blocks have one each
+(Larsson-Sadakane refinement, Kasai's common prefixes), and the blocks' strings are merged by binary search. A hash with
+very many different runs is dealt out window by window instead, each to the shard of its own bytes.
 
-Rows without an id are left out. Null and empty texts have no bytes; texts under 50 bytes lose none. Rows that share an id do not make each other
-repeats. Extra columns are ignored. An empty table gives no rows.
+A row without an id comes after all rows that have one: it loses what they hold and takes nothing from others. Null and
+empty texts have no bytes; texts under 50 bytes lose none. Rows that share an id, or have none, do not make each other
+repeats. Long texts are hashed a megabyte at a time. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,9 @@ WIDE = LENGTH - GRAM + 1
 #: Different runs of one hash in a chunk from which the hash is dealt out by windows.
 MANY = 64
 #: Text bytes of a chunk, entries of a bucket, text bytes of a shard, and of a block with a suffix array of its own.
-CHUNK, BUCKET, SHARD, BLOCK = 6 << 20, 400_000, 1_500_000, 3_000_000
+CHUNK, BUCKET, SHARD, BLOCK = 6 << 20, 400_000, 4_000_000, 1_000_000
+#: Stands for the id of rows without one.
+NO_ID = (1 << 63) - 1
 KEEP, WHOLE, SEND, DEAL = 0, 1, 2, 3
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
@@ -111,7 +115,7 @@ class Chunk:
 
     def __init__(self, packed: bytes, many: int = MANY):
         self.most = many
-        self.ids, self.ends, self.text = unzipped(packed, "<i8", "<i8", "u1")
+        self.ids, self.ends, self.none, self.text = unzipped(packed, "<i8", "<i8", "u1", "u1")
         parts, at = [], 0
         while at < len(self.ends):  # documents of about a megabyte together; a longer one in pieces that share no window
             begin = int(self.ends[at - 1]) if at else 0
@@ -154,8 +158,9 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
         held, weight = [], 0
 
         def close() -> pa.RecordBatch:
-            held.sort(key=lambda r: r[0])
-            packed = zipped(np.array([r[0] for r in held], "<i8"), np.cumsum([len(r[1]) for r in held]).astype("<i8"), np.frombuffer(b"".join(r[1] for r in held), np.uint8))
+            held.sort(key=lambda r: (r[0] is None, r[0]))
+            ids, none = np.array([NO_ID if r[0] is None else r[0] for r in held], "<i8"), np.array([r[0] is None for r in held], "u1")
+            packed = zipped(ids, np.cumsum([len(r[1]) for r in held]).astype("<i8"), none, np.frombuffer(b"".join(r[1] for r in held), np.uint8))
             name = hashlib.sha256(packed).hexdigest()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([packed], pa.binary())], ["chunk", "packed"])
 
@@ -176,6 +181,14 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((scramble(key * ODD) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def parted(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, places) of the parts that have any."""
+    order = np.argsort(part, kind="stable")
+    edge = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True]) if len(part) else np.zeros(1, np.int64)
+    for a, b in pairwise(edge.tolist()):
+        yield int(part[order[a]]), order[a:b]
+
+
 TOLD = pa.schema([("bucket", pa.int64()), ("chunk", pa.string()), ("entries", pa.binary())])
 ROLES = pa.schema([("chunk", pa.string()), ("roles", pa.binary()), ("sent_bytes", pa.int64())])
 
@@ -187,14 +200,12 @@ def tell(chunks: DataFrame, buckets: int, many: int = MANY) -> DataFrame:
             c = Chunk(packed, many)
             entry, key, dealt = c.told()
             bucket = bucket_of(key, buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                e = order[cut[b] : cut[b + 1]]
-                if len(e):
-                    at = entry[e]
-                    digest = c.digest[at]
-                    out.add((b, name, zipped(at.astype("<u4"), key[e], digest.astype("<u4"), (digest >> np.uint64(32)).astype("<u2"), c.owner[at], dealt[e].astype("u1"), np.minimum(c.size[c.example[at]], 255).astype("u1"))), 16 * len(e))
+            for b, e in parted(bucket):
+                at = entry[e]
+                digest = c.digest[at]
+                low, high = digest.astype("<u4"), (digest >> np.uint64(32)).astype("<u2")
+                width = np.minimum(c.size[c.example[at]], 255).astype("u1")
+                out.add((b, name, zipped(at.astype("<u4"), key[e], low, high, c.owner[at], dealt[e].astype("u1"), width)), 16 * len(e))
                 if out.full():
                     yield out.take()
         yield from out.rest()
@@ -277,10 +288,7 @@ def send(name: str, c: Chunk, role: np.ndarray, shards: int, out: Sink) -> None:
             mixed = scramble((mixed ^ words[:, i]) * ODD)
         doc = np.searchsorted(c.ends, first, side="right")
         at, size, owner, shard = np.r_[at, first], np.r_[size, np.ones(len(first), np.int64)], np.r_[owner, c.ids[doc]], np.r_[shard, bucket_of(mixed, shards)]
-    order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(cut)).tolist():
-        e = order[cut[s] : cut[s + 1]]
+    for s, e in parted(shard):
         text = np.concatenate([c.text[a : a + n + LENGTH - 1] for a, n in zip(at[e].tolist(), size[e].tolist(), strict=True)])
         out.add((s, name, zipped(at[e].astype("<i8"), owner[e].astype("<i8"), size[e].astype("<i8"), text)), len(text))
 
@@ -358,16 +366,15 @@ def finish(c: Chunk, role: np.ndarray, found: list[bytes], out: Sink) -> None:
     np.add.at(change, single + LENGTH, -1)
     gone = np.cumsum(change)[:-1] > 0
     begin = 0
-    for doc, end in zip(c.ids.tolist(), c.ends.tolist(), strict=True):
+    for doc, none, end in zip(c.ids.tolist(), c.none.tolist(), c.ends.tolist(), strict=True):
         part = gone[begin:end]
         spans = int(part[:1].sum() + (part[1:] & ~part[:-1]).sum())
-        out.add((doc, end - begin, int(part.sum()), spans, c.text[begin:end][~part].tobytes()), end - begin)
+        out.add((None if none else doc, end - begin, int(part.sum()), spans, c.text[begin:end][~part].tobytes()), end - begin)
         begin = end
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, bucket_entries: int = BUCKET, shard_bytes: int = SHARD, block_bytes: int = BLOCK, many: int = MANY) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
-    docs = docs.where(F.col(id_col).isNotNull())
     chunks = materialise(pack_chunks(docs, id_col, text_col, chunk_bytes), "chunks")
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, n_bytes // 18 // bucket_entries + 1)  # about one run in eighteen bytes

@@ -29,7 +29,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     what is still tied, by the rank h further on, and double h."""
     n = len(text)
     first = all_words(np.concatenate([text, np.zeros(2 * WORD, np.uint8)]), n)
-    sa = np.argsort(first, kind="stable")
+    sa = np.argsort(first)
     own = first[sa]
     # zeros past the end tie with zero bytes; a suffix of under eight bytes is told apart by its length
     short = n - sa < WORD
@@ -47,7 +47,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = sa[tied]
         ahead = s + h
         key = rank[s] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s, key = s[order], key[order]
         sa[tied] = s
         new = np.r_[True, key[1:] != key[:-1]]

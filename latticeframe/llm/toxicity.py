@@ -5,9 +5,10 @@ categories' probabilities, which in training are out-of-fold predictions, so tha
 be. Words that speak for a category are chosen by their counts over the training sample.
 
 Training takes a bounded sample of the labelled documents: those of the smallest id hashes, `most_labelled` at most.
-Null and empty texts have no words and get the models' base rates. A null label leaves its row out of training.
-Repeated rows train as often as they come. Extra columns are ignored. An empty table gives no rows; without training
-rows of both kinds a category's probability is its rate (0 where there is none).
+Null and empty texts have no words and get the models' base rates. A null label or id leaves its row out of training. A
+label given twice trains once; of documents that share an id the one with the least words' digest trains, so that no more
+is gathered than the sample has. Texts are read whole. Extra columns are ignored. An empty table gives no rows; without
+training rows of both kinds a category's probability is its rate (0 where there is none).
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def fit_chain(texts: list[np.ndarray], labels: np.ndarray) -> list[Link]:
 def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_labelled: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
     """categories: name to a 0/1 column of labels, in the order of the chain."""
     names = list(categories)
-    own = labels.select(F.col(id_col).alias("id"), *(c.cast("int").alias(name) for name, c in categories.items())).dropna()
+    own = labels.select(F.col(id_col).alias("id"), *(c.cast("int").alias(name) for name, c in categories.items())).dropna().distinct()
     sample = own.orderBy(F.xxhash64("id"), "id").limit(most_labelled)  # the documented bound on training rows
     schema = pa.schema([("id", pa.int64()), *((name, pa.int32()) for name in names), ("words", pa.binary())])
 
@@ -129,7 +130,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
         yield from out.rest()
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # most_labelled rows of a few numbers
-    rows = texts.select("id", *names, "text").mapInArrow(work, "id long, " + ", ".join(f"{name} int" for name in names) + ", words binary").collect()
+    rows = texts.select("id", *names, "text").mapInArrow(work, "id long, " + ", ".join(f"{name} int" for name in names) + ", words binary")
+    rows = rows.groupBy("id", *names).agg(F.min("words").alias("words")).collect()  # most_labelled rows
     rows = sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0], bytes(r[-1])))
     return fit_chain([np.frombuffer(bytes(r[-1]), np.uint32) for r in rows], np.array([list(r[1:-1]) for r in rows]).reshape(len(rows), len(names)))
 

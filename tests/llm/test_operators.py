@@ -184,6 +184,31 @@ def test_secrets(docs):
     assert all(not secrets.base_spans(t or "") for t in masked.values())
 
 
+def test_confirmed_secrets():
+    spans = lambda t: {(k, t[a:b]) for a, k, b in secrets.confirmed_spans(t)}
+    for before in ("", "x.", "authority.", "a.b.c.authority.", "longsegment.evenlonger."):
+        assert (6, TOKEN) in spans(f"see {before}{TOKEN} end")
+    assert {a for k, a in spans(f"{TOKEN}.{TOKEN} {TOKEN}.tail.more")} == {TOKEN}
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    for gap in ("\n", "\r\n", "\\n", "\\r\\n", " "):
+        block = f"{begin}{gap}{PEM_BODY[:40]}{gap}{PEM_BODY[40:]}{gap}{end}"
+        assert (3, block) in spans(f'key = "{block}"')
+    locked = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n{base64.b64encode(bytes(64)).decode()}\n{end}"
+    assert (3, locked) in spans(locked)
+    assert not spans(f"{begin}\n{base64.b64encode(bytes(64)).decode()}\n{end}") and not spans(begin * 3)
+    number = lambda n: b"\x02" + bytes([n + 1, 1]) + bytes(n)
+    dsa = b"\x02\x01\x00" + b"".join(number(n) for n in (20, 15, 18, 17, 14))
+    assert (4, base64.b64encode(b"\x30" + bytes([len(dsa)]) + dsa).decode().rstrip("=")) in {(k, t.rstrip("=")) for k, t in spans(base64.b64encode(b"\x30" + bytes([len(dsa)]) + dsa).decode())}
+
+
+def test_masking_takes_time_in_proportion():
+    import time
+
+    text = "token = abcdefghijklmnop " * 60_000
+    began = time.time()
+    assert secrets.masked(text) == "<assign> " * 60_000 and time.time() - began < 20
+
+
 def plain_quality(t):
     w = [x for x in re.split("[\x20\x09-\x0d]+", t) if x]
     windows = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -201,13 +226,51 @@ def test_quality(spark, docs):
     found = quality.quality_rules(docs, host_limit=2.0)
     assert by_id(found, *quality.MEASURES, "base_failed") == expected(docs, plain_quality)
     assert all(r.kept != r.base_failed for r in found.collect())
-    good, bad = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "few words"
-    rows = [(i, bad if i % 100 < 95 else good, "junk") for i in range(400)] + [(1000 + i, good if i % 20 else bad, f"h{i % 9}") for i in range(900)] + [(5000, good, None)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r.doc_id for r in quality.quality_rules(table).where("kept").collect()}
-    assert kept == {i for i, t, h in rows if t == good and h != "junk"}
-    assert {r.doc_id for r in quality.keep_documents(table).collect()} == kept
+
+
+GOOD, BAD = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "few words"
+
+
+def hosts_table(spark):
+    """A large bad host, small bad ones, small unlucky ones, many hosts of one document, and good ones."""
+    rows = [("junk", i % 100 < 95) for i in range(400)]
+    rows += [(f"bad{h}", True) for h in range(3) for _ in range(40)] + [(f"bad{h}", False) for h in range(3) for _ in range(2)]
+    rows += [(f"unlucky{h}", i < 2) for h in range(9) for i in range(3)]
+    rows += [(f"one{h}", h % 9 == 0) for h in range(600)]
+    rows += [(f"good{h}", i % 20 == 0) for h in range(9) for i in range(100)] + [(None, False)]
+    rows = [(i, BAD if failed else GOOD, host) for i, (host, failed) in enumerate(rows)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_host_verdicts(spark):
+    import duckdb
+
+    from latticeframe.llm.queries import QUALITY_SQL
+
+    rows, table = hosts_table(spark)
+    found = quality.quality_rules(table).collect()
+    assert {r.doc_id for r in found if r.kept} == {i for i, t, h in rows if t == GOOD and (h is None or not h.startswith(("junk", "bad")))}
+    assert sum(r.doc_id in {i for i, t, h in rows if t == GOOD} and not r.kept for r in found) == 26  # owed to hosts alone
+    assert {r.doc_id for r in quality.keep_documents(table).collect()} == {r.doc_id for r in found if r.kept}
     assert quality.keep_documents(table).schema == table.schema
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    sql = con.execute(f"select doc_id, kept, host_rate from ({QUALITY_SQL}) order by 1").fetchall()
+    assert [(i, k) for i, k, _ in sql] == sorted((r.doc_id, r.kept) for r in found)
+    assert np.allclose([x for *_, x in sql], [r.host_rate for r in sorted(found, key=lambda r: r.doc_id)], atol=1e-6)
+
+
+def test_prior_takes_luck_off(spark):
+    """Hosts that differ by chance alone are all shrunk to the common rate, however few documents they have."""
+    rng = random.Random(12)
+    hosts = spark.createDataFrame([(f"h{i}", n, sum(rng.random() < 0.3 for _ in range(n))) for i, n in enumerate([1, 2, 3] * 700)], "host string, n_docs long, n_failed long")
+    weight, mean = quality.prior(hosts)
+    assert weight > 15 and abs(mean - 0.3) < 0.03
+    apart = spark.createDataFrame([(f"h{i}", 50, 45 if i % 2 else 5) for i in range(40)], "host string, n_docs long, n_failed long")
+    weight, mean = quality.prior(apart)
+    assert weight < 1 and abs(mean - 0.5) < 0.01
+    assert quality.prior(apart.where("host = 'h1'")) == quality.prior(apart.where("false")) == (2.0, 0.5)
 
 
 def test_simhash(spark, docs):
@@ -394,6 +457,136 @@ def test_toxicity(spark):
     assert all(r.p_toxic < 1e-6 for r in toxicity.score_chain(docs, empty, list(categories)).collect())
 
 
+def plain_mixture(model, raw):
+    """(share by language, penalised fit) of the best of all sets of languages, each by EM to rest."""
+    from itertools import combinations
+
+    bins, n = np.unique(langid.bins_of(raw, model.shape[1]), return_counts=True)
+    best = None
+    for size in range(1, len(model) + 1):
+        for chosen in combinations(range(len(model)), size):
+            like = np.exp(model[list(chosen)][:, bins].astype(float))
+            share = np.full(size, 1 / size)
+            for _ in range(2000):
+                mix = share[:, None] * like
+                share = (mix * (n / mix.sum(axis=0))).sum(axis=1) / n.sum()
+            value = 2 * (n * np.log((share[:, None] * like).sum(axis=0))).sum() / langid.DEPENDENCE - size * np.log(max(n.sum() / langid.DEPENDENCE, 2))
+            if best is None or value > best[1]:
+                best = dict(zip(chosen, share, strict=True)), value
+    return best
+
+
+def test_language_mixtures_against_all_sets():
+    rng = random.Random(21)
+    sounds = [["tion", "the", "ing"], ["eau", "ement", "que"], ["ung", "sch", "ich"], ["ska", "och", "det"]]
+    word = lambda k: "".join(rng.choice(sounds[k]) for _ in range(rng.randint(1, 3)))
+    table = np.full((4, 256), 0.5)
+    for k in range(4):
+        np.add.at(table[k], langid.bins_of(" ".join(word(k) for _ in range(4000)).encode(), 256), 1)
+    model = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    texts = [" ".join(word(rng.choice(mix)) for _ in range(rng.randint(20, 80))).encode() for mix in ([0], [1], [2, 2, 2, 3], [0, 1], [0, 2, 3], [3]) * 5]
+    shares, sizes = langid.mixtures(model, texts)
+    same = 0
+    for i, raw in enumerate(texts):
+        plain, _ = plain_mixture(model, raw)
+        plain = {k: x for k, x in plain.items() if x >= 0.03}  # smaller shares than LEAST_SHARE are not tried
+        if set(plain) == set(np.flatnonzero(shares[:, i]).tolist()):
+            same += 1
+            assert sizes[i] == len(plain) and all(abs(shares[k, i] - x) < 0.03 for k, x in plain.items())
+    assert same >= 28
+
+
+def test_many_languages(spark):
+    rows = [(i, f"w{i % 450}x word{i % 450} " * 5, f"l{i % 450:03}") for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, model = langid.train(table)
+    assert len(langs) == 450 and model.shape[1] == langid.BINS // 2 and langid.bins_for(10**6) == 256
+    assert langid.identify(table.limit(20), langs, model).where("lang_pred <> 'und'").count() == 20
+
+
+def plain_chain(texts, labels, ask):
+    """The chain by loops: words by chi-square, ridge regression by gradient steps of Newton, out-of-fold column by thirds."""
+
+    def fit(rows, y, before):
+        words = []
+        for w in sorted({x for r in rows for x in r}):
+            n = sum(w in r for r in rows)
+            a = sum(v for r, v in zip(rows, y, strict=True) if w in r)
+            rate = sum(y) / len(y)
+            if n >= toxicity.LEAST_TEXTS and (a - n * rate) ** 2 / (n * rate * (1 - rate)) > 6.6:
+                words.append(w)
+        assert len(words) < toxicity.MOST_WORDS
+        x = np.array([[float(w in r) for w in words] + list(b) + [1.0] for r, b in zip(rows, before, strict=True)])
+        weight, shrink = np.zeros(x.shape[1]), np.array([0.3] * (x.shape[1] - 1) + [1e-6])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ weight))
+            hessian = sum(np.outer(r, r) * v for r, v in zip(x, p * (1 - p), strict=True)) + np.diag(shrink)
+            weight = weight + np.linalg.inv(hessian) @ (x.T @ (y - p) - shrink * weight)
+        return words, weight
+
+    def say(model, row, before):
+        words, weight = model
+        return 1 / (1 + np.exp(-(np.array([float(w in row) for w in words] + list(before) + [1.0]) @ weight)))
+
+    first = fit(texts, labels[:, 0], [()] * len(texts))
+    column = np.zeros(len(texts))
+    for fold in range(3):
+        out = [i for i in range(len(texts)) if i % 3 == fold]
+        rest = [i for i in range(len(texts)) if i % 3 != fold]
+        model = fit([texts[i] for i in rest], labels[rest, 0], [()] * len(rest))
+        for i in out:
+            column[i] = say(model, texts[i], ())
+    second = fit(texts, labels[:, 1], [(c,) for c in column])
+    found = []
+    for row in ask:
+        p = say(first, row, ())
+        found.append((p, say(second, row, (p,))))
+    return np.array(found)
+
+
+def test_chain_against_plain_version():
+    rng = random.Random(31)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    texts, labels = [], []
+    for _ in range(90):
+        a, b = rng.random() < 0.4, rng.random() < 0.3
+        body = rng.sample(words, 6) + (["junk"] if a and rng.random() < 0.8 else []) + (["rude"] if b and rng.random() < 0.7 or a and rng.random() < 0.2 else [])
+        texts.append(toxicity.word_hashes(" ".join(body)))
+        labels.append((int(a), int(b)))
+    labels = np.array(labels)
+    chain = toxicity.fit_chain(texts, labels)
+    plain = plain_chain([set(t.tolist()) for t in texts], labels.astype(float), [set(t.tolist()) for t in texts])
+    for t, p in zip(texts, plain, strict=True):
+        one = chain[0].probability(t, [])
+        assert np.allclose([one, chain[1].probability(t, [one])], p, atol=1e-4)
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"word{i % 7} text") for i in range(500)] + [(2, "other text"), (None, "no id")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1, 0)] * 50 + [(2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    from pyspark.sql import functions as F
+
+    seen = []
+    toxicity_fit = toxicity.fit_chain
+    toxicity.fit_chain = lambda texts, labels: seen.append(len(texts)) or toxicity_fit(texts, labels)
+    try:
+        chain = toxicity.train_chain(docs, marks, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    finally:
+        toxicity.fit_chain = toxicity_fit
+    assert seen == [2] and toxicity.score_chain(docs, chain, ["low_quality", "toxic"]).count() == 502
+
+
+def test_other_operators_on_empty_tables(spark, docs, tmp_path):
+    none = docs.where("false")
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert token_counts.count_tokens(none, str(tmp_path / "store")).count() == 0
+    assert containment.contained_items(none, items).count() == containment.contained_items(docs, items.where("false")).count() == 0
+    assert containment.clean_documents(none, items).count() == 0 and containment.clean_documents(docs, items.where("false")).count() == docs.count()
+    assert secrets.mask_secrets(none).count() == 0
+    assert toxicity.score_chain(none, toxicity.fit_chain([], np.zeros((0, 2))), ["a", "b"]).count() == 0
+    assert langid.identify(none, *langid.train(none)).count() == 0
+
+
 @pytest.mark.parametrize("run", [bpe.encode_decode, packing.pack_tokens, secrets.find_secrets, quality.quality_rules, simhash.near_duplicates, quality.keep_documents])
 def test_empty_tables(docs, run):
     assert run(docs.where("false")).count() == 0

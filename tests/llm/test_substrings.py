@@ -41,7 +41,8 @@ def test_smallest_owner_across_shards():
 
 def brute(rows):
     seen = {}
-    for i, raw in sorted(rows, key=lambda r: r[0]):
+    rows = [(S.NO_ID if i is None else i, raw) for i, raw in rows]
+    for i, raw in sorted(rows):
         for p in range(len(raw) - 49):
             seen.setdefault(raw[p : p + 50], i)
     out = []
@@ -73,6 +74,7 @@ def corpus(seed):
         if i % 7 == 0:
             rows[-1][1] = "z" * rng.randint(40, 300)
     rows += [[200, None], [201, ""], [202, "short"], [203, passages[0] + " " + passages[0]], [5, rows[5][1]], [160, rows[159][1]], [160, rows[159][1]]]
+    rows += [[None, rows[7][1]], [None, "only rows without an id hold this " * 4], [None, "only rows without an id hold this " * 4], [None, None]]
     return rows
 
 
@@ -80,7 +82,7 @@ def corpus(seed):
 def test_against_brute_force(spark, limits):
     rows = corpus(3)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_bytes string").repartition(3)
-    found = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(docs, **limits).collect())
+    found = sorted((S.NO_ID if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(docs, **limits).collect())
     assert found == brute([(i, (t or "").encode()) for i, t in rows])
 
 
@@ -88,7 +90,7 @@ def test_long_documents_in_pieces(monkeypatch):
     """Pieces cut runs but change no window's hash."""
     rng = random.Random(4)
     raw = bytes(rng.choice(b"abc ") for _ in range(5000))
-    packed = S.zipped(np.array([1], "<i8"), np.array([len(raw)], "<i8"), np.frombuffer(raw, np.uint8))
+    packed = S.zipped(np.array([1], "<i8"), np.array([len(raw)], "<i8"), np.zeros(1, "u1"), np.frombuffer(raw, np.uint8))
     windows = lambda c: {p: int(c.key[e]) for e, f, n in zip(c.entry, c.first, c.size, strict=True) for p in range(f, f + n)}
     whole = windows(S.Chunk(packed))
     monkeypatch.setattr(S, "PIECE", 700)
