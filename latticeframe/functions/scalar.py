@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Result components by position.
+#: Result components by position.
 COMPONENTS = ["id", "x", "y", "z", "ux", "uy", "uz", "sx", "sy", "sz", "sxy", "syz", "sxz", "eps_x", "eps_y", "eps_z", "eps_xy", "eps_yz", "eps_xz", "usum", "seqv", "epseqv"]
 STORED, DERIVED = COMPONENTS[:19], COMPONENTS[19:]
 #: The nine anchor colours of the ramp, lowest first.
@@ -115,6 +115,11 @@ def is_face_node(x, y, z, n: float, tolerance: float = 0.25) -> Column:
     return near & inside
 
 
+def safe_mean(v) -> Column:
+    """Mean of a group, 0 where it has no value."""
+    return F.coalesce(F.avg(col(v)), F.lit(0.0))
+
+
 def finite_nonzero(v) -> Column:
     v = col(v)
     return v.isNotNull() & ~F.isnan(v) & (v != 0) & (F.abs(v) < float("inf"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from latticeframe.operators.components import connected_components
-from latticeframe.plans.lineage import materialise
+from latticeframe.plans.lineage import materialise, small_side
 
 CELL = ["set_id", "x", "y", "z"]
 PI_2D = 3.14159
@@ -36,24 +38,59 @@ def neighbours(cells: DataFrame, kind: int, n: int, periodic: bool = False) -> D
     return moved if periodic else moved.where(inside)
 
 
+SIDES = [normal for normal, _ in FACES]
+
+
+def with_neighbours(voxels: DataFrame, brick: int = 32) -> DataFrame:
+    """The cells with `sides`, the ids of their six neighbours in the order of FACES; null where there is no cell.
+
+    Cells are dealt once, by cubic bricks; a cell at a brick's border goes to the brick next to it as well. Inside a brick
+    the neighbours are the rows before and after along each axis, so the three sorts need no further exchange."""
+    home = {c: F.floor(F.col(c) / brick).cast("long") for c in "xyz"}
+    place = lambda own, **moved: F.struct(F.lit(own).alias("own"), *((home[c] + moved.get(c, 0)).alias(f"b{c}") for c in "xyz"))
+    places = [place(True)]
+    for c in "xyz":
+        at = F.pmod(F.col(c), F.lit(brick))
+        places += [F.when(at == 0, place(False, **{c: -1})), F.when(at == brick - 1, place(False, **{c: 1}))]
+    dealt = voxels.select(*CELL, "grain", F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("p"))
+    dealt = dealt.select(*CELL, "grain", "p.*").repartition("set_id", "bx", "by", "bz")
+    found: dict[tuple, Column] = {}
+    for axis, c in enumerate("xyz"):
+        w = W.partitionBy("set_id", "bx", "by", "bz", *(a for a in "xyz" if a != c)).orderBy(c)
+        for step, near in ((-1, F.lag), (1, F.lead)):
+            normal = tuple(step * (a == axis) for a in range(3))
+            found[normal] = F.when(near(c).over(w) == F.col(c) + step, near("grain").over(w))
+    return dealt.withColumns({f"side{k}": found[normal] for k, normal in enumerate(SIDES)}).where("own").select(*CELL, "grain", F.array(*(f"side{k}" for k in range(6))).alias("sides"))
+
+
+def open_side(grain: Column, other: Column) -> Column:
+    return other.isNull() | (other != grain)
+
+
 def grain_volume(voxels: DataFrame) -> DataFrame:
     return voxels.where("grain > 0").groupBy("set_id", "grain").agg(F.count(F.lit(1)).alias("volume"))
 
 
+def _relative(grains: DataFrame) -> DataFrame:
+    """Volumes relative to the largest of their set; sets are few beside grains."""
+    largest = small_side(grains.groupBy("set_id").agg(F.max("volume").alias("largest")), "largest")
+    return grains.join(largest, "set_id").withColumn("norm_volume", F.col("volume") / F.col("largest")).drop("largest")
+
+
 def grain_norm_volume(voxels: DataFrame) -> DataFrame:
-    volume = grain_volume(voxels)
-    return volume.withColumn("norm_volume", F.col("volume") / F.max("volume").over(W.partitionBy("set_id")))
+    return _relative(materialise(grain_volume(voxels), "volumes"))
+
+
+def _measured(voxels: DataFrame) -> DataFrame:
+    """(set_id, grain, volume, surface_area): cells, and sides at the edge or against another id, in one pass."""
+    exposed = F.size(F.filter("sides", lambda other: open_side(F.col("grain"), other))).cast("long")
+    cells = with_neighbours(voxels).where("grain > 0")
+    return cells.groupBy("set_id", "grain").agg(F.count(F.lit(1)).alias("volume"), F.sum(exposed).alias("surface_area"))
 
 
 def grain_surface(voxels: DataFrame) -> DataFrame:
-    """Faces at the edge or against another id: six for each cell less two for each pair of like forward neighbours.
-    A pair is found by the next row along a line, so a missing cell counts as an edge."""
-    like = F.lit(0)
-    for c, line in (("x", ("y", "z")), ("y", ("x", "z")), ("z", ("x", "y"))):
-        w = W.partitionBy("set_id", *line).orderBy(c)
-        voxels = voxels.withColumn(f"like_{c}", ((F.lead("grain").over(w) == F.col("grain")) & (F.lead(c).over(w) == F.col(c) + 1)).cast("int"))
-        like = like + F.coalesce(F.col(f"like_{c}"), F.lit(0))
-    return voxels.where("grain > 0").groupBy("set_id", "grain").agg((6 * F.count(F.lit(1)) - 2 * F.sum(like)).alias("surface_area"))
+    """Sides at the edge or against another id; a missing cell counts as an edge."""
+    return _measured(voxels).select("set_id", "grain", "surface_area")
 
 
 def esr(volume):
@@ -62,9 +99,8 @@ def esr(volume):
 
 def grain_properties(voxels: DataFrame) -> DataFrame:
     """Volume, relative volume, surface, equivalent radius and moment of inertia of every grain."""
-    both = grain_norm_volume(voxels).join(grain_surface(voxels), ["set_id", "grain"])
-    both = both.withColumn("esr", esr(F.col("volume")))
-    return both.withColumn("inertia", 0.4 * F.col("esr") * F.col("esr"))
+    grains = _relative(materialise(_measured(voxels), "grains")).withColumn("esr", esr(F.col("volume")))
+    return grains.withColumn("inertia", 0.4 * F.col("esr") * F.col("esr"))
 
 
 def fill_fraction(voxels: DataFrame) -> DataFrame:
@@ -72,34 +108,80 @@ def fill_fraction(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("set_id").agg(filled.alias("fill_fraction"), F.min(F.col("grain") > 0).alias("complete"))
 
 
-def slice_components(voxels: DataFrame, stride: int = 1000) -> DataFrame:
-    """(set_id, z, grain, x, y, lbl): like cells joined by edges in a slice; lbl is the first cell's y * stride + x.
-    stride: as large as the lattice's edge at least.
-
-    Cells along x are first compressed to runs, runs of neighbouring rows that overlap are linked, and the runs'
-    components are found."""
-    line = W.partitionBy("set_id", "z", "y").orderBy("x")
-    starts = voxels.where("grain > 0").withColumn("new", F.coalesce(((F.lag("grain").over(line) != F.col("grain")) | (F.lag("x").over(line) != F.col("x") - 1)).cast("int"), F.lit(1)))
-    numbered = starts.withColumn("run", F.sum("new").over(line))
-    runs = numbered.groupBy("set_id", "z", "y", "grain", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = materialise(runs.withColumn("lbl", F.col("y") * stride + F.col("x0")), "runs")
-    below = runs.select("set_id", "z", "grain", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("lbl").alias("b_lbl"))
-    slot = stride * stride
-    node = lambda lbl: (F.col("set_id") * stride + F.col("z")) * slot + F.col(lbl)
-    edges = runs.join(below, ["set_id", "z", "grain", "y"]).where("x0 <= b1 and b0 <= x1").select(node("lbl").alias("u"), node("b_lbl").alias("v"))
+def _first_of_parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For places 0..n-1 linked by pairs (a, b): the smallest place each is connected to."""
+    least = np.arange(n)
+    while len(a):
+        la, lb = least[a], least[b]
+        apart = la != lb
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(least, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(further := least[least], least):
+            least = further
+    return least
+
+
+def _label_tile(cells: pa.Table, stride: int) -> pa.Table:
+    """The tile's own filled cells with the label of their part of the tile and whether some neighbour is another."""
+    x, y, grain, own = (cells.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "grain", "own"))
+    if len(x) and max(x.max(), y.max()) >= stride:
+        raise ValueError(f"a cell lies beyond the lattice's edge {stride}")
+    wide, high, x0, y0 = int(x.max() - x.min()) + 3, int(y.max() - y.min()) + 3, x.min() - 1, y.min() - 1
+    at = (y - y0) * wide + x - x0
+    grid, mine = np.full(wide * high, -1, np.int64), np.zeros(wide * high, bool)
+    grid[at], mine[at] = grain, own & (grain > 0)
+    spots = np.flatnonzero(mine)
+    edge = np.zeros(len(spots), bool)
+    for step in (-1, 1, -wide, wide):
+        edge |= grid[spots + step] != grid[spots]
+    pairs = [(spots[like], spots[like] + step) for step in (1, wide) for like in [mine[spots + step] & (grid[spots + step] == grid[spots])]]
+    least = _first_of_parts(len(grid), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))[spots]
+    place = lambda v: (v // wide + y0, v % wide + x0)
+    (row, column), (row0, column0) = place(spots), place(least)
+    fixed = [pa.array(np.full(len(spots), cells.column(c)[0].as_py()), pa.int64()) for c in ("set_id", "z")]
+    values = [pa.array(v.astype(np.int64)) for v in (grid[spots], column, row, row0 * stride + column0)]
+    return pa.table([*fixed, *values, pa.array(edge)], names=["set_id", "z", "grain", "x", "y", "lbl", "edge"])
+
+
+def slice_cells(voxels: DataFrame, n: int, tile: int = 512) -> DataFrame:
+    """(set_id, z, grain, x, y, lbl, edge) of filled cells: like cells joined by edges in a slice have the label y * stride
+    + x of their first cell in the order of y, x, with a stride of 1000 or the lattice's edge n, if that is more; edge:
+    some of the four neighbours is missing or another.
+
+    Slices are cut into square tiles, which are labelled each on its own, with a rim of cells of the tiles next to them;
+    labels are joined across tiles only where a slice has several."""
+    stride = max(1000, n)
+    home = {c: F.floor(F.col(c) / tile).cast("long") for c in "xy"}
+    places = [F.struct(F.lit(True).alias("own"), home["x"].alias("tx"), home["y"].alias("ty"))]
+    for c in "xy":
+        for rim, step in ((0, -1), (tile - 1, 1)):
+            moved = [(home[a] + (step if a == c else 0)).alias(f"t{a}") for a in "xy"]
+            places.append(F.when(F.pmod(F.col(c), F.lit(tile)) == rim, F.struct(F.lit(False).alias("own"), *moved)))
+    dealt = voxels.select(*(F.col(c).cast("long").alias(c) for c in (*CELL, "grain")), F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("p"))
+    labelled = dealt.select(*CELL, "grain", "p.*").groupBy("set_id", "z", "tx", "ty").applyInArrow(lambda cells: _label_tile(cells, stride), "set_id long, z long, grain long, x long, y long, lbl long, edge boolean")
+    if n <= tile:
+        return labelled
+    labelled = materialise(labelled, "tiles")
+    node = (F.col("set_id") * stride + F.col("z")) * (stride * stride) + F.col("lbl")
+    edges = None
+    for c in "xy":
+        before = labelled.where(F.pmod(F.col(c), F.lit(tile)) == tile - 1).select("set_id", "z", "grain", *((F.col(a) + int(a == c)).alias(a) for a in "xy"), node.alias("u"))
+        met = before.join(labelled.where(F.pmod(F.col(c), F.lit(tile)) == 0).select("set_id", "z", "grain", "x", "y", node.alias("v")), ["set_id", "z", "grain", "x", "y"]).select("u", "v")
+        edges = met if edges is None else edges.unionByName(met)
     found = materialise(connected_components(edges), "slice-components")
-    named = runs.withColumn("node", node("lbl")).join(found, "node", "left").withColumn("lbl", F.coalesce(F.col("component") % slot, F.col("lbl")))
-    return named.select("set_id", "z", "grain", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "lbl")
+    joined = labelled.withColumn("node", node).join(found, "node", "left")
+    return joined.select("set_id", "z", "grain", "x", "y", F.coalesce(F.col("component") % (stride * stride), F.col("lbl")).alias("lbl"), "edge")
+
+
+def slice_components(voxels: DataFrame, n: int, tile: int = 512) -> DataFrame:
+    """(set_id, z, grain, x, y, lbl) of the filled cells, as in slice_cells."""
+    return slice_cells(voxels, n, tile).drop("edge")
 
 
-def slice_grains(voxels: DataFrame, n: int) -> DataFrame:
+def slice_grains(voxels: DataFrame, n: int, tile: int = 512) -> DataFrame:
     """One row per component of a slice: pixels, boundary pixels, share of the slice, equivalent radius, shape factors."""
-    rows, columns = W.partitionBy("set_id", "z", "y").orderBy("x"), W.partitionBy("set_id", "z", "x").orderBy("y")
-    like = lambda f, w, c, d: F.coalesce((f("grain").over(w) == F.col("grain")) & (f(c).over(w) == F.col(c) + d), F.lit(False))
-    inner = like(F.lag, rows, "x", -1) & like(F.lead, rows, "x", 1) & like(F.lag, columns, "y", -1) & like(F.lead, columns, "y", 1)
-    edge = voxels.withColumn("edge", (~inner).cast("int")).where("grain > 0").select(*CELL, "edge")
-    cells = slice_components(voxels, max(1000, n)).join(edge, CELL)
-    found = cells.groupBy("set_id", "z", "grain", F.col("lbl").alias("component")).agg(F.count(F.lit(1)).alias("area"), F.sum("edge").alias("perimeter"))
+    cells = slice_cells(voxels, n, tile)
+    found = cells.groupBy("set_id", "z", "grain", F.col("lbl").alias("component")).agg(F.count(F.lit(1)).alias("area"), F.sum(F.col("edge").cast("long")).alias("perimeter"))
     area, p = F.col("area"), F.col("perimeter")
     found = found.withColumn("norm_area", area / float(n * n)).withColumn("ecr", F.sqrt(F.col("norm_area") / PI_2D))
     ratio = lambda d: F.try_divide(4 * PI_2D * area, d.cast("double"))
@@ -114,18 +196,19 @@ def slice_last_component(slices: DataFrame) -> DataFrame:
 
 def exposed_faces(voxels: DataFrame) -> DataFrame:
     """(cell, grain, nx, ny, nz, corners): faces of filled cells against nothing or another id, with their four corners."""
-    faces = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(normal, ("nx", "ny", "nz"), strict=True)), F.array(*(F.array(*(F.lit(v) for v in CORNERS[k - 1])) for k in corners)).alias("corners")) for normal, corners in FACES))
-    sides = voxels.where("grain > 0").withColumn("f", F.explode(faces)).select(*CELL, "grain", "f.*")
-    at = [(F.col(c) + F.col(f"n{c}")).alias(f"a{c}") for c in "xyz"]
-    other = voxels.select("set_id", *(F.col(c).alias(f"a{c}") for c in "xyz"), F.col("grain").alias("other"))
-    met = sides.select("*", *at).join(other, ["set_id", "ax", "ay", "az"], "left")
-    shift = F.transform("corners", lambda k: F.array(F.col("x") + k[0], F.col("y") + k[1], F.col("z") + k[2]))
-    return met.where("other is null or other <> grain").select(*CELL, "grain", "nx", "ny", "nz", shift.alias("corners"))
+    sides = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(v).alias(c) for v, c in zip(normal, ("nx", "ny", "nz"), strict=True)), F.col("sides")[k].alias("other")) for k, normal in enumerate(SIDES)))
+    shown = F.filter(sides, lambda side: open_side(F.col("grain"), side["other"]))
+    faces = with_neighbours(voxels).where("grain > 0").select(*CELL, "grain", F.explode(shown).alias("f")).select(*CELL, "grain", "f.*")
+    # the corners follow from the face once it is known to be shown
+    offset = F.array(*(F.array(*(F.array(*(F.lit(v) for v in CORNERS[i - 1])) for i in corners)) for _, corners in FACES))
+    shift = F.transform(offset[F.col("k")], lambda o: F.array(F.col("x") + o[0], F.col("y") + o[1], F.col("z") + o[2]))
+    return faces.select(*CELL, "grain", "nx", "ny", "nz", shift.alias("corners"))
 
 
 def surface_voxels(voxels: DataFrame) -> DataFrame:
     """Filled cells with some exposed face."""
-    return voxels.where("grain > 0").join(exposed_faces(voxels).select(CELL), CELL, "left_semi")
+    shown = F.exists("sides", lambda other: open_side(F.col("grain"), other))
+    return with_neighbours(voxels).where("grain > 0").where(shown).select(*CELL, "grain")
 
 
 def near_cell_pairs(points: DataFrame, edge: int) -> DataFrame:
@@ -150,15 +233,24 @@ def cluster_merge(cells: DataFrame, n: int) -> DataFrame:
 
 
 def void_fill(voxels: DataFrame, n: int) -> DataFrame:
-    """Empty cells take the id of their first filled neighbour in the order of the 26 offsets, round by round, until none can."""
-    now = materialise(voxels.select(*CELL, "grain"), "voids")
-    while empty := now.where("grain = 0").count():
-        filled = now.where("grain > 0").select("set_id", *(F.col(c).alias(f"n{c}") for c in "xyz"), F.col("grain").alias("new"))
-        found = neighbours(now.where("grain = 0"), 26, n).join(filled, ["set_id", "nx", "ny", "nz"]).groupBy(*CELL).agg(F.min_by("new", "offset_no").alias("new"))
-        now = materialise(now.join(found, CELL, "left").select(*CELL, F.coalesce("new", "grain").alias("grain")), "voids")
-        if now.where("grain = 0").count() == empty:
+    """Empty cells take the id of their first filled neighbour in the order of the 26 offsets, round by round, until none can.
+
+    A cell with a filled neighbour is filled in the next round, so after the first round only the cells that the last one
+    filled can fill others: rounds carry those and the open cells, never the whole lattice."""
+    own = voxels.select(*CELL, "grain")
+    still, last, parts = own.where("grain = 0"), own.where("grain > 0"), [own.where("grain > 0")]
+    while True:
+        near = last.select("set_id", *(F.col(c).alias(f"n{c}") for c in "xyz"), F.col("grain").alias("new"))
+        found = neighbours(still, 26, n).join(near, ["set_id", "nx", "ny", "nz"]).groupBy(*CELL).agg(F.min_by("new", "offset_no").alias("grain"))
+        last = materialise(found.select(*CELL, F.col("grain").cast(own.schema["grain"].dataType).alias("grain")), "filled")
+        if last.isEmpty():
             break
-    return now
+        parts.append(last)
+        still = materialise(still.join(last.select(CELL), CELL, "left_anti"), "open")
+    out = still
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 def metric(kind: int):
@@ -237,3 +329,10 @@ def in_fibre_array(cells: DataFrame, n: int, r: int) -> DataFrame:
     spots = centres.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).where(F.floor(F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double"))) <= r)
     inside = spots.select((F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y"), F.lit(5).alias("core")).distinct()
     return cells.join(inside, ["x", "y"], "left").select("x", "y", "z", F.coalesce("core", F.lit(1)).alias("region"))
+
+
+def with_orientation(voxels: DataFrame, orientations: DataFrame) -> DataFrame:
+    """The cells with the orientation of their grain and its coordinate system, grain + 11; null where there is none."""
+    named = orientations.withColumnRenamed("grain", "of")
+    both = voxels.join(small_side(named, "orientations"), F.col("grain") == F.col("of"), "left").drop("of")
+    return both.withColumn("coord_sys_id", F.col("grain") + 11)

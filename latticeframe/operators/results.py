@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from latticeframe.functions import scalar as S
 from latticeframe.operators.lattice import CORNERS
+from latticeframe.plans.lineage import small_side
 
 STEP = ["set_id", "load_step"]
 
@@ -16,6 +17,12 @@ def with_derived(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"usum": S.usum(), "seqv": S.seqv(), "epseqv": S.epseqv()})
 
 
+def scaled(nodes: DataFrame, component: str) -> DataFrame:
+    """The nodes with `scaled`, a component's place between its least and largest value in the load step."""
+    limits = nodes.groupBy(*STEP).agg(F.min(component).alias("low"), F.max(component).alias("high"))
+    return nodes.join(small_side(limits, "limits"), STEP).withColumn("scaled", S.minmax_scale(component, "low", "high")).drop("low", "high")
+
+
 def component_values(nodes: DataFrame, components: list[str]) -> DataFrame:
     """Long form (keys, component, value) of the components picked by name."""
     return nodes.unpivot([*STEP, "id"], components, "component", "value")
@@ -49,6 +56,7 @@ def histogram(values: DataFrame, by: str, value: str, mode: str = "compat") -> D
     finite = values.where(S.finite_nonzero(value)).select(by, F.col(value).alias("v"))
     shape = finite.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
     shape = shape.withColumn("bins", F.floor(F.round(F.sqrt("total")) / 2).cast("long")).where("bins > 0").withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
+    shape = small_side(shape, "histogram-shapes")  # a row for each group, of which few may hold all values
     place = F.when(F.col("width") == 0, 0).otherwise(F.floor((F.col("v") - F.col("low")) / F.nullif("width", F.lit(0.0)))).cast("long")
     if mode == "closed":
         place = F.least(place, F.col("bins") - 1)
@@ -95,10 +103,18 @@ def cell_occupancy(points: DataFrame, inside: Column, clamp: bool = False) -> Da
     return cells.join(shares, ["i", "j", "k"], "left").select("i", "j", "k", F.coalesce("p", F.lit(0.0)).alias("probability"))
 
 
+def every_load(nodes: DataFrame, loads: DataFrame, most: int = 10_000, salts: int = 64) -> DataFrame:
+    """Every node of a set with every load case of the set. Up to `most` load cases are broadcast; beyond that they are
+    copied to `salts` parts of the nodes, as one set may hold all rows."""
+    if loads.count() <= most:
+        return nodes.join(F.broadcast(loads), "set_id")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return nodes.withColumn("part", F.pmod(F.xxhash64("x", "y", "z"), F.lit(salts)).cast("int")).join(loads.withColumn("part", parts), ["set_id", "part"]).drop("part")
+
+
 def strain_bc(nodes: DataFrame, loads: DataFrame, n: float) -> DataFrame:
     """(set_id, load_step, node, dof, value): displacements of the face nodes under every load case."""
-    faces = nodes.where(S.is_face_node("x", "y", "z", n))
-    both = faces.join(loads, "set_id")  # every node of a set meets every load case of the set
+    both = every_load(nodes.where(S.is_face_node("x", "y", "z", n)), loads)
     u = S.displacement("x", "y", "z", "exx", "eyy", "ezz", "exy", "eyz", "exz")
     wide = both.select("set_id", "load_step", F.col("id").alias("node"), *(c.alias(d) for c, d in zip(u, ("UX", "UY", "UZ"), strict=True)))
     return wide.unpivot(["set_id", "load_step", "node"], ["UX", "UY", "UZ"], "dof", "value")
@@ -129,9 +145,8 @@ def shear_bc(nodes: DataFrame, n: float, plane: str, shear: float) -> DataFrame:
 
 
 def face_node_union(nodes: DataFrame, n: float) -> DataFrame:
-    """Nodes on any of the six faces, each once."""
-    parts = [nodes.where(F.col(c) == at) for c in "xyz" for at in (0, n)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.distinct()
+    """Nodes on any of the six faces, each once; one pass takes the place of six selections."""
+    on_face = F.lit(False)
+    for c in "xyz":
+        on_face = on_face | F.col(c).isin(0, n)
+    return nodes.where(on_face).distinct()

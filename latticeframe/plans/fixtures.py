@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -17,14 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def size(spark: SparkSession, sf_dir: str) -> int:
-    """Edge of the largest cube with a cell for each order."""
-    return int(table(spark, sf_dir, "orders").count() ** (1 / 3) + 1e-9)
+    """Edge of the smallest cube with a cell for each order; its last slabs may be empty in part."""
+    return math.ceil(table(spark, sf_dir, "orders").count() ** (1 / 3) - 1e-9)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = size(spark, sf_dir), F.col("o_orderkey").cast("long")
-    own = table(spark, sf_dir, "orders").where(k < n**3)
-    return own.select(k.alias("k"), F.floor(k / (n * n)).cast("long").alias("x"), (F.floor(k / n) % n).cast("long").alias("y"), (k % n).alias("z"), F.col("o_custkey").cast("long").alias("ck"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), F.floor(k / (n * n)).cast("long").alias("x"), (F.floor(k / n) % n).cast("long").alias("y"), (k % n).alias("z"), F.col("o_custkey").cast("long").alias("ck"))
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +55,10 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("set_id", "x", "y", "z", "grain")
 
 
-def voxels_porous(spark: SparkSession, sf_dir: str) -> DataFrame:
+def voxels_porous(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The labelled cells with a tenth of them empty: that they are is the table, not a filter of a query."""
     grain = F.when(F.col("ck") % 10 == 0, F.lit(0).cast("long")).otherwise(F.col("grain"))
-    return labelled(spark, sf_dir).select("set_id", "x", "y", "z", grain.alias("grain"))
+    return labelled(spark, sf_dir).select("set_id", "x", "y", "z", grain.alias("grain"), *more)
 
 
 def node_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +79,9 @@ def load_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: SQL of the same tables, to stand after WITH.
 SQL = """
-dim as (select cast(floor(cbrt(count(*)) + 1e-9) as bigint) n from orders),
+dim as (select cast(ceil(cbrt(count(*)) - 1e-9) as bigint) n from orders),
 lat as (select cast(o_orderkey as bigint) k, cast(o_orderkey // (n*n) as bigint) x, cast((o_orderkey // n) % n as bigint) y,
-        cast(o_orderkey % n as bigint) z, n, cast(o_custkey as bigint) ck from orders cross join dim where o_orderkey < n*n*n),
+        cast(o_orderkey % n as bigint) z, n, cast(o_custkey as bigint) ck from orders cross join dim),
 hashed as (select cast(s_suppkey as bigint) + 1 grain, (cast(s_suppkey as bigint) * 2654435761 + 12345) % 4294967296 h from supplier),
 seeds as (select grain, h % n sx, (h // 1009) % n sy, (h // 1013579) % n sz from hashed cross join dim),
 vox as (select 1::bigint set_id, x, y, z, max(n) n, max(ck) ck, max(k) k,

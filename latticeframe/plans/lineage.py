@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """A table to join with a large one: written, counted, and broadcast only where it has no more than `most` rows."""
+    table = materialise(df, name)
+    return F.broadcast(table) if table.count() <= most else table

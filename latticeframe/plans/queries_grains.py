@@ -65,7 +65,7 @@ def fill_fraction(spark, sf):
 CC = """with recursive {fix},
 pv as materialized (select z, grain, x, y from porous where grain > 0),
 cc(z, grain, x, y, lbl) using key (z, x, y) as (
-  select z, grain, x, y, y * 1000 + x from pv
+  select z, grain, x, y, y * (select greatest(1000, n) from dim) + x from pv
   union
   select c.z, c.grain, c.x, c.y, min(n.lbl) from cc n join recurring.cc c
     on n.z = c.z and n.grain = c.grain and abs(n.x - c.x) + abs(n.y - c.y) = 1
@@ -90,12 +90,12 @@ def _slices(spark, sf):
 
 @query(CC + "select 1::bigint set_id, z, grain, x, y, lbl from cc")
 def slice_components(spark, sf):
-    return lattice.slice_components(X.voxels_porous(spark, sf))
+    return lattice.slice_components(X.voxels_porous(spark, sf), X.size(spark, sf))
 
 
 @query(CC + "select set_id, z, grain, component, area from full_sg")
 def slice_area(spark, sf):
-    return lattice.slice_components(X.voxels_porous(spark, sf)).groupBy("set_id", "z", "grain", F.col("lbl").alias("component")).agg(F.count(F.lit(1)).alias("area"))
+    return lattice.slice_components(X.voxels_porous(spark, sf), X.size(spark, sf)).groupBy("set_id", "z", "grain", F.col("lbl").alias("component")).agg(F.count(F.lit(1)).alias("area"))
 
 
 @query(CC + "select set_id, z, grain, component, perimeter from full_sg")
@@ -126,9 +126,16 @@ def slice_last_component(spark, sf):
 CORNER_SQL = """, c8 as (select * from (values (1,0,0,0),(2,1,0,0),(3,1,1,0),(4,0,1,0),(5,0,0,1),(6,1,0,1),(7,1,1,1),(8,0,1,1)) t(l,dx,dy,dz)),"""
 
 
-@query(f", {SURFACE} select set_id, x, y, z, grain, nx, ny, nz from faces")
+# the four corners of each face in drawing order, as the offsets of the cell's corners
+FACE_CORNERS = """, fc as (select * from (values (-1,0,0,'000 001 011 010'), (0,1,0,'010 011 111 110'), (1,0,0,'110 111 101 100'),
+(0,-1,0,'100 101 001 000'), (0,0,1,'101 111 011 001'), (0,0,-1,'110 100 000 010')) t(nx,ny,nz,o)),
+fo as (select nx, ny, nz, list_transform(string_split(o, ' '), lambda d: [substr(d, 1, 1)::bigint, substr(d, 2, 1)::bigint, substr(d, 3, 1)::bigint]) o from fc)"""
+
+
+@query(f", {SURFACE}{FACE_CORNERS} select set_id, x, y, z, grain, nx, ny, nz, array_to_string(list_transform(o, lambda d: concat(x + d[1], ' ', y + d[2], ' ', z + d[3])), ',') corners from faces join fo using (nx, ny, nz)")
 def exposed_faces(spark, sf):
-    return lattice.exposed_faces(X.voxels(spark, sf)).drop("corners")
+    at = F.transform("corners", lambda p: F.array_join(p.cast("array<string>"), " "))
+    return lattice.exposed_faces(X.voxels(spark, sf)).withColumn("corners", F.array_join(at, ","))
 
 
 @query(f", {SURFACE} select distinct set_id, x, y, z, grain from faces")
@@ -136,43 +143,43 @@ def surface_voxels(spark, sf):
     return lattice.surface_voxels(X.voxels(spark, sf))
 
 
-@query(", ce as (select x // 3 cx, y // 3 cy, z // 3 cz, k id from vox where ck % 10 = 0) select a.id id_a, b.id id_b from ce a join ce b on abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1 and abs(a.cz - b.cz) <= 1 and a.id < b.id")
-def near_cell_join(spark, sf):
-    return lattice.near_cell_pairs(X.labelled(spark, sf).where("ck % 10 = 0").select(F.col("k").alias("id"), "x", "y", "z"), 3)
-
-
 # all filled cells of the porous lattice are points; touching cells are met by offset
 @query(""", ce as materialized (select x // 3 cx, y // 3 cy, z // 3 cz, k id from vox where ck % 10 <> 0),
 near as (select a.dx, b.dy, c.dz from (values (-1), (0), (1)) a(dx) cross join (values (-1), (0), (1)) b(dy) cross join (values (-1), (0), (1)) c(dz)),
 sp as (select cx + dx cx, cy + dy cy, cz + dz cz, id from ce cross join near)
 select a.id id_a, b.id id_b from ce a join sp b on a.cx = b.cx and a.cy = b.cy and a.cz = b.cz and a.id < b.id""")
 def near_cell_join_filled(spark, sf):
-    return lattice.near_cell_pairs(X.labelled(spark, sf).where("ck % 10 <> 0").select(F.col("k").alias("id"), "x", "y", "z"), 3)
-
-
-CLUSTERS = "cl as (select x, y, z, k + 1 as cluster from vox where ck % 3 = 0)"
+    return lattice.near_cell_pairs(X.voxels_porous(spark, sf, "k").where("grain > 0").select(F.col("k").alias("id"), "x", "y", "z"), 3)
 
 
-def _clusters(spark, sf):
-    return X.labelled(spark, sf).where("ck % 3 = 0").select("x", "y", "z", (F.col("k") + 1).alias("cluster"))
+# and every cell of the full lattice
+@query(""", ce as materialized (select x // 2 cx, y // 2 cy, z // 2 cz, k id from vox),
+near as (select a.dx, b.dy, c.dz from (values (-1), (0), (1)) a(dx) cross join (values (-1), (0), (1)) b(dy) cross join (values (-1), (0), (1)) c(dz)),
+sp as (select cx + dx cx, cy + dy cy, cz + dz cz, id from ce cross join near)
+select a.id id_a, b.id id_b from ce a join sp b on a.cx = b.cx and a.cy = b.cy and a.cz = b.cz and a.id < b.id""")
+def near_cell_join(spark, sf):
+    return lattice.near_cell_pairs(X.cells(spark, sf).select(F.col("k").alias("id"), "x", "y", "z"), 2)
 
 
 @query(", cl as (select x, y, z, 1 + ck % 50 as cluster from porous_ck) select distinct a.cluster id_a, b.cluster id_b from cl a join cl b on abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 and a.cluster < b.cluster".replace(", cl as", ", porous_ck as (select * from vox where ck % 10 <> 0), cl as"))
 def cluster_contacts(spark, sf):
-    cells = X.labelled(spark, sf).where("ck % 10 <> 0").select("x", "y", "z", (1 + F.col("ck") % 50).alias("cluster"))
+    cells = X.voxels_porous(spark, sf, "ck").where("grain > 0").select("x", "y", "z", (1 + F.col("ck") % 50).alias("cluster"))
     return lattice.cluster_contacts(cells, X.size(spark, sf))
 
 
-@query(f"""with recursive {X.SQL}, {CLUSTERS.replace("cl as (", "cl as materialized (")},
-cc(x, y, z, cluster, merged) using key (x, y, z) as (
-  select x, y, z, cluster, cluster from cl
+# clusters by customer: scattered cells of one id, merged with all that they touch
+@query(f"""with recursive {X.SQL}, cl as materialized (select x, y, z, ck + 1 as cluster from vox where ck % 10 <> 0),
+six as materialized (select * from (values (-1,0,0),(1,0,0),(0,-1,0),(0,1,0),(0,0,-1),(0,0,1)) t(dx,dy,dz)),
+met as materialized (select distinct a.cluster u, b.cluster v from cl a cross join six s join cl b on b.x = a.x + s.dx and b.y = a.y + s.dy and b.z = a.z + s.dz),
+cc(cluster, merged) using key (cluster) as (
+  select distinct cluster, cluster from cl
   union
-  select c.x, c.y, c.z, c.cluster, min(n.merged) from cc n join recurring.cc c
-    on abs(n.x - c.x) + abs(n.y - c.y) + abs(n.z - c.z) = 1
-  group by c.x, c.y, c.z, c.cluster, c.merged having min(n.merged) < c.merged)
-select x, y, z, cluster, merged from cc""")
+  select c.cluster, min(n.merged) from cc n join met on met.u = n.cluster join recurring.cc c on c.cluster = met.v
+  group by c.cluster, c.merged having min(n.merged) < c.merged)
+select x, y, z, cluster, merged from cl join cc using (cluster)""")
 def cluster_merge(spark, sf):
-    return lattice.cluster_merge(_clusters(spark, sf), X.size(spark, sf))
+    cells = X.voxels_porous(spark, sf, "ck").where("grain > 0").select("x", "y", "z", (F.col("ck") + 1).alias("cluster"))
+    return lattice.cluster_merge(cells, X.size(spark, sf))
 
 
 @query(f"""with recursive {X.SQL}, cl as materialized (select x, y, z, k + 1 as cluster from vox where ck % 10 <> 0),
@@ -185,7 +192,7 @@ cc(x, y, z, cluster, merged) using key (x, y, z) as (
   group by c.x, c.y, c.z, c.cluster, c.merged having min(n.merged) < c.merged)
 select x, y, z, cluster, merged from cc""")
 def cluster_merge_filled(spark, sf):
-    cells = X.labelled(spark, sf).where("ck % 10 <> 0").select("x", "y", "z", (F.col("k") + 1).alias("cluster"))
+    cells = X.voxels_porous(spark, sf, "k").where("grain > 0").select("x", "y", "z", (F.col("k") + 1).alias("cluster"))
     return lattice.cluster_merge(cells, X.size(spark, sf))
 
 
@@ -200,10 +207,10 @@ def void_fill(spark, sf):
     return lattice.void_fill(X.voxels_porous(spark, sf), X.size(spark, sf))
 
 
-@query(", v as (select * from vox) select v.set_id, x, y, z, v.grain, v.grain + 11 coord_sys_id, e.w from v join (select vec_id + 1 grain, round(embedding[1]::double, 6) w from embeddings) e on e.grain = v.grain")
+@query(", v as (select * from vox) select v.set_id, x, y, z, v.grain, v.grain + 11 coord_sys_id, e.w from v left join (select vec_id + 1 grain, round(embedding[1]::double, 6) w from embeddings) e on e.grain = v.grain")
 def voxel_orientation(spark, sf):
     own = X.table(spark, sf, "embeddings").select((F.col("vec_id") + 1).alias("grain"), F.round(F.col("embedding")[0].cast("double"), 6).alias("w"))
-    return X.voxels(spark, sf).join(own, "grain").select("set_id", "x", "y", "z", "grain", (F.col("grain") + 11).alias("coord_sys_id"), "w")
+    return lattice.with_orientation(X.voxels(spark, sf), own).select("set_id", "x", "y", "z", "grain", "coord_sys_id", "w")
 
 
 LABEL = """, per as (select x, y, z, {d} d, grain from lat cross join seeds) select x, y, z, min(d * 1000000 + grain) % 1000000 grain, min(d * 1000000 + grain) // 1000000 d from per group by x, y, z"""
@@ -249,7 +256,7 @@ def lattice_order(spark, sf):
     return mesh.numbered(X.voxels(spark, sf), "x", ["y", "z"], "p").orderBy("x", "y", "z").select("x", "y", "z", "grain", (F.col("p") + 1).alias("position"))
 
 
-@query("with dim as (select cast(floor(cbrt(count(*)) + 1e-9) as bigint) n from orders), g as (select unnest(range(n*n*n)) i, n from dim) select i // (n*n) x, (i // n) % n y, i % n z, 0::bigint grain from g", name="lattice")
+@query("with dim as (select cast(ceil(cbrt(count(*)) - 1e-9) as bigint) n from orders), g as (select unnest(range(n*n*n)) i, n from dim) select i // (n*n) x, (i // n) % n y, i % n z, 0::bigint grain from g", name="lattice")
 def lattice_cells(spark, sf):
     return lattice.lattice(spark, X.size(spark, sf))
 
@@ -266,11 +273,29 @@ def neighbour_expand_periodic(spark, sf):
     return lattice.neighbours(cells, 6, X.size(spark, sf), periodic=True).drop("offset_no")
 
 
+OFFSETS = ", o as (select unnest(range(27)) i), st as (select i // 9 - 1 dx, i // 3 % 3 - 1 dy, i % 3 - 1 dz from o)"
+
+
+@query(OFFSETS + " select k.x, k.y, k.z, (k.x + dx + n) % n nx, (k.y + dy + n) % n ny, (k.z + dz + n) % n nz from lat k cross join st where dx <> 0 or dy <> 0 or dz <> 0")
+def neighbour_expand_periodic_26(spark, sf):
+    cells = X.cells(spark, sf).select("x", "y", "z")
+    return lattice.neighbours(cells, 26, X.size(spark, sf), periodic=True).drop("offset_no")
+
+
+@query(", cl as (select x, y, z, n, 1 + ck % 50 as cluster from vox where ck % 10 <> 0)" + OFFSETS + " select distinct a.cluster id_a, b.cluster id_b from cl a cross join st join cl b on b.x = (a.x + dx + a.n) % a.n and b.y = (a.y + dy + a.n) % a.n and b.z = (a.z + dz + a.n) % a.n where abs(dx) + abs(dy) + abs(dz) = 1 and a.cluster < b.cluster")
+def cluster_contacts_periodic(spark, sf):
+    cells = X.voxels_porous(spark, sf, "ck").where("grain > 0").select("x", "y", "z", (1 + F.col("ck") % 50).alias("cluster"))
+    return lattice.cluster_contacts(cells, X.size(spark, sf), periodic=True)
+
+
 MESH = CORNER_SQL + """ el as (select set_id, x, y, z, grain, row_number() over (order by x, y, z) - 1 e from porous where grain > 0),
 sp as (select set_id, e, grain, l - 1 l, (x + dx)::double x, (y + dy)::double y, (z + dz)::double z from el cross join c8),
 fs as (select set_id, x, y, z, min(8 * e + l) f from sp group by 1, 2, 3, 4),
 nd as (select set_id, row_number() over (order by f) id, x, y, z from fs)"""
-LOCAL20 = ",".join(str((i, *(v / 2 for v in o))) for i, o in enumerate(mesh.CORNERS_2 + mesh.EDGES_2))
+# the twenty nodes of a cell: eight corners, the edges of the bottom and of the top, then the upright ones
+LOCAL20 = """(0,0,0,0),(1,1,0,0),(2,1,1,0),(3,0,1,0),(4,0,0,1),(5,1,0,1),(6,1,1,1),(7,0,1,1),
+(8,0.5,0,0),(9,1,0.5,0),(10,0.5,1,0),(11,0,0.5,0),(12,0.5,0,1),(13,1,0.5,1),(14,0.5,1,1),(15,0,0.5,1),
+(16,0,0,0.5),(17,1,0,0.5),(18,1,1,0.5),(19,0,1,0.5)"""
 MESH20 = f""", c20 as (select l::bigint l, dx::double dx, dy::double dy, dz::double dz from (values {LOCAL20}) t(l,dx,dy,dz)),
 el as (select set_id, x, y, z, grain, row_number() over (order by x, y, z) - 1 e from porous where grain > 0),
 sp as (select set_id, e, grain, l, x + dx x, y + dy y, z + dz z from el cross join c20),
@@ -397,7 +422,13 @@ def cell_occupancy(spark, sf):
     return r6(results.cell_occupancy(_points(spark, sf), inside), "probability")
 
 
-@query("with dim as (select cast(floor(cbrt(count(*)) + 1e-9) as bigint) n from orders), g as (select unnest(range(n*n*n)) i, n, 3.0::double / (n - 1) s from dim) select round(i // (n*n) * s, 6) x, round(i // n % n * s, 6) y, round(i % n * s, 6) z from g")
+@query(TURNED + OCCUPANCY.replace("{f}", "floor").replace("{inside}", INSIDE).replace("{where}", ""))
+def cell_occupancy_clamped(spark, sf):
+    inside = S.in_ellipsoid("x", "y", "z", AXES, ANGLES)
+    return r6(results.cell_occupancy(_points(spark, sf), inside, clamp=True), "probability")
+
+
+@query("with dim as (select cast(ceil(cbrt(count(*)) - 1e-9) as bigint) n from orders), g as (select unnest(range(n*n*n)) i, n, 3.0::double / (n - 1) s from dim) select round(i // (n*n) * s, 6) x, round(i // n % n * s, 6) y, round(i % n * s, 6) z from g")
 def sample_grid(spark, sf):
     return r6(generate.sample_grid(spark, X.size(spark, sf)), "x", "y", "z")
 

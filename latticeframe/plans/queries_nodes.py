@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from latticeframe.functions import scalar as S
 from latticeframe.operators import results
+from latticeframe.operators.lattice import CORNERS
 from latticeframe.plans import fixtures as X
 from latticeframe.plans.queries_grains import r6
 from latticeframe.plans.registry import query
@@ -20,9 +21,13 @@ def _limits(nodes, component="sx"):
     return nodes.groupBy(*results.STEP).agg(F.min(component).alias("low"), F.max(component).alias("high"))
 
 
-@query("unpivot (select set_id, load_step, id, round(ux, 6) ux, round(sx, 6) sx, round(eps_x, 6) eps_x from nodes) on ux, sx, eps_x into name component value value".replace("unpivot", "select * from (unpivot") + ")")
+@query(f"""select * from (unpivot (select set_id, load_step, id, x::double x, y::double y, z::double z, ux, uy, uz, sx, sy, sz, sxy, syz, sxz,
+eps_x, eps_y, eps_z, eps_xy, eps_yz, eps_xz, {USUM} usum, {VM} seqv, {EVM} epseqv from nodes)
+on x, y, z, ux, uy, uz, sx, sy, sz, sxy, syz, sxz, eps_x, eps_y, eps_z, eps_xy, eps_yz, eps_xz, usum, seqv, epseqv into name component value value)""".replace("select * from", "select set_id, load_step, id, component, round(value + 1e-9, 6) as value from", 1))
 def component_select(spark, sf):
-    return r6(results.component_values(X.node_results(spark, sf), ["ux", "sx", "eps_x"]), "value")
+    nodes = results.with_derived(X.node_results(spark, sf)).withColumns({c: F.col(c).cast("double") for c in "xyz"})
+    # some values are short decimal fractions that end in a 5 at the seventh place
+    return r6(results.component_values(nodes, S.COMPONENTS[1:]).withColumn("value", F.col("value") + 1e-9), "value")
 
 
 @query(f"select load_step, id, round({VM}, 6) seqv from nodes")
@@ -42,17 +47,15 @@ def displacement_sum(spark, sf):
 
 @query(LIMITS + " select load_step, id, round(case when high = low then 1.0 else (sx - low) / nullif(high - low, 0) end, 6) scaled from nodes join lim using (set_id, load_step)")
 def minmax_scale(spark, sf):
-    nodes = X.node_results(spark, sf)
-    return nodes.join(_limits(nodes), results.STEP).select("load_step", "id", F.round(S.minmax_scale("sx", "low", "high"), 6).alias("scaled"))
+    return results.scaled(X.node_results(spark, sf), "sx").select("load_step", "id", F.round("scaled", 6).alias("scaled"))
 
 
 @query(LIMITS + " select load_step, id, floor(case when high = low then 1.0 else (sx - low) / nullif(high - low, 0) end * 8)::int as level from nodes join lim using (set_id, load_step)")
 def color_level(spark, sf):
-    nodes = X.node_results(spark, sf)
-    return nodes.join(_limits(nodes), results.STEP).select("load_step", "id", S.color_level(S.minmax_scale("sx", "low", "high")).alias("level"))
+    return results.scaled(X.node_results(spark, sf), "sx").select("load_step", "id", S.color_level("scaled").alias("level"))
 
 
-RAMP_SQL = ",".join(str((i, *c)) for i, c in enumerate(S.RAMP))
+RAMP_SQL = "(0,0,0,255),(1,0,178,255),(2,0,255,255),(3,0,255,178),(4,0,255,0),(5,178,255,0),(6,255,255,0),(7,255,178,0),(8,255,0,0)"
 
 
 @query(f""", r as (select * from (values {RAMP_SQL}) t(i, r, g, b)), used as (select distinct l_quantity::int as level from lineitem),
@@ -97,26 +100,40 @@ def legend_levels(spark, sf):
 ERROR_SQL = "case when {l} = 0 then 0.0 else round(({l} - {a}) / nullif({l}, 0) * 10000) / 100 end"
 
 
-@query(", a as (select load_step, round(avg(eps_x), 9) ax, round(avg(eps_xy) / 2, 9) axy from nodes group by 1) select load_step, " + ERROR_SQL.format(l="exx", a="ax") + " err_x, " + ERROR_SQL.format(l="exy", a="axy") + " err_xy from a join loads using (load_step)")
+PAIRS = [("exx", "eps_x"), ("eyy", "eps_y"), ("ezz", "eps_z"), ("exy", "eps_xy"), ("eyz", "eps_yz"), ("exz", "eps_xz")]
+AVERAGES = ", ".join(f"round(avg({c}){' / 2' if '_' in c[4:] or len(c) == 6 else ''}, 9) a{e}" for e, c in PAIRS)
+
+
+@query(f", a as (select load_step, {AVERAGES} from nodes group by 1) select load_step, " + ", ".join(ERROR_SQL.format(l=e, a=f"a{e}") + f" err_{e[1:]}" for e, _ in PAIRS) + " from a join loads using (load_step)")
 def strain_error_pct(spark, sf):
-    avg = X.node_results(spark, sf).groupBy("load_step").agg(F.round(F.avg("eps_x"), 9).alias("ax"), F.round(F.avg("eps_xy") / 2, 9).alias("axy"))
-    return avg.join(X.load_cases(spark, sf), "load_step").select("load_step", S.strain_error_pct("exx", "ax").alias("err_x"), S.strain_error_pct("exy", "axy").alias("err_xy"))
+    # the averaged shears are halved first
+    avg = X.node_results(spark, sf).groupBy("load_step").agg(*(F.round(F.avg(c) / (2 if len(c) == 6 else 1), 9).alias(f"a{e}") for e, c in PAIRS))
+    return avg.join(X.load_cases(spark, sf), "load_step").select("load_step", *(S.strain_error_pct(e, f"a{e}").alias(f"err_{e[1:]}") for e, _ in PAIRS))
 
 
-@query("select load_step, x, y, z, " + ", ".join(f"round(({e}) * 1e4, 6) {u}" for u, e in (("ux", "exx*x + exy*y + exz*z"), ("uy", "exy*x + eyy*y + eyz*z"), ("uz", "exz*x + eyz*y + ezz*z"))) + " from lat cross join loads where k % 100 = load_step")
-def strain_displacement(spark, sf):
-    cells = X.cells(spark, sf).withColumn("load_step", (F.col("k") % 100).cast("int"))
-    u = S.displacement("x", "y", "z", "exx", "eyy", "ezz", "exy", "eyz", "exz")
-    return cells.join(X.load_cases(spark, sf), "load_step").select("load_step", "x", "y", "z", *(F.round(c * 1e4, 6).alias(n) for n, c in zip(("ux", "uy", "uz"), u, strict=True)))
+MOVED = ", ".join(f"round(({e}) * 1e4, 6) {u}" for u, e in (("ux", "exx*x + exy*y + exz*z"), ("uy", "exy*x + eyy*y + eyz*z"), ("uz", "exz*x + eyz*y + ezz*z")))
 
 
-@query("select load_step, x, y, z, " + ", ".join(f"round(({e}) * 1e4, 6) {u}" for u, e in (("ux", "exx*x + exy*y + exz*z"), ("uy", "exy*x + eyy*y + eyz*z"), ("uz", "exz*x + eyz*y + ezz*z"))) + " from lat cross join loads")
-def strain_displacement_all(spark, sf):
+def _displaced(spark, sf, points):
     u = S.displacement("x", "y", "z", "exx", "eyy", "ezz", "exy", "eyz", "exz")
-    both = X.cells(spark, sf).crossJoin(F.broadcast(X.load_cases(spark, sf)))  # a case for each nation
+    both = results.every_load(points, X.load_cases(spark, sf))
     return both.select("load_step", "x", "y", "z", *(F.round(c * 1e4, 6).alias(n) for n, c in zip(("ux", "uy", "uz"), u, strict=True)))
 
 
+# the corners of the filled cells
+@query(f", c8 as (select * from (values (0,0,0),(1,0,0),(1,1,0),(0,1,0),(0,0,1),(1,0,1),(1,1,1),(0,1,1)) t(dx,dy,dz)), p as (select distinct x + dx x, y + dy y, z + dz z from porous cross join c8 where grain > 0) select load_step, x, y, z, {MOVED} from p cross join loads")
+def strain_displacement(spark, sf):
+    steps = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(o, ("dx", "dy", "dz"), strict=True))) for o in CORNERS))
+    spread = X.voxels_porous(spark, sf).where("grain > 0").withColumn("o", F.explode(steps))
+    points = spread.select("set_id", *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz")).distinct()
+    return _displaced(spark, sf, points)
+
+
+@query(f"select load_step, x, y, z, {MOVED} from lat cross join loads")
+def strain_displacement_all(spark, sf):
+    return _displaced(spark, sf, X.cells(spark, sf).select(F.lit(1).cast("long").alias("set_id"), "x", "y", "z"))
+
+
 FACE = "(least(x, y, z) <= 0.25 or greatest(x, y, z) >= n - 1.25)"
 
 
@@ -185,22 +202,26 @@ def loadstep_stats(spark, sf):
     return r6(found, *found.columns[2:])
 
 
-@query(", a as (select load_step, avg(sx) sx, avg(sy) sy, avg(sz) sz, avg(sxy) sxy, avg(syz) syz, avg(sxz) sxz, avg(eps_x) eps_x, avg(eps_yz) eps_yz from nodes group by 1) select a.load_step, round(sx, 6) s11, round(sxy, 6) s12, round(sxz, 6) s13, round(sxy, 6) s21, round(sy, 6) s22, round(syz, 6) s23, round(sxz, 6) s31, round(syz, 6) s32, round(sz, 6) s33, round(eps_x, 6) e11, round(eps_yz, 6) e23, exy l12 from a join loads using (load_step)")
+TENSORS = {"s": ["sx", "sy", "sz", "sxy", "syz", "sxz"], "e": ["eps_x", "eps_y", "eps_z", "eps_xy", "eps_yz", "eps_xz"], "l": ["exx", "eyy", "ezz", "exy", "eyz", "exz"]}
+# places of the six components, as listed above, in a symmetric tensor
+PLACES = {"11": 0, "22": 1, "33": 2, "12": 3, "21": 3, "23": 4, "32": 4, "13": 5, "31": 5}
+
+
+@query(", a as (select load_step, " + ", ".join(f"avg({c}) {c}" for c in TENSORS["s"] + TENSORS["e"]) + " from nodes group by 1) select a.load_step, " + ", ".join(f"round({cells[k]}, 6) {t}{at}" for t, cells in TENSORS.items() for at, k in PLACES.items()) + " from a join loads using (load_step)")
 def loadstep_tensors(spark, sf):
     t = results.loadstep_tensors(X.node_results(spark, sf), X.load_cases(spark, sf))
-    cell = lambda c, i, j: F.round(F.col(c)[i][j], 6)
-    return t.select("load_step", *(cell("stress", i, j).alias(f"s{i + 1}{j + 1}") for i in range(3) for j in range(3)), cell("strain", 0, 0).alias("e11"), cell("strain", 1, 2).alias("e23"), F.col("load")[0][1].alias("l12"))
+    return t.select("load_step", *(F.round(F.col(name)[i][j], 6).alias(f"{short}{i + 1}{j + 1}") for short, name in (("s", "stress"), ("e", "strain"), ("l", "load")) for i in range(3) for j in range(3)))
 
 
-@query("with t as (select p_size::bigint size, p_retailprice::double v, p_partkey from part) select size, round(coalesce(avg(case when p_partkey % 7 = 0 then v end), 0.0), 6) mean from t group by size")
+@query("with t as (select p_size::bigint size, p_retailprice::double v from part) select size, round(coalesce(avg(v), 0.0), 6) mean from t group by size")
 def safe_mean(spark, sf):
-    own = X.table(spark, sf, "part")
-    return own.groupBy(F.col("p_size").cast("long").alias("size")).agg(F.round(F.coalesce(F.avg(F.when(F.col("p_partkey") % 7 == 0, F.col("p_retailprice").cast("double"))), F.lit(0.0)), 6).alias("mean"))
+    own = X.table(spark, sf, "part").select(F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").cast("double").alias("v"))
+    return own.groupBy("size").agg(F.round(S.safe_mean("v"), 6).alias("mean"))
 
 
 @query("select event_type, round(coalesce(avg(value::double), 0.0), 6) mean from events group by event_type")
 def safe_mean_events(spark, sf):
-    return X.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.coalesce(F.avg(F.col("value").cast("double")), F.lit(0.0)), 6).alias("mean"))
+    return X.table(spark, sf, "events").groupBy("event_type").agg(F.round(S.safe_mean(F.col("value").cast("double")), 6).alias("mean"))
 
 
 @query("select l.load_step, x, y, z, round(coalesce(m.sx, 0), 6) as value from (select load_step, lat.* from lat cross join (select distinct load_step from nodes) s) l left join nodes m using (load_step, x, y, z)")
@@ -248,9 +269,31 @@ def tension_bc(spark, sf):
     return r6(results.tension_bc(_nodes(spark, sf), X.size(spark, sf) - 1, (0.001, 0.002, 0.003)).drop("set_id"), "value")
 
 
-@query(NODES + ", t as (select id node, 'UX' dof, case when z = 0 then 0.0::double else round(m * 0.001::double, 6) end as value from nd where z = 0 or z = m union select id, 'UY', 0.0 from nd where z = 0 or z = m union select id, 'UZ', 0.0 from nd where x = 0 or x = m union select id, 'UY', 0.0 from nd where x = 0 or x = m) select node, dof, value from t")
+# for each plane: the axis that drives, the one that slides under it, and the free one
+def shear_sql(drive, slide, free):
+    rows = [f"select id node, 'U{drive.upper()}' dof, case when {slide} = 0 then 0.0::double else round(m * 0.001::double, 6) end as value from nd where {slide} = 0 or {slide} = m"]
+    rows.append(f"select id, 'U{free.upper()}', 0.0 from nd where {slide} = 0 or {slide} = m")
+    rows += [f"select id, 'U{a.upper()}', 0.0 from nd where {drive} = 0 or {drive} = m" for a in (slide, free)]
+    return NODES + f", t as ({' union '.join(rows)}) select node, dof, value from t"
+
+
+def _shear(spark, sf, plane):
+    return r6(results.shear_bc(_nodes(spark, sf), X.size(spark, sf) - 1, plane, 0.001).drop("set_id"), "value")
+
+
+@query(shear_sql("x", "z", "y"))
 def shear_bc(spark, sf):
-    return r6(results.shear_bc(_nodes(spark, sf), X.size(spark, sf) - 1, "XZ", 0.001).drop("set_id"), "value")
+    return _shear(spark, sf, "XZ")
+
+
+@query(shear_sql("x", "y", "z"))
+def shear_bc_xy(spark, sf):
+    return _shear(spark, sf, "XY")
+
+
+@query(shear_sql("y", "z", "x"))
+def shear_bc_yz(spark, sf):
+    return _shear(spark, sf, "YZ")
 
 
 @query(NODES + " select id, x, y, z from nd where least(x, y, z) = 0 or greatest(x, y, z) = m")

@@ -49,10 +49,30 @@ def _filled_store(spark, sf):
     return root
 
 
-@query(", s as (select 1 set_id, grain from vox union all select 2, grain from porous) select set_id, count(*) cells, cast(sum(grain) as bigint) grains from s group by 1")
+@query(""", s as (select 1 set_id, x, y, z, grain from vox union all select 2, x, y, z, grain from porous),
+v as (select set_id, count(*) cells, cast(sum(grain) as bigint) grains, cast(greatest(max(x), max(y), max(z)) + 1 as bigint) cube_size, max(grain) num_points from s group by 1),
+o as (select count(*) orientations, round(sum(embedding[1]::double), 4) phi1 from embeddings),
+r as (select case when load_step <= 3 then 1 else 2 end set_id, count(*) n_results, count(distinct load_step) n_steps from nodes group by 1),
+st as (select case when load_step <= 3 then 1 else 2 end set_id, load_step, max(sx) top, avg(sx) mean from nodes group by 1, 2),
+st2 as (select set_id, round(sum(top), 4) max_sx, round(sum(mean), 4) avg_sx from st group by 1),
+ld as (select count(*) n_loads, round(sum(exx + eyy + ezz + exy + eyz + exz) * 1e4, 4) strain from loads)
+select v.*, orientations, phi1, n_results, n_steps, max_sx, avg_sx, n_loads, strain from v join r using (set_id) join st2 using (set_id) cross join o cross join ld""")
 def result_store_append(spark, sf):
     root = _filled_store(spark, sf)
-    return spark.read.parquet(f"{root}/voxels").groupBy("set_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("grain").alias("grains"))
+    kept = lambda name: store.scan(spark, root, name).groupBy("set_id")
+    one = F.count(F.lit(1))
+    parts = [
+        kept("voxels").agg(one.alias("cells"), F.sum("grain").alias("grains")),
+        store.scan(spark, root, "geometry_sets").select("set_id", F.col("cube_size").cast("long").alias("cube_size"), "num_points"),
+        kept("orientations").agg(one.alias("orientations"), F.round(F.sum("phi1"), 4).alias("phi1")),
+        kept("results").agg(one.alias("n_results"), F.count_distinct("load_step").alias("n_steps")),
+        kept("result_stats").agg(F.round(F.sum("max_sx"), 4).alias("max_sx"), F.round(F.sum("avg_sx"), 4).alias("avg_sx")),
+        kept("load_cases").agg(one.alias("n_loads"), F.round(F.sum(F.expr("exx + eyy + ezz + exy + eyz + exz")) * 1e4, 4).alias("strain")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "set_id")
+    return out
 
 
 @query(f"select {SHOWN} from nodes where load_step = 5")
@@ -79,14 +99,17 @@ def dense_array_pack(spark, sf):
     return packed.withColumn("values", F.array_join(F.transform("values", lambda v: F.round(v.cast("double") * 1000).cast("long").cast("string")), ","))
 
 
-@query(f", {G.VOLUME}, {G.SURFACE} select volume, round(volume / max(volume) over (), 6) norm_volume, surface_area, round(pow(3 * volume / (4 * pi()), 1.0 / 3), 6) esr from vol join surf using (set_id, grain)")
+@query(G.CC + f""", {G.VOLUME}, {G.SURFACE} select round(norm_area, 6) norm_area, perimeter, round(shape_factor, 6) shape_factor, ecr, volume,
+round(volume / (select max(volume) from vol), 6) norm_volume, surface_area, round(0.4 * pow(3 * volume / (4 * pi()), 2.0 / 3), 6) inertia, round(pow(3 * volume / (4 * pi()), 1.0 / 3), 6) esr
+from full_sg join vol using (set_id, grain) join surf using (set_id, grain)""")
 def grain_property_csv(spark, sf):
+    """A row for each component of a slice, with the properties of its grain."""
     path = _folder(spark, "properties")
-    null = F.lit(None).cast("double")
-    grains = lattice.grain_properties(X.voxels(spark, sf)).withColumns({c: null for c in ("norm_area", "perimeter", "shape_factor", "ecr")})
-    files.write_property_csv(grains, path)
-    read = files.read_csv(spark, path, ", ".join(f"`{c}` {'long' if c in ('Volume', 'SurfaceArea') else 'double'}" for c in files.PROPERTY_HEADER.values()))
-    return read.select(F.col("Volume").alias("volume"), F.round("NormVolume", 6).alias("norm_volume"), F.col("SurfaceArea").alias("surface_area"), F.round("ESR", 6).alias("esr"))
+    slices = lattice.slice_grains(X.voxels_porous(spark, sf), X.size(spark, sf))
+    files.write_property_csv(slices.join(lattice.grain_properties(X.voxels(spark, sf)), ["set_id", "grain"]), path)
+    read = files.read_csv(spark, path, ", ".join(f"`{c}` {'long' if c in ('Perimeter', 'Volume', 'SurfaceArea') else 'double'}" for c in files.PROPERTY_HEADER.values()))
+    read = read.select(*(F.col(name).alias(c) for c, name in files.PROPERTY_HEADER.items())).withColumn("shape_factor", F.col("shape_factor") + 1e-9)
+    return G.r6(read, "norm_area", "shape_factor", "ecr", "norm_volume", "inertia", "esr")
 
 
 @query(G.TURNED + G.OCCUPANCY.replace("{f}", "floor").replace("{inside}", G.INSIDE).replace("{where}", "where p.x < 3 and p.y < 3 and p.z < 3"))
@@ -97,11 +120,15 @@ def probability_csv(spark, sf):
     return read.select(F.col("X").alias("i"), F.col("Y").alias("j"), F.col("Z").alias("k"), F.col("Probability").alias("probability"))
 
 
-@query("select load_step, count(*) n, round(min(sx), 6) low, round(max(sx), 6) high from nodes group by 1")
+LONG = "unpivot (select load_step, x::double x, y::double y, z::double z, " + ", ".join(f"{c}::double {c}" for c in ingest.COMPONENTS[3:]) + f" from nodes) on {', '.join(ingest.COMPONENTS)} into name component value v"
+
+
+@query(f"select load_step, component, count(*) n, round(avg(v) + 1e-9, 4) avg, round(min(v) + 1e-9, 4) low, round(max(v) + 1e-9, 4) high from ({LONG}) group by 1, 2")
 def loadstep_stream_ingest(spark, sf):
     source, kept, marks = (_folder(spark, f"stream-{x}") for x in ("in", "store", "marks"))
     nodes = materialise(X.node_results(spark, sf), "nodes")
     for part in (nodes.where("load_step <= 4"), nodes.where("load_step > 4")):  # files arrive in two goes
         files.write_loadsteps(part, f"{source}/{uuid.uuid4().hex}")
         ingest.ingest_loadsteps(spark, source, kept, marks)
-    return G.r6(ingest.running_stats(spark, kept, "sx"), "low", "high")
+    found = ingest.running_stats(spark, kept)
+    return found.select("load_step", "component", "n", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("avg", "low", "high")))

@@ -41,16 +41,18 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def write_loadsteps(nodes: DataFrame, path: str) -> None:
-    """Text of fixed-width fields in one job: a folder `ls=<n>` for each load step with one file, a header line first,
-    then the nodes in order of id. Readers take the step from the name, as in files `ls_<n>.csv`."""
+def write_loadsteps(nodes: DataFrame, path: str, file_ids: int = 1_000_000) -> None:
+    """Text of fixed-width fields: a folder `ls=<n>` for each load step, in it a folder `ids=<b>` for each `file_ids` ids,
+    in that one file, a header line first, then the nodes in order of id. Load steps are few, so it is the ranges of ids
+    that spread the work. Readers take the step from the path, as in files `ls_<n>.csv`."""
     form = ";".join(["%16.0f"] + ["%16.8E"] * (len(STORED) - 1)) + ";"
     line = F.format_string(form, *(F.col(c).cast("double") for c in STORED))
     header = F.lit(";".join(c.rjust(WIDTH) for c in STORED) + ";")
-    body = nodes.select(F.col("load_step").alias("ls"), F.col("id").alias("k"), line.alias("value"))
-    heads = nodes.select(F.col("load_step").alias("ls")).distinct().select("ls", F.lit(None).cast("long").alias("k"), header.alias("value"))
-    rows = heads.unionByName(body).repartition("ls").sortWithinPartitions("ls", F.col("k").asc_nulls_first())
-    rows.select("ls", "value").write.mode("overwrite").partitionBy("ls").text(path)
+    file = [F.col("load_step").alias("ls"), F.floor(F.col("id") / file_ids).cast("long").alias("ids")]
+    body = nodes.select(*file, F.col("id").alias("k"), line.alias("value"))
+    heads = nodes.select(*file).distinct().select("ls", "ids", F.lit(None).cast("long").alias("k"), header.alias("value"))
+    rows = heads.unionByName(body).repartition("ls", "ids").sortWithinPartitions("ls", "ids", F.col("k").asc_nulls_first())
+    rows.select("ls", "ids", "value").write.mode("overwrite").partitionBy("ls", "ids").text(path)
 
 
 def parse_loadsteps(lines: DataFrame) -> DataFrame:

@@ -1,49 +1,80 @@
-"""Result store: Parquet tables partitioned by geometry set, and results also by load step."""
+"""Result store: Parquet tables partitioned by geometry set, and results also by load step.
+
+A set is appended whole or not at all. Its id is claimed by making the file `claims/<id>`, which only one writer can, and
+it counts from the moment that `commits/<id>` is there, which is made last; readers leave out what has no commit. Both
+folders are listed, not read, so neither ids nor the catalog open a data file of a set.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeframe.operators.results import loadstep_stats
+from latticeframe.plans.lineage import materialise
+
+NOT_COMPONENTS = ("set_id", "load_step", "id")
+
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) by which the cluster reaches a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
-def _table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{root}/{name}")
-    except AnalysisException:
-        return None
 
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Names of the files of a folder as numbers, in order; none where there is no folder."""
+    files, place = _folder(spark, path)
+    return sorted(int(f.getPath().getName()) for f in files.listStatus(place)) if files.exists(place) else []
 
-def next_set_id(spark: SparkSession, root: str) -> int:
-    """One more than the last set, 1 in an empty store; from partition names alone."""
-    voxels = _table(spark, root, "voxels")
-    return 1 if voxels is None else (voxels.agg(F.coalesce(F.max("set_id"), F.lit(0))).first()[0] + 1)
+
+def _make(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; false where it is there already."""
+    files, place = _folder(spark, path)
+    files.mkdirs(place.getParent())
+    return files.createNewFile(place)
+
+
+def claim_set_id(spark: SparkSession, root: str) -> int:
+    """One more than the last claimed set, 1 in an empty store; claimed for this writer alone."""
+    new = max(_numbers(spark, f"{root}/claims"), default=0) + 1
+    while not _make(spark, f"{root}/claims/{new}"):
+        new += 1
+    return new
+
+
+def committed(spark: SparkSession, root: str) -> list[int]:
+    return _numbers(spark, f"{root}/commits")
 
 
 def append_set(root: str, voxels: DataFrame, orientations: DataFrame, nodes: DataFrame | None = None, loads: DataFrame | None = None) -> int:
     """Append one geometry set, and with it its load steps' results, statistics and load vectors; gives its id."""
     spark = voxels.sparkSession
-    new = next_set_id(spark, root)
-    put = lambda df, name, *by: df.withColumn("set_id", F.lit(new)).write.mode("append").partitionBy("set_id", *by).parquet(f"{root}/{name}")
+    new = claim_set_id(spark, root)
+
+    def put(df: DataFrame, name: str, *by: str) -> None:
+        df.withColumn("set_id", F.lit(new)).write.mode("append").partitionBy("set_id", *by).parquet(f"{root}/{name}")
+
     put(voxels, "voxels")
-    put(voxels.agg((F.max("x") + 1).alias("cube_size"), F.max("grain").alias("num_points")), "geometry_sets")
+    put(voxels.agg((F.greatest(F.max("x"), F.max("y"), F.max("z")) + 1).alias("cube_size"), F.max("grain").alias("num_points")), "geometry_sets")
     put(orientations, "orientations")
     if nodes is not None:
         put(nodes, "results", "load_step")
-        put(loadstep_stats(nodes, [c for c in nodes.columns if c not in ("set_id", "load_step", "id")]), "result_stats", "load_step")
+        stats = loadstep_stats(nodes, [c for c in nodes.columns if c not in NOT_COMPONENTS])
+        put(materialise(stats, "stats"), "result_stats", "load_step")
     if loads is not None:
         put(loads, "load_cases", "load_step")
+    _make(spark, f"{root}/commits/{new}")
     return new
 
 
-def scan(spark: SparkSession, root: str, name: str, set_id: int, load_step: int | None = None) -> DataFrame:
-    """One set, or one load step of it; the predicates prune partitions."""
-    rows = spark.read.parquet(f"{root}/{name}").where(F.col("set_id") == set_id)
+def scan(spark: SparkSession, root: str, name: str, set_id: int | None = None, load_step: int | None = None) -> DataFrame:
+    """One committed set, or all of them, or one load step; the predicates prune partitions."""
+    wanted = [i for i in committed(spark, root) if set_id in (None, i)]
+    rows = spark.read.parquet(f"{root}/{name}").where(F.col("set_id").isin(wanted))
     return rows if load_step is None else rows.where(F.col("load_step") == load_step)
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
-    """(set_id, load_step) of the store in numeric order."""
-    return spark.read.parquet(f"{root}/results").select("set_id", "load_step").distinct().orderBy("set_id", "load_step")
+    """(set_id, load_step) of the store in numeric order, from the statistics, which have one row for each."""
+    return scan(spark, root, "result_stats").select("set_id", "load_step").distinct().orderBy("set_id", "load_step")

@@ -5,23 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticeframe.functions.scalar import STORED
 from latticeframe.sources.files import parse_loadsteps
 
+COMPONENTS = STORED[1:]
+
+
+def partial_stats(rows: DataFrame) -> DataFrame:
+    """(load_step, component, n, total, low, high): what a batch adds to the running statistics."""
+    parts = F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).alias("v")) for c in COMPONENTS))
+    long = rows.select("load_step", F.explode(parts).alias("p")).select("load_step", "p.*")
+    return long.groupBy("load_step", "component").agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
+
 
 def ingest_loadsteps(spark: SparkSession, source: str, store: str, checkpoint: str) -> None:
-    """Append all files that have come since the last run. A batch overwrites the partitions of its own number, so a
-    batch that runs twice leaves one copy."""
+    """Append all files that have come since the last run: their rows under `rows`, and what they add to the running
+    statistics under `stats`. A batch overwrites the partitions of its own number, so one that runs twice leaves one copy."""
     lines = spark.readStream.schema("value string").option("recursiveFileLookup", True).format("text").load(source)
     lines = lines.select("value", F.col("_metadata.file_path").alias("path"))
 
     def put(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "load_step").parquet(store)
+        write = lambda df, name, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{store}/{name}")
+        write(rows, "rows", "batch", "load_step")
+        held = spark.read.schema(rows.schema).parquet(f"{store}/rows").where(F.col("batch") == number)
+        write(partial_stats(held).withColumn("batch", F.lit(number)), "stats", "batch")
 
     query = parse_loadsteps(lines).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def running_stats(spark: SparkSession, store: str, component: str) -> DataFrame:
-    """Count and range of a component for each load step over all that was ingested."""
-    return spark.read.parquet(store).groupBy("load_step").agg(F.count(F.lit(1)).alias("n"), F.min(component).alias("low"), F.max(component).alias("high"))
+def running_stats(spark: SparkSession, store: str) -> DataFrame:
+    """(load_step, component, n, avg, low, high) over all that was ingested, from the batches' own statistics."""
+    held = spark.read.parquet(f"{store}/stats").groupBy("load_step", "component")
+    summed = held.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return summed.select("load_step", "component", "n", F.try_divide("total", "n").alias("avg"), "low", "high")

@@ -77,12 +77,29 @@ def flood(cells, near):
 def test_slice_components_by_flood(spark, porous, parts):
     cells = {(z, y, x): g for _, x, y, z, g in porous if g}
     plain = flood(cells, [(0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0)])
-    found = {(r.z, r.y, r.x): r.lbl for r in L.slice_components(table(spark, porous, parts)).collect()}
-    assert found == {at: s[1] * 1000 + s[2] for at, s in plain.items()}
+    edges = {at: any(cells.get((at[0], at[1] + a, at[2] + b)) != cells[at] for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))) for at in cells}
+    for tile in (512, 3, 2):  # one tile for a slice, or many
+        found = {(r.z, r.y, r.x): (r.lbl, r.edge) for r in L.slice_cells(table(spark, porous, parts), 6, tile).collect()}
+        assert found == {at: (s[1] * 1000 + s[2], edges[at]) for at, s in plain.items()}
     areas = L.slice_grains(table(spark, porous, parts), 5).groupBy("grain").agg(F.sum("area")).collect()
     assert sorted(map(tuple, areas)) == sorted((r.grain, r.volume) for r in L.grain_volume(table(spark, porous)).collect())
 
 
+@pytest.mark.parametrize("brick", [2, 3, 32])
+def test_neighbours_across_bricks(spark, porous, brick):
+    cells = {(x, y, z): g for _, x, y, z, g in porous if (x + 2 * y + z) % 5}
+    rows = spark.createDataFrame([(1, *at, g) for at, g in cells.items()], "set_id long, x long, y long, z long, grain long")
+    found = {(r.x, r.y, r.z): r.sides for r in L.with_neighbours(rows, brick).collect()}
+    assert found == {at: [cells.get(tuple(a + b for a, b in zip(at, o, strict=True))) for o in L.SIDES] for at in cells}
+
+
+def test_slices_beyond_the_edge_are_an_error(spark):
+    far = spark.createDataFrame([(1, 1500, 0, 0, 1)], "set_id long, x long, y long, z long, grain long")
+    with pytest.raises(Exception, match="beyond the lattice's edge"):
+        L.slice_components(far, 5).collect()
+    assert L.slice_components(far, 1501).first().lbl == 1500
+
+
 def test_surface_equals_faces(spark, porous):
     v = table(spark, porous)
     faces = dict(map(tuple, L.exposed_faces(v).groupBy("grain").count().collect()))

@@ -75,7 +75,9 @@ def nodes(spark, steps):
 
 def test_loadstep_text(spark, tmp_path):
     made = nodes(spark, [1, 12])
-    files.write_loadsteps(made, str(tmp_path / "ls"))
+    files.write_loadsteps(made, str(tmp_path / "ls"), file_ids=3)
+    held = [p for p in (tmp_path / "ls").rglob("*.txt")]
+    assert len(held) == 4 and all(p.read_text().split(";")[0].strip() == "id" for p in held)  # two ranges of ids a step, a header each
     read = files.read_loadsteps(spark, str(tmp_path / "ls"))
     assert sorted(map(tuple, read.select(made.columns[1:]).collect())) == sorted(map(tuple, made.drop("set_id").collect()))
 
@@ -86,8 +88,15 @@ def test_store(spark, tmp_path):
     o = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "grain long, phi1 double, phi double, phi2 double")
     assert [store.append_set(root, v, o, nodes(spark, [s])) for s in (2, 10)] == [1, 2]
     assert [tuple(r) for r in store.catalog(spark, root).collect()] == [(1, 2), (2, 10)]
+    # a writer that stopped half way has a claim and data, but no commit
+    assert store.claim_set_id(spark, root) == 3
+    v.withColumn("set_id", F.lit(3)).write.mode("append").partitionBy("set_id").parquet(f"{root}/voxels")
+    assert store.append_set(root, v, o, nodes(spark, [4])) == 4
+    assert store.committed(spark, root) == [1, 2, 4] and store.scan(spark, root, "voxels").select("set_id").distinct().count() == 3
+    assert store.scan(spark, root, "voxels", 3).count() == 0
     pruned = store.scan(spark, root, "results", 2, 10)
-    assert pruned.count() == 4 and "PartitionFilters: [isnotnull(set_id" in pruned._jdf.queryExecution().toString()
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert pruned.count() == 4 and "set_id" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
@@ -96,4 +105,20 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         if steps:
             files.write_loadsteps(nodes(spark, steps), f"{source}/{k}")
         ingest.ingest_loadsteps(spark, source, kept, marks)
-    assert sorted((r.load_step, r.n) for r in ingest.running_stats(spark, kept, "sx").collect()) == [(1, 4), (2, 4), (3, 4)]
+    assert spark.read.parquet(f"{kept}/rows").count() == 12
+    found = {(r.load_step, r.component): r for r in ingest.running_stats(spark, kept).collect()}
+    made = {r.load_step: r for r in results.loadstep_stats(nodes(spark, [1, 2, 3]), ingest.COMPONENTS).collect()}
+    assert set(found) == {(s, c) for s in (1, 2, 3) for c in ingest.COMPONENTS}
+    for (step, c), r in found.items():
+        assert r.n == 4 and (r.avg, r.low, r.high) == pytest.approx((made[step][f"avg_{c}"], made[step][f"min_{c}"], made[step][f"max_{c}"]), abs=1e-6)
+
+
+def test_many_load_cases_are_salted(spark):
+    made = nodes(spark, [1]).select("set_id", "x", "y", "z")
+    loads = spark.range(30).select(F.lit(1).cast("long").alias("set_id"), F.col("id").cast("int").alias("load_step"))
+    for most in (30, 5):
+        assert results.every_load(made, loads, most).groupBy("load_step").count().where("count = 4").count() == 30
+
+
+def test_mean_of_nothing(spark):
+    assert spark.range(3).select(F.lit(None).cast("double").alias("v")).agg(S.safe_mean("v")).first()[0] == 0.0
