@@ -44,6 +44,61 @@ def color_level(scaled, levels: int = 9) -> Column:
     return F.floor(col(scaled) * (levels - 1)).cast("int")
 
 
+def ramp_color(level, levels: int) -> Column:
+    """Struct (red, green, blue, alpha) of a level 0..levels of the ramp, between its anchors in proportion; channels are cut
+    to whole numbers."""
+    place = col(level) / float(levels) * (len(RAMP) - 1)
+    low = F.least(F.floor(place), F.lit(len(RAMP) - 2)).cast("int")
+    channels = []
+    for k, name in enumerate(("red", "green", "blue")):
+        anchors = F.array(*(F.lit(c[k]) for c in RAMP))
+        channels.append(F.floor(anchors[low] + (place - low) * (anchors[low + 1] - anchors[low])).cast("int").alias(name))
+    return F.struct(*channels, F.lit(255).alias("alpha"))
+
+
+def _by_sector(sector: Column, *values: Column) -> Column:
+    """The value for each of six sectors of the colour circle."""
+    out = F.when(sector < 1, values[0])
+    for k, v in enumerate(values[1:-1], 2):
+        out = out.when(sector < k, v)
+    return F.floor(255 * out.otherwise(values[-1])).cast("int")
+
+
+def grain_color(grain, grains: int) -> Column:
+    """Struct (red, green, blue, alpha) of a grain 1..grains: hues all round, full saturation and value, alpha 0.85."""
+    sector = (col(grain) - 1) * 360.0 / grains / 60
+    mid, one, zero = 1 - F.abs(sector % 2 - 1), F.lit(1.0), F.lit(0.0)
+    red = _by_sector(sector, one, mid, zero, zero, mid, one)
+    green = _by_sector(sector, mid, one, one, mid, zero, zero)
+    blue = _by_sector(sector, zero, zero, mid, one, one, mid)
+    return F.struct(red.alias("red"), green.alias("green"), blue.alias("blue"), F.lit(216).alias("alpha"))
+
+
+def legend_values(low, high, levels: int = 9) -> Column:
+    """Array of (position, value): levels + 1 equal steps from high down to low; a range of one value is widened by 0.01 both
+    ways."""
+    flat, low, high = col(low) == col(high), col(low), col(high)
+    bottom, top = F.when(flat, low - 0.01).otherwise(low), F.when(flat, high + 0.01).otherwise(high)
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("position"), (top - k * (top - bottom) / levels).alias("value")))
+
+
+def seed_count(concentration, size) -> Column:
+    """Seeds of a cube for a concentration in percent."""
+    n = col(size)
+    return F.floor(col(concentration) / 100 * n * n * n).cast("long")
+
+
+def fibre_radius(concentration, size) -> Column:
+    """Radius of a fibre that takes a concentration in percent of the cube's face."""
+    return F.round(F.sqrt(col(concentration) * col(size) * col(size) / F.pi() / 100)).cast("long")
+
+
+def parameter_fault(size, points) -> Column:
+    """Why a row of parameters is not valid; null where it is."""
+    n, points = col(size), col(points)
+    return F.when(n <= 0, "size").when(points <= 0, "points").when(points > n * n * n, "too many points")
+
+
 def strain_error_pct(load, avg) -> Column:
     """Deviation of the average from the load in percent with two places; 0 for no load."""
     return F.when(col(load) == 0, 0.0).otherwise(F.round((col(load) - col(avg)) / F.nullif(col(load), F.lit(0.0)) * 10000) / 100)

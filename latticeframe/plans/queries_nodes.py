@@ -64,11 +64,7 @@ p2 as (select level, case when fl = 8 then 1.0::double else f end f, lo from p)
 select level, floor(a.r + f * (b.r - a.r))::int red, floor(a.g + f * (b.g - a.g))::int green, floor(a.b + f * (b.b - a.b))::int blue, 255 alpha from p2 join r a on a.i = lo join r b on b.i = lo + 1""")
 def color_ramp(spark, sf):
     used = X.table(spark, sf, "lineitem").select(F.col("l_quantity").cast("int").alias("level")).distinct()
-    ramp = spark.createDataFrame([(i, *a, *b) for i, (a, b) in enumerate(zip(S.RAMP, S.RAMP[1:], strict=False))], "lo int, r0 int, g0 int, b0 int, r1 int, g1 int, b1 int")  # eight rows
-    t = F.col("level") / 50.0 * 8
-    at = used.withColumn("lo", F.least(F.floor(t), F.lit(7)).cast("int")).withColumn("f", t - F.col("lo"))
-    mix = lambda a, b: F.floor(F.col(a) + F.col("f") * (F.col(b) - F.col(a))).cast("int")
-    return at.join(F.broadcast(ramp), "lo").select("level", mix("r0", "r1").alias("red"), mix("g0", "g1").alias("green"), mix("b0", "b1").alias("blue"), F.lit(255).alias("alpha"))
+    return used.select("level", S.ramp_color("level", 50).alias("c")).select("level", "c.*")
 
 
 @query(""", g as (select grain, (grain - 1) * 360.0::double / count(*) over () / 60 h from seeds), c as (select grain, h, 1 - abs(h % 2 - 1) x from g)
@@ -77,24 +73,13 @@ floor(255 * case when h < 1 then x when h < 3 then 1 when h < 4 then x else 0 en
 floor(255 * case when h < 2 then 0 when h < 3 then x when h < 5 then 1 else x end)::int blue, 216 alpha from c""")
 def grain_palette(spark, sf):
     seeds = X.seeds(spark, sf)
-    h = (F.col("grain") - 1) * 360.0 / seeds.count() / 60
-    x = 1 - F.abs(h % 2 - 1)
-    channel = lambda *parts: F.floor(255 * F.coalesce(*(F.when(h < at, v) for at, v in parts[:-1]), F.lit(parts[-1]) if not hasattr(parts[-1], "alias") else parts[-1])).cast("int")
-    one, zero = F.lit(1.0), F.lit(0.0)
-    return seeds.select(
-        "grain",
-        channel((1, one), (2, x), (4, zero), (5, x), one).alias("red"),
-        channel((1, x), (3, one), (4, x), zero).alias("green"),
-        channel((2, zero), (3, x), (5, one), x).alias("blue"),
-        F.lit(216).alias("alpha"),
-    )
+    return seeds.select("grain", S.grain_color("grain", seeds.count()).alias("c")).select("grain", "c.*")
 
 
 @query(LIMITS + ", w as (select load_step, case when low = high then low - 0.01 else low end lo, case when low = high then high + 0.01 else high end hi from lim), k as (select unnest(range(10)) k) select load_step, k::int as position, round(hi - k * (hi - lo) / 9, 6) as value from w cross join k")
 def legend_levels(spark, sf):
-    flat = F.col("low") == F.col("high")
-    lim = _limits(X.node_results(spark, sf)).select("load_step", F.when(flat, F.col("low") - 0.01).otherwise(F.col("low")).alias("lo"), F.when(flat, F.col("high") + 0.01).otherwise(F.col("high")).alias("hi"))
-    return lim.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("load_step", "position", F.round(F.col("hi") - F.col("position") * (F.col("hi") - F.col("lo")) / 9, 6).alias("value"))
+    marks = _limits(X.node_results(spark, sf)).select("load_step", F.explode(S.legend_values("low", "high")).alias("m"))
+    return marks.select("load_step", "m.position", F.round("m.value", 6).alias("value"))
 
 
 ERROR_SQL = "case when {l} = 0 then 0.0 else round(({l} - {a}) / nullif({l}, 0) * 10000) / 100 end"
@@ -157,15 +142,13 @@ def _params(spark, sf):
 
 @query(f"with {PARAMS} select id, floor(c / 100 * size * size * size)::bigint seeds, round(sqrt(c * size * size / pi() / 100))::bigint radius from par")
 def seed_count(spark, sf):
-    n, c = F.col("size"), F.col("c")
-    return _params(spark, sf).select("id", F.floor(c / 100 * n * n * n).cast("long").alias("seeds"), F.round(F.sqrt(c * n * n / F.pi() / 100)).cast("long").alias("radius"))
+    return _params(spark, sf).select("id", S.seed_count("c", "size").alias("seeds"), S.fibre_radius("c", "size").alias("radius"))
 
 
 @query(f"with {PARAMS} select id, size, points, not (size <= 0 or points <= 0 or points > size*size*size) valid, case when size <= 0 then 'size' when points <= 0 then 'points' when points > size*size*size then 'too many points' end reason from par")
 def parameter_check(spark, sf):
-    n = F.col("size")
-    reason = F.when(n <= 0, "size").when(F.col("points") <= 0, "points").when(F.col("points") > n * n * n, "too many points")
-    return _params(spark, sf).select("id", "size", "points", reason.isNull().alias("valid"), reason.alias("reason"))
+    fault = S.parameter_fault("size", "points")
+    return _params(spark, sf).select("id", "size", "points", fault.isNull().alias("valid"), fault.alias("reason"))
 
 
 HIST = """with ok as (select event_type, value v from events where value is not null and not isnan(value) and value <> 0 and abs(value) < 'inf'::double),
