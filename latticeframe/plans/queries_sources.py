@@ -99,6 +99,16 @@ def dense_array_pack(spark, sf):
     return packed.withColumn("values", F.array_join(F.transform("values", lambda v: F.round(v.cast("double") * 1000).cast("long").cast("string")), ","))
 
 
+@query("""with e as (select vec_id, unnest(range(64))::int p, unnest(embedding)::double v from embeddings)
+select vec_id, string_agg(case when p = 0 then '' when p % 16 = 0 then '|' when p % 4 = 0 then ';' else ',' end || round(v * 1000)::bigint::varchar, '' order by p) cube from e group by 1""")
+def dense_cube_pack(spark, sf):
+    cells = files.flat_array_unpack(X.table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 4, 4)
+    text = lambda a, gap: F.array_join(a, gap)
+    line = lambda values: text(F.transform(values, lambda v: F.round(v.cast("double") * 1000).cast("long").cast("string")), ",")
+    cube = files.dense_cube_pack(cells, ["vec_id"], "value").select("vec_id", F.transform("cube", lambda plane: text(F.transform(plane, line), ";")).alias("planes"))
+    return cube.select("vec_id", text("planes", "|").alias("cube"))
+
+
 @query(G.CC + f""", {G.VOLUME}, {G.SURFACE} select round(norm_area, 6) norm_area, perimeter, round(shape_factor, 6) shape_factor, ecr, volume,
 round(volume / (select max(volume) from vol), 6) norm_volume, surface_area, round(0.4 * pow(3 * volume / (4 * pi()), 2.0 / 3), 6) inertia, round(pow(3 * volume / (4 * pi()), 1.0 / 3), 6) esr
 from full_sg join vol using (set_id, grain) join surf using (set_id, grain)""")

@@ -86,3 +86,12 @@ def dense_array_pack(cells: DataFrame, keys: list[str], value: str) -> DataFrame
     """Cells to lines along z: (keys, x, y, values in the order of z). Lines rather than cubes keep a row small at any size."""
     packed = cells.groupBy(*keys, "x", "y").agg(F.array_sort(F.collect_list(F.struct(F.col("z"), F.col(value).alias("v")))).alias("s"))
     return packed.select(*keys, "x", "y", F.col("s.v").alias("values"))
+
+
+def dense_cube_pack(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Cells to one array nested three deep for each key, for arrays that fit a row: dense_array_unpack's inverse. Lines are
+    packed first, then planes, then cubes."""
+    lines = dense_array_pack(cells, keys, value)
+    planes = lines.groupBy(*keys, "x").agg(F.array_sort(F.collect_list(F.struct("y", "values"))).alias("p"))
+    cubes = planes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", F.col("p.values").alias("plane")))).alias("c"))
+    return cubes.select(*keys, F.col("c.plane").alias("cube"))
