@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +93,31 @@ def row_keys(df: DataFrame) -> list[Column]:
 def text_keys(column: str = "text") -> list[Column]:
     """Two 64-bit hashes of a text, named t1 and t2; null counts as empty."""
     return [F.xxhash64(F.lit(k), text_bytes(column)).alias(f"t{k}") for k in (1, 2)]
+
+
+#: Bits of a Bloom filter for each hash in it, its probes, and its most bits (32 MB): with more hashes it passes more, which
+#: the join after it then drops.
+FILTER_SHARE, PROBES, FILTER_BITS, BITMAP_BITS = 16, 4, 1 << 28, 8 * 4096
+
+
+def bloom_filter(hashes: DataFrame) -> np.ndarray:
+    """Byte table for the 64-bit hashes in column `hash`, sized by their number; it comes to the driver in rows of 4 KB."""
+    size = min(FILTER_BITS, max(BITMAP_BITS, 1 << (FILTER_SHARE * max(1, hashes.count()) - 1).bit_length()))
+    turned = [F.col("hash"), *(F.shiftrightunsigned("hash", 16 * k).bitwiseOR(F.shiftleft("hash", 64 - 16 * k)) for k in range(1, PROBES))]
+    places = hashes.select(F.explode(F.array(*(t.bitwiseAND(F.lit(size - 1)) for t in turned))).alias("place"))
+    maps = places.groupBy(F.shiftright("place", BITMAP_BITS.bit_length() - 1).alias("part"))
+    table = np.zeros(size // 8, np.uint8)
+    for part, bits in maps.agg(F.bitmap_construct_agg(F.pmod("place", F.lit(BITMAP_BITS)))).collect():
+        table[part * 4096 : part * 4096 + len(bits)] = np.frombuffer(bytes(bits), np.uint8)
+    return table
+
+
+def maybe_among(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the unsigned hashes that may be in the filter."""
+    mask, at = np.uint64(8 * len(table) - 1), np.arange(len(hashes))
+    for k in range(PROBES):
+        h = hashes[at]
+        turned = h if not k else (h >> np.uint64(16 * k)) | (h << np.uint64(64 - 16 * k))
+        spot = turned & mask
+        at = at[(table[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+    return at

@@ -27,13 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Sink, rows_of, text_bytes, text_keys, word_lists
-from latticeframe.plans.lineage import materialise
+from latticeframe.llm.common import Sink, bloom_filter, maybe_among, rows_of, text_bytes, text_keys, word_lists
+from latticeframe.plans.lineage import materialise, small_side
 
 WORDS, SKETCH = 5, 32
-#: Bits of a filter for each hash in it, and most bits of one (32 MB): with more hashes it passes more that the join then drops.
-FILTER_SHARE, FILTER_BITS = 16, 1 << 28
-BITMAP_BITS = 8 * 4096
 
 
 def shingle_hashes(words: list[bytes], size: int = WORDS) -> np.ndarray:
@@ -88,34 +85,18 @@ def item_shingles(items: DataFrame, share: float, id_col: str, text_col: str) ->
     return base.mapInArrow(work, "item long, item_id long, n_shingles long, hash long, shingle binary, in_sketch boolean, need long")
 
 
-def shingle_filter(hashes: DataFrame) -> np.ndarray:
-    """Byte table with one bit set for each hash, sized by their number up to FILTER_BITS; it comes to the driver in rows of
-    4 KB."""
-    n = hashes.count()
-    size = min(FILTER_BITS, max(BITMAP_BITS, 1 << (FILTER_SHARE * max(1, n) - 1).bit_length()))
-    place = F.col("hash").bitwiseAND(F.lit(size - 1))
-    maps = hashes.groupBy(F.shiftright(place, BITMAP_BITS.bit_length() - 1).alias("part"))
-    table = np.zeros(size // 8, np.uint8)
-    for part, bits in maps.agg(F.bitmap_construct_agg(F.pmod(place, F.lit(BITMAP_BITS)))).collect():
-        table[part * 4096 : part * 4096 + len(bits)] = np.frombuffer(bytes(bits), np.uint8)
-    return table
-
-
 def met_shingles(contents: DataFrame, hashes: DataFrame) -> DataFrame:
     """(t1, t2, hash, shingle): the distinct shingles of each text of (t1, t2, content) that may be among the hashes."""
-    table = contents.sparkSession.sparkContext.broadcast(shingle_filter(hashes))
+    table = contents.sparkSession.sparkContext.broadcast(bloom_filter(hashes))
     schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("hash", pa.int64()), ("shingle", pa.binary())])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, out = table.value, Sink(schema)
-        mask = np.uint64(8 * len(bits) - 1)
         for t1, t2, raw in rows_of(batches, "t1", "t2", "content"):
             found: dict[bytes, int] = {}
             for words in word_lists(raw, WORDS):
                 hashes = shingle_hashes(words)
-                at = hashes & mask
-                hits = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-                found |= {b" ".join(words[i : i + WORDS]): int(hashes[i].view(np.int64)) for i in hits.tolist()}
+                found |= {b" ".join(words[i : i + WORDS]): int(hashes[i].view(np.int64)) for i in maybe_among(bits, hashes).tolist()}
             for s, h in found.items():
                 out.add((t1, t2, h, s), len(s))
             if out.full():
@@ -144,7 +125,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, share: float = 0.8, te
 
 def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles, containment): documents that hold at least `share` of an item's distinct shingles."""
-    found = materialise(contaminated_texts(docs, items, share, text_col, item_id_col, item_text_col), "contaminated")
+    found = small_side(contaminated_texts(docs, items, share, text_col, item_id_col, item_text_col), "contaminated")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text_col))
     both = rows.join(found, ["t1", "t2"]).select("doc_id", "t1", "t2", "item", "item_id", "n_shared", "n_shingles").distinct()
     return both.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
@@ -153,7 +134,7 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8, id_co
 def clean_documents(docs: DataFrame, items: DataFrame, share: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows and columns of documents whose text holds no item."""
     found = contaminated_texts(docs, items, share, text_col, item_id_col, item_text_col).select("t1", "t2").distinct()
-    found = materialise(found.toDF("bad_t1", "bad_t2"), "contaminated")
+    found = small_side(found.toDF("bad_t1", "bad_t2"), "contaminated")
     t1, t2 = text_keys(text_col)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), t1.alias("bad_t1"), t2.alias("bad_t2"))
     return row.join(found, ["bad_t1", "bad_t2"], "left_anti").select("doc.*")

@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeframe.llm.common import Sink, row_keys, rows_of, text_bytes, word_lists
+from latticeframe.llm.common import Sink, bloom_filter, maybe_among, row_keys, rows_of, text_bytes, word_lists
 from latticeframe.llm.containment import WORDS, shingle_hashes
 from latticeframe.llm.simhash import near_links
 from latticeframe.operators.components import connected_components
 from latticeframe.plans.lineage import materialise
 
 #: Differing bits up to which the two fingerprints make a candidate, and shingles of a block of a family.
-LIMIT, LIMIT2, WEIGHT = 12, 18, 100_000
+LIMIT, LIMIT2, WEIGHT = 12, 18, 40_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 KEY = ["k1", "k2"]
 
@@ -155,7 +155,8 @@ def block_links(sets: DataFrame, share: float) -> DataFrame:
 
     far = F.expr("filter(sequence(0, blocks - 1), b -> b <> block)")
     copies = sets.where("leader and blocks > 1").withColumn("block", F.explode(far)).select(sets.columns)
-    return sets.unionByName(copies).groupBy("family", "block").applyInArrow(work, "u long, v long")
+    rows = sets.unionByName(copies).select("node", "leader", "shingles", "family", "block")
+    return rows.groupBy("family", "block").applyInArrow(work, "u long, v long")
 
 
 def cross_links(sets: DataFrame, grouped: DataFrame, share: float, weight: int) -> DataFrame:
@@ -179,6 +180,27 @@ def cross_links(sets: DataFrame, grouped: DataFrame, share: float, weight: int)
     return rows.join(sets.select("node", "shingles"), "node").groupBy("family", "i", "j").applyInArrow(work, "u long, v long")
 
 
+def shingle_sets(contents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k1, k2, shingles) of the rows of (k1, k2, content) that have a wanted key, and of a few more that a join by key
+    drops; rows that repeat as a whole, and so share a key, give one."""
+    table = contents.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select(F.col("k1").alias("hash"))))
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("shingles", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, bits = Sink(schema), table.value
+        for batch in batches:
+            hit = maybe_among(bits, batch.column("k1").to_numpy().view(np.uint64))
+            for k1, k2, raw in rows_of(iter([batch.take(pa.array(hit))]), *KEY, "content"):
+                held = shingle_set(raw).astype("<u8").tobytes()
+                out.add((k1, k2, held), len(held))
+                if out.full():
+                    yield out.take()
+        yield from out.rest()
+
+    sets = contents.mapInArrow(work, "k1 long, k2 long, shingles binary")
+    return sets.groupBy(*KEY).agg(F.first("shingles").alias("shingles"))
+
+
 def similar_links(nodes: DataFrame, contents: DataFrame, share: float, weight: int = WEIGHT) -> DataFrame:
     """(u, v) links of nodes that connect what candidate pairs of the share connect. nodes: (node, n, fp, fp2, copies, k1,
     k2), the keys of a row that holds the text; contents: (k1, k2, content)."""
@@ -187,22 +209,7 @@ def similar_links(nodes: DataFrame, contents: DataFrame, share: float, weight: i
     whole = members.groupBy("family").agg(F.max_by("node", F.struct("copies", "node")).alias("first"), F.ceil(F.sum("n") / weight).cast("int").alias("blocks"))
     placed = members.join(whole, "family").select(*KEY, "node", "n", "family", (F.col("node") == F.col("first")).alias("leader"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     placed = materialise(placed, "family-members")
-    kept = ("node", "n", "family", "leader", "blocks", "block")
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("family", pa.int64()), ("leader", pa.bool_()), ("blocks", pa.int32()), ("block", pa.int32()), ("shingles", pa.binary())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sink(schema)
-        for *known, raw in rows_of(batches, *kept, "content"):
-            held = shingle_set(raw).astype("<u8").tobytes()
-            out.add((*known, held), len(held))
-            if out.full():
-                yield out.take()
-        yield from out.rest()
-
-    # rows that repeat as a whole have one key: one of them is enough, and it is taken after the join by node
-    spec = "node long, n long, family long, leader boolean, blocks int, block int, shingles binary"
-    sets = contents.join(placed, KEY).select(*kept, "content").mapInArrow(work, spec)
-    sets = materialise(sets.dropDuplicates(["node"]), "shingle-sets")
+    sets = materialise(shingle_sets(contents, placed).join(placed, KEY), "shingle-sets")
     links = materialise(block_links(sets, share), "block-links")
     several = placed.where("blocks > 1")
     if several.isEmpty():
