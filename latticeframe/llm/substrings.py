@@ -35,7 +35,7 @@ WIDE = LENGTH - GRAM + 1
 #: Different runs of one hash in a chunk from which the hash is dealt out by windows.
 MANY = 64
 #: Text bytes of a chunk, entries of a bucket, text bytes of a shard, and of a block with a suffix array of its own.
-CHUNK, BUCKET, SHARD, BLOCK = 6 << 20, 400_000, 4_000_000, 1_000_000
+CHUNK, BUCKET, SHARD, BLOCK = 6 << 20, 400_000, 2_500_000, 1_250_000
 #: Stands for the id of rows without one.
 NO_ID = (1 << 63) - 1
 KEEP, WHOLE, SEND, DEAL = 0, 1, 2, 3

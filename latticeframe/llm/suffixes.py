@@ -29,7 +29,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     what is still tied, by the rank h further on, and double h."""
     n = len(text)
     first = all_words(np.concatenate([text, np.zeros(2 * WORD, np.uint8)]), n)
-    sa = np.argsort(first)
+    sa = np.argsort(first, kind="stable")
     own = first[sa]
     # zeros past the end tie with zero bytes; a suffix of under eight bytes is told apart by its length
     short = n - sa < WORD
@@ -47,7 +47,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = sa[tied]
         ahead = s + h
         key = rank[s] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        order = np.argsort(key)
+        order = np.argsort(key, kind="stable")
         s, key = s[order], key[order]
         sa[tied] = s
         new = np.r_[True, key[1:] != key[:-1]]
@@ -113,21 +113,26 @@ class Repeats:
 
     def merge(self, other: "Repeats") -> None:
         """Give both sides the smaller owner of each string they share, found by binary search."""
-        low, high = np.zeros(len(self.strings), np.int64), np.full(len(self.strings), len(other.strings))
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            a, b = self.strings[open_], other.strings[mid[open_]]
-            less, equal = np.zeros(len(a), bool), np.ones(len(a), bool)
-            for c in range(a.shape[1]):  # other's string comes before
-                less |= equal & (b[:, c] < a[:, c])
-                equal &= b[:, c] == a[:, c]
-            low[open_] = np.where(less, mid[open_] + 1, low[open_])
-            high[open_] = np.where(less, high[open_], mid[open_])
-        found = low < len(other.strings)
-        found[found] = (other.strings[low[found]] == self.strings[found]).all(axis=1)
-        least = np.minimum(self.least[found], other.least[low[found]])
+        # the first eight bytes narrow each search to the strings that begin alike, if there are any
+        low, high = (np.searchsorted(other.strings[:, 0], self.strings[:, 0], side) for side in ("left", "right"))
+        alike = np.flatnonzero(low < high)
+        low, high, own = low[alike], high[alike], self.strings[alike]
+        last = high.copy()
+        while len(open_ := np.flatnonzero(low < high)):
+            mid = (low[open_] + high[open_]) // 2
+            less, equal = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+            for c in range(1, own.shape[1]):  # other's string comes before
+                a, b = own[open_, c], other.strings[mid, c]
+                less |= equal & (b < a)
+                equal &= b == a
+            low[open_] = np.where(less, mid + 1, low[open_])
+            high[open_] = np.where(less, high[open_], mid)
+        met = low < last
+        met[met] = (other.strings[low[met]] == own[met]).all(axis=1)
+        found, low = alike[met], low[met]
+        least = np.minimum(self.least[found], other.least[low])
         self.least[found] = least
-        other.least[low[found]] = least
+        other.least[low] = least
 
 
 def smallest_owners(texts: list[np.ndarray], at: list[np.ndarray], owners: list[np.ndarray], length: int) -> list[np.ndarray]:
