@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeframe.llm import bpe, containment, langid, packing, quality, secrets, simhash, substrings, token_counts, toxicity
+from latticeframe.llm import bpe, containment, langid, packing, phrases, quality, secrets, simhash, substrings, token_counts, toxicity
 from latticeframe.llm.common import table
 from latticeframe.plans.lineage import shared_dir
 
@@ -65,6 +65,10 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
@@ -101,5 +105,21 @@ select doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles containment
 """
 
 
+PHRASES_SQL = r"""
+with pieces as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) p from documents),
+ws as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from pieces),
+grams as (select lang, k, array_to_string(w[i:i+k-1], ' ') phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from ws cross join (select unnest(range(1, 6)) k) where len(w) >= k)),
+f as (select lang, k, phrase, count(*) a from grams group by 1, 2, 3),
+total as (select lang, sum(a)::hugeint n from f where k = 1 group by 1),
+cand as (select * from f where k > 1 and a >= 100),
+dropped as (select distinct c.lang, c.phrase from cand c join cand d on c.lang = d.lang and d.k > c.k and contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ') and 100 * d.a >= 100 * c.a),
+cuts as (select lang, phrase, a, j, array_to_string(w[:j], ' ') one, array_to_string(w[j+1:], ' ') two from (select *, string_split(phrase, ' ') w, unnest(range(1, k)) j from cand anti join dropped using (lang, phrase))),
+scored as (select c.lang, c.phrase, c.a, j, x.a l, y.a r, n, (1000 * c.a::hugeint * n) // (x.a::hugeint * y.a) score from cuts c join f x on x.lang = c.lang and x.phrase = one join f y on y.lang = c.lang and y.phrase = two join total t on t.lang = c.lang),
+low as (select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from low)
+select lang, rank, phrase, a, l, r, n::bigint n, score::bigint score from ranked where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": QUALITY_SQL, "op5_contained_items": CONTAINMENT_SQL}
+    return {"op11_phrases": PHRASES_SQL, "op4_quality_rules": QUALITY_SQL, "op5_contained_items": CONTAINMENT_SQL}
