@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeframe.llm import bpe, containment, langid, packing, phrases, quality, secrets, simhash, substrings, token_counts, toxicity
+from latticeframe.llm import bpe, containment, langid, negatives, packing, phrases, quality, secrets, simhash, substrings, token_counts, toxicity
 from latticeframe.llm.common import table
 from latticeframe.plans.lineage import shared_dir
 
@@ -69,6 +69,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
@@ -121,5 +126,16 @@ select lang, rank, phrase, a, l, r, n::bigint n, score::bigint score from ranked
 """
 
 
+NEGATIVES_SQL = """
+with v as (select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id anchor, b.id other, a.label = b.label alike, list_dot_product(a.e, b.e)::bigint score from v a join v b on a.id % 50 = 0 and a.id <> b.id),
+pos as (select anchor, other positive, score from s where alike qualify row_number() over (partition by anchor order by score desc, other) <= 5),
+neg as (select s.anchor, positive, pos.score high, other, s.score from s join pos using (anchor) where not alike and 50 * pos.score <= 100 * s.score and 100 * s.score <= 95 * pos.score),
+ranked as (select *, row_number() over (partition by anchor, positive order by score desc, other) rank from neg)
+select anchor anchor_id, positive positive_id, rank::int rank, other negative_id, high positive_score, score negative_score from ranked where rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_phrases": PHRASES_SQL, "op4_quality_rules": QUALITY_SQL, "op5_contained_items": CONTAINMENT_SQL}
+    return {"op13_hard_negatives": NEGATIVES_SQL, "op11_phrases": PHRASES_SQL, "op4_quality_rules": QUALITY_SQL, "op5_contained_items": CONTAINMENT_SQL}
