@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeframe.llm import bpe, containment, langid, negatives, packing, phrases, quality, secrets, simhash, substrings, token_counts, toxicity
+from latticeframe.llm import bpe, containment, langid, negatives, ngram_join, packing, phrases, quality, secrets, simhash, substrings, token_counts, toxicity
 from latticeframe.llm.common import table
 from latticeframe.plans.lineage import shared_dir
 
@@ -69,6 +69,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
@@ -126,6 +130,21 @@ select lang, rank, phrase, a, l, r, n::bigint n, score::bigint score from ranked
 """
 
 
+JACCARD_SQL = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+sh as (select distinct doc_id, array_to_string(ws[i:i+2], ' ') g from (select *, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) i from words where len(ws) > 0)),
+n as materialized (select doc_id, count(*) n from sh group by 1),
+ranked as (select doc_id, g, row_number() over (partition by doc_id order by c, g) r from sh join (select g, count(*) c from sh group by 1) using (g)),
+front as (select k.doc_id, g, n from ranked k join n using (doc_id) where r <= n - (90 * n + 99) // 100 + 1),
+cand as (select distinct a.doc_id u, b.doc_id v from front a join front b using (g) where a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+met as (select u, v, count(*) c from cand join sh a on a.doc_id = u join sh b on b.doc_id = v and a.g = b.g group by 1, 2),
+linked as materialized (select u, v from met join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 90 * (x.n + y.n - c)),
+edges as materialized (select u, v from linked union all select v, u from linked),
+cc(doc_id, least) using key (doc_id) as (select doc_id, doc_id from documents union
+  select e.v, min(c.least) from cc c join edges e on e.u = c.doc_id join recurring.cc o on o.doc_id = e.v group by e.v, o.least having min(c.least) < o.least)
+select doc_id, coalesce(n, 0) n_shingles, least component_id from cc left join n using (doc_id)
+"""
+
 NEGATIVES_SQL = """
 with v as (select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
@@ -138,4 +157,4 @@ select anchor anchor_id, positive positive_id, rank::int rank, other negative_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_hard_negatives": NEGATIVES_SQL, "op11_phrases": PHRASES_SQL, "op4_quality_rules": QUALITY_SQL, "op5_contained_items": CONTAINMENT_SQL}
+    return {"op12_jaccard_join": JACCARD_SQL, "op13_hard_negatives": NEGATIVES_SQL, "op11_phrases": PHRASES_SQL, "op4_quality_rules": QUALITY_SQL, "op5_contained_items": CONTAINMENT_SQL}
