@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from latticeframe.functions import scalar as S
+from latticeframe.operators import mesh
+from latticeframe.plans.lineage import materialise
 
 
 def seed_sample(keys: DataFrame, n: int, seed: int) -> DataFrame:
@@ -14,11 +19,39 @@ def seed_sample(keys: DataFrame, n: int, seed: int) -> DataFrame:
     return keys.select((F.col("i") + 1).alias("grain"), *at).groupBy("x", "y", "z").agg(F.max("grain").alias("grain")).select("grain", "x", "y", "z")
 
 
+def _digits(column: str, bits: int) -> list[Column]:
+    """A number's digits of 16 bits, leading ones first."""
+    return [F.shiftright(F.col(column).cast("long"), at).bitwiseAND(F.lit(65535)) for at in range(bits - 16, -1, -16)]
+
+
+def smallest(keyed: DataFrame, k: int) -> DataFrame:
+    """The k rows of the smallest (h, i), h of 32 bits and i not negative: all of them where there are no more.
+
+    Selection by digits: counts of a digit's values, at most 65,536 of them, say in which value the k-th row lies; rows
+    below it are taken, rows of it go on to the next digit. Where a digit's values end with the k-th row, that is all."""
+    taken, open_rows, left = [], keyed, k
+    for digit in [*_digits("h", 32), *_digits("i", 64)]:
+        values = open_rows.groupBy(digit.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        running = values.withColumn("upto", F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+        last = running.where(F.col("upto") >= left).agg(F.min(F.struct("v", "upto", "c"))).first()[0]
+        if last is None or left <= 0:
+            taken.append(open_rows if left > 0 else open_rows.where("false"))
+            break
+        if last.upto == left:
+            taken.append(open_rows.where(digit <= last.v))
+            break
+        taken.append(open_rows.where(digit < last.v))
+        open_rows, left = open_rows.where(digit == last.v), left - (last.upto - last.c)
+    else:  # rows that repeat: as many of them as are left
+        taken.append(open_rows.withColumn("n", F.row_number().over(W.partitionBy("h", "i").orderBy("h"))).where(F.col("n") <= left).drop("n"))
+    return functools.reduce(DataFrame.unionByName, taken)
+
+
 def seed_sample_distinct(cells: DataFrame, k: int, seed: int) -> DataFrame:
     """(grain, x, y, z): the k cells (i, x, y, z) with the smallest keyed hashes, ids in that order."""
-    first = cells.select("i", "x", "y", "z", S.mix32((F.col("i") + seed * 1000003) % 4294967296).alias("h")).orderBy("h", "i").limit(k)
-    listed = first.agg(F.array_sort(F.collect_list(F.struct("h", "i", "x", "y", "z"))).alias("s"))  # k rows, the size asked for
-    return listed.select(F.posexplode("s").alias("p", "c")).select((F.col("p") + 1).cast("long").alias("grain"), "c.x", "c.y", "c.z")
+    hashed = cells.select(F.lit(1).alias("set_id"), "i", "x", "y", "z", S.mix32((F.col("i") + seed * 1000003) % 4294967296).alias("h"))
+    first = smallest(materialise(hashed, "hashed"), k).withColumn("slab", F.shiftright("h", 16))
+    return mesh.numbered(first, "slab", ["h", "i"], "p").select((F.col("p") + 1).alias("grain"), "x", "y", "z")
 
 
 def load_case_grid(spark: SparkSession, steps: int, low: float, high: float, keys: DataFrame | None = None, seed: int = 1) -> DataFrame:

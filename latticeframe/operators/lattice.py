@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from latticeframe.operators import bricks, growth
 from latticeframe.operators.components import connected_components
 from latticeframe.plans.lineage import materialise, small_side
 
@@ -41,26 +42,24 @@ def neighbours(cells: DataFrame, kind: int, n: int, periodic: bool = False) -> D
 SIDES = [normal for normal, _ in FACES]
 
 
-def with_neighbours(voxels: DataFrame, brick: int = 32) -> DataFrame:
-    """The cells with `sides`, the ids of their six neighbours in the order of FACES; null where there is no cell.
-
-    Cells are dealt once, by cubic bricks; a cell at a brick's border goes to the brick next to it as well. Inside a brick
-    the neighbours are the rows before and after along each axis, so the three sorts need no further exchange."""
-    home = {c: F.floor(F.col(c) / brick).cast("long") for c in "xyz"}
-    place = lambda own, **moved: F.struct(F.lit(own).alias("own"), *((home[c] + moved.get(c, 0)).alias(f"b{c}") for c in "xyz"))
-    places = [place(True)]
-    for c in "xyz":
-        at = F.pmod(F.col(c), F.lit(brick))
-        places += [F.when(at == 0, place(False, **{c: -1})), F.when(at == brick - 1, place(False, **{c: 1}))]
-    dealt = voxels.select(*CELL, "grain", F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("p"))
-    dealt = dealt.select(*CELL, "grain", "p.*").repartition("set_id", "bx", "by", "bz")
-    found: dict[tuple, Column] = {}
-    for axis, c in enumerate("xyz"):
-        w = W.partitionBy("set_id", "bx", "by", "bz", *(a for a in "xyz" if a != c)).orderBy(c)
-        for step, near in ((-1, F.lag), (1, F.lead)):
-            normal = tuple(step * (a == axis) for a in range(3))
-            found[normal] = F.when(near(c).over(w) == F.col(c) + step, near("grain").over(w))
-    return dealt.withColumns({f"side{k}": found[normal] for k, normal in enumerate(SIDES)}).where("own").select(*CELL, "grain", F.array(*(f"side{k}" for k in range(6))).alias("sides"))
+def with_neighbours(voxels: DataFrame, brick: int = 14) -> DataFrame:
+    """The cells with `sides`, the ids of their six neighbours in the order of FACES; null where there is no cell. A cell
+    that repeats counts once, with its largest id.
+
+    Cells are dealt once, by cubic bricks with a rim of one cell, and sorted once by their place in the brick's array, in
+    which a neighbour is a fixed number of places away: a window frame of just that place. A brick with its rim has 4096
+    cells, which a window keeps in memory."""
+    wide = brick + 2
+    at = [F.col(c) - F.col(f"b{c}") * brick + 1 for c in "xyz"]
+    place = ((at[0] * wide + at[1]) * wide + at[2]).cast("int")
+    rows = bricks.dealt(voxels.select(*CELL, "grain"), brick, 1).select("*", place.alias("place"))
+    w = W.partitionBy(*bricks.BRICK).orderBy("place")
+    steps = [(x * wide + y) * wide + z for x, y, z in SIDES]
+    sides = [F.max("grain").over(w.rangeBetween(s, s)).alias(f"side{k}") for k, s in enumerate(steps)]
+    here = F.max("grain").over(w.rangeBetween(0, 0)).alias("here")
+    once = F.coalesce(F.lag("place").over(w) != F.col("place"), F.lit(True)).alias("once")
+    found = rows.select(*CELL, "own", here, once, *sides).where("own and once")
+    return found.select(*CELL, F.col("here").alias("grain"), F.array(*(f"side{k}" for k in range(6))).alias("sides"))
 
 
 def open_side(grain: Column, other: Column) -> Column:
@@ -233,72 +232,17 @@ def cluster_merge(cells: DataFrame, n: int) -> DataFrame:
 
 
 def void_fill(voxels: DataFrame, n: int) -> DataFrame:
-    """Empty cells take the id of their first filled neighbour in the order of the 26 offsets, round by round, until none can.
-
-    A cell with a filled neighbour is filled in the next round, so after the first round only the cells that the last one
-    filled can fill others: rounds carry those and the open cells, never the whole lattice."""
-    own = voxels.select(*CELL, "grain")
-    still, last, parts = own.where("grain = 0"), own.where("grain > 0"), [own.where("grain > 0")]
-    while True:
-        near = last.select("set_id", *(F.col(c).alias(f"n{c}") for c in "xyz"), F.col("grain").alias("new"))
-        found = neighbours(still, 26, n).join(near, ["set_id", "nx", "ny", "nz"]).groupBy(*CELL).agg(F.min_by("new", "offset_no").alias("grain"))
-        last = materialise(found.select(*CELL, F.col("grain").cast(own.schema["grain"].dataType).alias("grain")), "filled")
-        if last.isEmpty():
-            break
-        parts.append(last)
-        still = materialise(still.join(last.select(CELL), CELL, "left_anti"), "open")
-    out = still
-    for part in parts:
-        out = out.unionByName(part)
-    return out
-
-
-def metric(kind: int):
-    """Steps that growth over 6, 18 or 26 neighbours needs from (sx, sy, sz) to (x, y, z)."""
-    apart = [F.abs(F.col(c) - F.col(f"s{c}")) for c in "xyz"]
-    l1, linf = apart[0] + apart[1] + apart[2], F.greatest(*apart)
-    return {6: l1, 26: linf, 18: F.greatest(linf, F.ceil(l1 / 2).cast("long"))}[kind]
+    """Empty cells take the id of their first filled neighbour in the order of the 26 offsets, round by round, until none
+    can. See growth.py."""
+    return growth.voids_filled(voxels.select(*CELL, "grain"), n)
 
 
 def nearest_seed_label(cells: DataFrame, seeds: DataFrame, n: int, kind: int = 26, periodic: bool = False) -> DataFrame:
-    """(cell columns, grain, d): the seed (grain, sx, sy, sz[, t0]) that reaches a cell first, ties to the smallest grain.
-
-    Seeds and cells are keyed by cubic buckets. A round joins open cells to the seeds up to r buckets away; a seed
-    farther off is more than r bucket edges away in any of the metrics, so a cell whose best is within that is done.
-    The others go on with twice the reach; a reach over the whole lattice ends it."""
+    """(cell columns, grain, d): the seed (grain, sx, sy, sz[, t0]) whose growth over 6, 18 or 26 neighbours reaches a cell
+    first, and when; ties to the smallest grain. See growth.py."""
     if "t0" not in seeds.columns:
         seeds = seeds.withColumn("t0", F.lit(0).cast("long"))
-    if periodic:
-        shifts = F.array(*(F.lit(v).cast("long") for v in (-n, 0, n)))
-        for c in "xyz":
-            seeds = seeds.withColumn("o", F.explode(shifts)).withColumn(f"s{c}", F.col(f"s{c}") + F.col("o")).drop("o")
-        seeds = seeds.where(" and ".join(f"s{c} between {-n} and {2 * n - 1}" for c in "xyz"))
-    count, earliest = seeds.agg(F.count(F.lit(1)), F.min("t0")).first()
-    if not count:
-        return cells.select("*", F.lit(None).cast("long").alias("grain"), F.lit(None).cast("long").alias("d"))
-    edge = max(1, round(n / max(1.0, count / (27 if periodic else 1)) ** (1 / 3)))
-    buckets = {f"b{c}": F.floor(F.col(f"s{c}") / edge).cast("long") for c in "xyz"}
-    seeds = materialise(seeds.select("grain", "sx", "sy", "sz", "t0", *(v.alias(k) for k, v in buckets.items())), "seeds")
-    open_cells, done, reach = cells, [], 1
-    best = F.struct((F.col("t0") + metric(kind)).alias("d"), F.col("grain").alias("grain"))
-    while True:
-        around = seeds
-        for c in "xyz":
-            around = around.withColumn(f"b{c}", F.explode(F.sequence(F.col(f"b{c}") - reach, F.col(f"b{c}") + reach)))
-        keyed = open_cells.select("*", *(F.floor(F.col(c) / edge).cast("long").alias(f"b{c}") for c in "xyz"))
-        found = keyed.join(around, ["bx", "by", "bz"], "left").groupBy(*cells.columns).agg(F.min(F.when(F.col("grain").isNotNull(), best)).alias("best"))
-        found = materialise(found.select(*cells.columns, "best.grain", "best.d"), "labelled")
-        whole = reach * edge >= (2 * n if periodic else n)
-        sure = F.lit(True) if whole else F.coalesce(F.col("d") <= reach * edge + earliest, F.lit(False))
-        done.append(found.where(sure))
-        open_cells = found.where(~sure).select(cells.columns)
-        if whole or open_cells.isEmpty():
-            break
-        reach *= 2
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    return growth.labelled(cells, seeds, n, kind, periodic)
 
 
 def growth_curve(labelled: DataFrame, n: int) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from latticeframe.operators import bricks
 from latticeframe.operators.lattice import CORNERS
 from latticeframe.plans.lineage import materialise
 
@@ -29,30 +35,103 @@ def elements(voxels: DataFrame) -> DataFrame:
     return numbered(voxels.where("grain > 0").select("set_id", "x", "y", "z", "grain"), "x", ["y", "z"], "e")
 
 
-def _local_nodes(cells: DataFrame, local: list[tuple]) -> DataFrame:
-    spots = F.array(*(F.struct(F.lit(i).cast("long").alias("l"), *(F.lit(v / 2).alias(c) for v, c in zip(o, ("dx", "dy", "dz"), strict=True))) for i, o in enumerate(local)))
-    return cells.withColumn("o", F.explode(spots)).select("set_id", "e", "grain", F.col("o.l").alias("l"), *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"))
+class Nodes:
+    """Local nodes of a cell, and for each the cells around that have it too, with its number there."""
 
+    def __init__(self, local: list[tuple]):
+        self.local, self.count = local, len(local)
+        near = {0: (-1, 0), 1: (0,), 2: (0, 1)}  # cells along an axis that share a low, a middle and a high place
+        moves = [list(itertools.product(*(near[v] for v in o))) for o in local]
+        number = {o: k for k, o in enumerate(local)}
+        self.shared = [[(m, number[tuple(v - 2 * d for v, d in zip(o, m, strict=True))]) for m in some] for o, some in zip(local, moves, strict=True)]
+
+    def first_sights(self, numbers: np.ndarray, place: tuple[np.ndarray, ...]) -> np.ndarray:
+        """(nodes, cells): number of the first element that has a node, times the count of local nodes, plus the node's
+        number in that element. numbers: elements' numbers in a dense array, NONE where there is none."""
+        return np.stack([np.min([numbers[tuple(p + d for p, d in zip(place, m, strict=True))] * self.count + k for m, k in some], axis=0) for some in self.shared])
+
+
+#: A number above that of any element, and the edge of a brick.
+NONE, EDGE = np.int64(1) << 56, 32
+
+
+def _own(rows: pa.Table, edge: int) -> tuple[pa.Table, tuple, tuple]:
+    """A brick's own rows, and the places of all rows and of those in its array."""
+    at, own = bricks.places(rows, bricks.corner(rows, edge, 1)), bricks.column(rows, "own")
+    return rows.filter(pa.array(own)), at, tuple(p[own] for p in at)
+
+
+def _with_nodes(own: pa.Table, nodes: np.ndarray, names: list[str], label: str) -> pa.Table:
+    """The own rows with a list of a number for each local node."""
+    ends = np.arange(0, nodes.size + 1, len(nodes), dtype=np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(nodes.T).ravel()))
+    return own.select(names).append_column(label, lists)
 
-def mesh8(voxels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, elements) of 8-node cells: node ids dense from 1 in the order of first sight; elements carry the
-    coordinate system of their grain (grain + 11) and node ids in local order."""
-    spots = materialise(_local_nodes(elements(voxels), CORNERS_2), "mesh8")
-    first = spots.groupBy("set_id", "x", "y", "z").agg(F.min(8 * F.col("e") + F.col("l")).alias("first"))
-    # a slab of first sights is a block of elements
-    nodes = numbered(first.withColumn("slab", F.floor(F.col("first") / 65536).cast("long")), "slab", ["first"], "id").select("set_id", (F.col("id") + 1).alias("id"), "x", "y", "z")
-    nodes = materialise(nodes, "nodes8")
-    return nodes, _elements(spots, nodes)
 
+def _sighted(cells: DataFrame, nodes: Nodes, edge: int) -> DataFrame:
+    """Elements (set_id, x, y, z, grain, e) with `sights`, the first sights of their nodes: those of a cell follow from which
+    of the cells around it are filled, so cells are dealt to bricks with a rim once, and no node is ever grouped."""
+    names = ["set_id", "x", "y", "z", "grain", "e"]
 
-def mesh20(voxels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def work(rows: pa.Table) -> pa.Table:
+        own, at, mine = _own(rows, edge)
+        numbers = bricks.dense(rows, "e", at, edge + 2, NONE)
+        return _with_nodes(own, nodes.first_sights(numbers, mine), names, "sights")
+
+    kept = cells.select(*(F.col(c).cast("long").alias(c) for c in names))
+    return bricks.dealt(kept, edge, 1).groupBy(*bricks.BRICK).applyInArrow(work, "set_id long, x long, y long, z long, grain long, e long, sights array<bigint>")
+
+
+def _owned(elements: DataFrame, nodes: Nodes, ids: str) -> DataFrame:
+    """(set_id, id, x, y, z) of the nodes, each from the element that has it first."""
+    each = elements.select("set_id", "e", "x", "y", "z", F.posexplode(F.arrays_zip("sights", ids)).alias("l", "s"))
+    each = each.where(F.col("s.sights") == F.col("e") * nodes.count + F.col("l"))
+    shift = [F.element_at(F.array(*(F.lit(o[a] / 2) for o in nodes.local)), F.col("l") + 1) for a in range(3)]
+    return each.select("set_id", F.col(f"s.{ids}").alias("id"), *((F.col(c) + d).alias(c) for c, d in zip("xyz", shift, strict=True)))
+
+
+def _elements(elements: DataFrame, ids: str) -> DataFrame:
+    return elements.select("set_id", (F.col("e") + 1).alias("element"), (F.col("grain") + 11).alias("coord_sys_id"), F.col(ids).alias("nodes"))
+
+
+def mesh20(voxels: DataFrame, edge: int = EDGE) -> tuple[DataFrame, DataFrame]:
     """(nodes, elements) of 20-node cells: a node's id is 20 * element + local position at first sight, plus 1."""
-    spots = materialise(_local_nodes(elements(voxels), CORNERS_2 + EDGES_2), "mesh20")
-    nodes = materialise(spots.groupBy("set_id", "x", "y", "z").agg((F.min(20 * F.col("e") + F.col("l")) + 1).alias("id")).select("set_id", "id", "x", "y", "z"), "nodes20")
-    return nodes, _elements(spots, nodes)
+    nodes = Nodes(CORNERS_2 + EDGES_2)
+    found = _sighted(elements(voxels), nodes, edge).withColumn("ids", F.transform("sights", lambda s: s + 1))
+    found = materialise(found, "mesh20")
+    return _owned(found, nodes, "ids"), _elements(found, "ids")
 
 
-def _elements(spots: DataFrame, nodes: DataFrame) -> DataFrame:
-    joined = spots.join(nodes, ["set_id", "x", "y", "z"])
-    rows = joined.groupBy("set_id", "e", "grain").agg(F.array_sort(F.collect_list(F.struct("l", "id"))).alias("n"))  # 8 or 20 for an element
-    return rows.select("set_id", (F.col("e") + 1).alias("element"), (F.col("grain") + 11).alias("coord_sys_id"), F.col("n.id").alias("nodes"))
+def mesh8(voxels: DataFrame, edge: int = EDGE) -> tuple[DataFrame, DataFrame]:
+    """(nodes, elements) of 8-node cells: node ids dense from 1 in the order of first sight; elements carry the
+    coordinate system of their grain (grain + 11) and node ids in local order."""
+    nodes = Nodes(CORNERS_2)
+    sighted = _sighted(elements(voxels), nodes, edge)
+    # a bit for each local node that the element has first
+    bits = [F.when(F.col("sights")[k] == F.col("e") * 8 + k, 1 << k).otherwise(0) for k in range(8)]
+    mask = functools.reduce(lambda a, b: a + b, bits)
+    sighted = materialise(sighted.withColumn("mask", mask.cast("long")), "mesh8")
+    # a node's id is the number of nodes of the elements before its own, plus its place in that: slabs are blocks of elements
+    slab, size = F.floor(F.col("e") / 65536).cast("long"), F.bit_count("mask").cast("long")
+    counts = sighted.groupBy("set_id", slab.alias("slab")).agg(F.sum(size).alias("c"))
+    before = lambda by, order, c: F.coalesce(F.sum(c).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("set_id", "slab", before(["set_id"], "slab", "c").alias("earlier"))
+    based = sighted.withColumn("slab", slab).withColumn("own_base", before(["set_id", "slab"], "e", size))
+    based = based.join(counts, ["set_id", "slab"]).withColumn("base", F.col("earlier") + F.col("own_base")).drop("slab", "earlier", "own_base")
+    names = ["set_id", "x", "y", "z", "grain", "e", "sights"]
+
+    def work(rows: pa.Table) -> pa.Table:
+        own, at, mine = _own(rows, edge)
+        base, held = (bricks.dense(rows, c, at, edge + 2, 0) for c in ("base", "mask"))
+        sights = own.column("sights").combine_chunks().flatten().to_numpy().reshape(-1, 8).T
+        numbers, ids = bricks.dense(rows, "e", at, edge + 2, NONE), np.zeros(sights.shape, np.int64)
+        for k, some in enumerate(nodes.shared):
+            for m, there in some:
+                spot = tuple(p + d for p, d in zip(mine, m, strict=True))
+                here = numbers[spot] * 8 + there == sights[k]
+                ids[k][here] = (base[spot] + np.bitwise_count(held[spot] & ((1 << there) - 1)) + 1)[here]
+        return _with_nodes(own, ids, names, "ids")
+
+    schema = "set_id long, x long, y long, z long, grain long, e long, sights array<bigint>, ids array<bigint>"
+    found = materialise(bricks.dealt(based, edge, 1).groupBy(*bricks.BRICK).applyInArrow(work, schema), "mesh8-ids")
+    return _owned(found, nodes, "ids"), _elements(found, "ids")

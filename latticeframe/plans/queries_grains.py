@@ -219,9 +219,9 @@ LINF, L1 = f"greatest({', '.join(GAPS)})", f"({' + '.join(GAPS)})"
 WRAPPED = f"greatest({', '.join(f'least(abs({c} - s{c}), n - abs({c} - s{c}))' for c in 'xyz')})"
 
 
-def _nearest(spark, sf, **how):
+def _nearest(spark, sf, seeds=None, **how):
     cells = X.cells(spark, sf).select("x", "y", "z")
-    return lattice.nearest_seed_label(cells, X.seeds(spark, sf), X.size(spark, sf), **how)
+    return lattice.nearest_seed_label(cells, X.seeds(spark, sf) if seeds is None else seeds, X.size(spark, sf), **how)
 
 
 @query(LABEL.replace("{d}", LINF))
@@ -244,6 +244,18 @@ def nearest_seed_label_periodic(spark, sf):
     return _nearest(spark, sf, periodic=True)
 
 
+# seeds that start growing at different times
+@query(LABEL.replace("{d}", f"{LINF} + grain % 5"))
+def nearest_seed_label_t0(spark, sf):
+    return _nearest(spark, sf, X.seeds(spark, sf).withColumn("t0", F.col("grain") % 5))
+
+
+# all seeds in one corner
+@query(LABEL.replace("{d}", LINF.replace("sx", "sx % 6").replace("sy", "sy % 6").replace("sz", "sz % 6")))
+def nearest_seed_label_clustered(spark, sf):
+    return _nearest(spark, sf, X.seeds(spark, sf).withColumns({f"s{c}": F.col(f"s{c}") % 6 for c in "xyz"}))
+
+
 @query(f""", best as (select x, y, z, min({LINF}) d, max(n) n from lat cross join seeds group by x, y, z),
 steps as (select 1::bigint set_id, d, count(*) frontier, max(n) n from best group by d)
 select set_id, d, frontier, cast(sum(frontier) over (order by d) as bigint) filled, round(sum(frontier) over (order by d) / (n * n * n), 6) fraction from steps""")
@@ -353,9 +365,11 @@ def seed_sample(spark, sf):
     return generate.seed_sample(_keys(spark, sf), X.size(spark, sf), 7)
 
 
-@query(f", h as (select k i, x, y, z, {mix_sql('((k + 3000009) % 4294967296)')} h from lat), f as (select *, row_number() over (order by h, i) grain from h) select grain, x, y, z from f where grain <= 50")
+# a twentieth of the cells
+@query(f", h as (select k i, x, y, z, {mix_sql('((k + 3000009) % 4294967296)')} h from lat), f as (select *, row_number() over (order by h, i) grain from h) select grain, x, y, z from f where grain <= (select count(*) // 20 from lat)")
 def seed_sample_distinct(spark, sf):
-    return generate.seed_sample_distinct(X.cells(spark, sf).withColumnRenamed("k", "i"), 50, 3)
+    cells = X.cells(spark, sf).withColumnRenamed("k", "i")
+    return generate.seed_sample_distinct(cells, cells.count() // 20, 3)
 
 
 @query(f", {KEYS}, g as (select unnest(range(64)) id), grid as (select id + 1 load_step, (id // 32 % 2) * 1e-4 exx, (id // 16 % 2) * 1e-4 eyy, (id // 8 % 2) * 1e-4 ezz, (id // 4 % 2) * 1e-4 exy, (id // 2 % 2) * 1e-4 exz, (id % 2) * 1e-4 eyz from g), r as (select i + 65 load_step, " + ", ".join(f"{uniform_sql(1, 'i', p)} * 1e-4 {c}" for p, c in enumerate(["exx", "eyy", "ezz", "exy", "exz", "eyz"])) + " from keys) select load_step, " + ", ".join(f"round({c}::double * 1e4, 6) {c}" for c in ["exx", "eyy", "ezz", "exy", "eyz", "exz"]) + " from (select * from grid union all select * from r)")

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from latticeframe.operators import generate, growth, mesh
 from latticeframe.operators import lattice as L
-from latticeframe.operators import mesh
 from latticeframe.operators.components import connected_components
 
 VOXELS = "set_id long, x long, y long, z long, grain long"
@@ -108,11 +108,7 @@ def test_surface_equals_faces(spark, porous):
     assert {r.grain: r.surface_area for r in L.grain_surface(holes).collect()} == dict(map(tuple, L.exposed_faces(holes).groupBy("grain").count().collect()))
 
 
-@pytest.mark.parametrize("kind", [6, 18, 26])
-@pytest.mark.parametrize("periodic", [False, True])
-def test_nearest_seed_by_growth(spark, kind, periodic):
-    n, rng = 6, random.Random(kind)
-    seeds = [(i + 1, rng.randrange(n), rng.randrange(n), rng.randrange(n), rng.randrange(3)) for i in range(5)]
+def nearest(n, seeds, kind, periodic=False):
     plain = {}
     for at in itertools.product(range(n), repeat=3):
         best = None
@@ -121,11 +117,53 @@ def test_nearest_seed_by_growth(spark, kind, periodic):
             if periodic:
                 d = [min(v, n - v) for v in d]
             steps = {6: sum(d), 26: max(d), 18: max(max(d), -(-sum(d) // 2))}[kind]
-            best = min(best or (99, 0), (t0 + steps, g))
+            best = min(best or (10**6, 0), (t0 + steps, g))
         plain[at] = best
-    cells = L.lattice(spark, n).select("x", "y", "z")
-    found = L.nearest_seed_label(cells, spark.createDataFrame(seeds, "grain long, sx long, sy long, sz long, t0 long"), n, kind, periodic)
-    assert {(r.x, r.y, r.z): (r.d, r.grain) for r in found.collect()} == plain
+    return plain
+
+
+SEEDS = "grain long, sx long, sy long, sz long, t0 long"
+
+
+@pytest.mark.parametrize("kind", [6, 18, 26])
+@pytest.mark.parametrize("periodic", [False, True])
+@pytest.mark.parametrize("edge", [32, 3, 2])
+def test_nearest_seed_by_growth(spark, kind, periodic, edge):
+    n, rng = 7, random.Random(kind)
+    seeds = [(i * 10**12 + 1, rng.randrange(n), rng.randrange(n), rng.randrange(n), rng.randrange(-2, 3)) for i in range(5)]
+    seeds += [(9, *seeds[0][1:]), (8, *seeds[1][1:4], 40)]  # places that repeat
+    cells = L.lattice(spark, n).select("x", "y", F.lit("kept").alias("more"), "z")
+    found = growth.labelled(cells.unionByName(cells.where("x = 1")), spark.createDataFrame(seeds, SEEDS).repartition(3), n, kind, periodic, edge)
+    assert found.columns == ["x", "y", "more", "z", "grain", "d"] and found.count() == n**3 + n * n
+    assert {(r.x, r.y, r.z): (r.d, r.grain) for r in found.collect()} == nearest(n, seeds, kind, periodic)
+
+
+def test_growth_without_places(spark):
+    cells = spark.createDataFrame([(1, 1, 1), (9, 0, 0), (None, 1, 1)], "x long, y long, z long")
+    seeds = spark.createDataFrame([(5, 1, 1, 2, 0), (1, 9, 9, 9, 0), (None, 1, 1, 1, 0), (2, None, 1, 1, 0)], SEEDS)
+    found = {(r.x, r.y): (r.grain, r.d) for r in L.nearest_seed_label(cells, seeds, 4).collect()}
+    assert found == {(1, 1): (5, 1), (9, 0): (None, None), (None, 1): (None, None)}
+    assert {r.grain for r in L.nearest_seed_label(cells, seeds.where("grain = 1"), 4).collect()} == {None}
+    assert L.nearest_seed_label(cells.where("false"), seeds, 4).count() == 0
+
+
+@pytest.mark.parametrize("kind", [6, 26])
+def test_clustered_seeds_cost_what_the_lattice_does(spark, monkeypatch, kind):
+    """Seeds in one corner: bricks are grown a few times each, however many the seeds are."""
+    rng, runs, plain = random.Random(4), [], growth.materialise
+
+    def counted(df, name):
+        table = plain(df, name)
+        runs.append(table.where("not told").count())
+        return table
+
+    monkeypatch.setattr(growth, "materialise", counted)
+    for n in (12, 24):
+        runs.clear()
+        seeds = [(i + 1, rng.randrange(3), rng.randrange(3), rng.randrange(3), rng.randrange(4)) for i in range(200)]
+        found = growth.labelled(L.lattice(spark, n).select("x", "y", "z"), spark.createDataFrame(seeds, SEEDS), n, kind, False, 4)
+        assert {(r.x, r.y, r.z): (r.d, r.grain) for r in found.collect()} == nearest(n, [s for s in seeds if s[0] < 10**9], kind)
+        assert sum(runs) <= 4 * (n // 4) ** 3
 
 
 def test_clusters(spark):
@@ -146,8 +184,7 @@ def test_clusters(spark):
     assert {tuple(r) for r in L.near_cell_pairs(spark.createDataFrame(points, "id long, x long, y long, z long"), 4).collect()} == pairs
 
 
-def test_void_fill(spark, porous):
-    now = {(x, y, z): g for _, x, y, z, g in porous}
+def plain_fill(now):
     while True:
         new = dict(now)
         for at, g in now.items():
@@ -158,26 +195,75 @@ def test_void_fill(spark, porous):
                         new[at] = other
                         break
         if new == now:
-            break
+            return now
         now = new
-    assert {(r.x, r.y, r.z): r.grain for r in L.void_fill(table(spark, porous), 5).collect()} == now
+
+
+@pytest.mark.parametrize(("brick", "rim"), [(32, 8), (4, 2), (3, 3), (2, 1)])
+def test_void_fill(spark, porous, brick, rim):
+    now = {(x, y, z): g for _, x, y, z, g in porous if (x + y * z) % 7}
+    found = growth.voids_filled(table(spark, [(1, *at, g) for at, g in now.items()]), 5, brick, rim)
+    assert {(r.x, r.y, r.z): r.grain for r in found.collect()} == plain_fill(now)
     empty = table(spark, cube(2, lambda *_: 0))
     assert L.void_fill(empty, 2).where("grain = 0").count() == 8
+    assert L.void_fill(empty.where("false"), 2).count() == 0
+
 
+def test_wide_voids_take_an_exchange_for_a_rim(spark, monkeypatch):
+    """A void of radius 9 under a rim of 2: exchanges are rounds over the rim, and one that finds nothing more at most."""
+    now = {(x, y, z): 0 if x < 10 else 1 + (y + z) % 3 for x in range(11) for y in range(4) for z in range(4)}
+    runs, plain = [], growth.materialise
+    monkeypatch.setattr(growth, "materialise", lambda df, name: runs.append(name) or plain(df, name))
+    found = growth.voids_filled(table(spark, [(1, *at, g) for at, g in now.items()]), 11, 4, 2)
+    assert {(r.x, r.y, r.z): r.grain for r in found.collect()} == plain_fill(now)
+    assert len(runs) <= 6
 
-@pytest.mark.parametrize("parts", [1, 16])
-def test_mesh_by_hand(spark, porous, parts):
+
+def test_repeated_voids(spark):
+    rows = [(1, 0, 0, 0, 0)] * 3 + [(1, 1, 0, 0, 4), (1, 1, 0, 0, 6), (1, 2, 0, 0, 0), (1, 2, 0, 0, 5), (1, 7, 0, 0, 9), (1, 6, 0, 0, 0)]
+    found = sorted((r.x, r.grain) for r in L.void_fill(table(spark, rows), 7).collect())
+    assert found == [(0, 6), (1, 4), (1, 6), (2, 5), (6, 0), (7, 9)]  # a cell beyond the lattice fills none
+
+
+@pytest.mark.parametrize(("parts", "edge"), [(1, 32), (16, 2), (3, 3)])
+def test_mesh_by_hand(spark, porous, parts, edge):
     nodes, elements = {}, []
     for x, y, z in sorted((x, y, z) for _, x, y, z, g in porous if g):
         ids = []
         for o in L.CORNERS:
             ids.append(nodes.setdefault((x + o[0], y + o[1], z + o[2]), len(nodes) + 1))
         elements.append(ids)
-    n, e = mesh.mesh8(table(spark, porous, parts))
+    n, e = mesh.mesh8(table(spark, porous, parts), edge)
     assert {(r.x, r.y, r.z): r.id for r in n.collect()} == nodes
     assert [list(r.nodes) for r in e.orderBy("element").collect()] == elements
 
 
+@pytest.mark.parametrize("edge", [32, 2])
+def test_mesh20_by_hand(spark, porous, edge):
+    local, nodes, elements = mesh.CORNERS_2 + mesh.EDGES_2, {}, []
+    for e, (x, y, z) in enumerate(sorted((x, y, z) for _, x, y, z, g in porous if g)):
+        elements.append([nodes.setdefault((x + o[0] / 2, y + o[1] / 2, z + o[2] / 2), 20 * e + k + 1) for k, o in enumerate(local)])
+    n, e = mesh.mesh20(table(spark, porous), edge)
+    assert {(r.x, r.y, r.z): r.id for r in n.collect()} == nodes and n.count() == len(nodes)
+    assert [list(r.nodes) for r in e.orderBy("element").collect()] == elements
+    assert all(t.count() == 0 for t in (*mesh.mesh20(table(spark, porous).where("grain < 0")), *mesh.mesh8(table(spark, porous).where("grain < 0"))))
+
+
+def test_repeated_cells_count_once(spark):
+    v = table(spark, [(1, 0, 0, 0, 1), (1, 0, 0, 0, 1), (1, 1, 0, 0, 1), (1, 5, 0, 0, 2), (1, 5, 0, 0, 3)])
+    found = {r.grain: (r.volume, r.surface_area) for r in L.grain_properties(v).collect()}
+    assert found == {1: (2, 10), 3: (1, 6)}
+    assert L.exposed_faces(v).count() == 16 and L.surface_voxels(v).count() == 3
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 250, 499, 500, 900])
+def test_smallest_rows_by_digits(spark, k):
+    rng = random.Random(k)
+    rows = [(rng.choice([5, 70_000, 70_001, rng.getrandbits(31)]), rng.choice([i, i + (1 << 40), 3])) for i in range(500)]
+    found = generate.smallest(spark.createDataFrame(rows, "h long, i long").repartition(3), k)
+    assert sorted((r.h, r.i) for r in found.collect()) == sorted(rows)[:k]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(400, x) for x in range(401, 460)] + [(5, 5)]
