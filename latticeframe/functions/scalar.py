@@ -191,3 +191,16 @@ def mix32(v: Column) -> Column:
 def uniform(seed: int, i, c: int) -> Column:
     """Keyed uniform number in (0, 1), independent of partitioning."""
     return (mix32((col(i) * 6 + (c + 1 + seed * 1000003)) % 4294967296) + 0.5) / 4294967296.0
+
+
+def morton(x, y, z) -> Column:
+    """Place on a curve that keeps neighbours together: the bits of x, y and z in turn, to half a cell; 20 bits of each."""
+
+    def spread(v: Column) -> Column:
+        v = F.greatest(F.lit(0), F.least(F.lit((1 << 20) - 1), F.floor(v.cast("double") * 2).cast("long")))
+        for by, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(mask))
+        return v
+
+    a, b, c = (spread(col(v)) for v in (x, y, z))
+    return a.bitwiseOR(F.shiftleft(b, 1)).bitwiseOR(F.shiftleft(c, 2))

@@ -17,12 +17,45 @@ def with_derived(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"usum": S.usum(), "seqv": S.seqv(), "epseqv": S.epseqv()})
 
 
-def scaled(nodes: DataFrame, component: str) -> DataFrame:
-    """The nodes with `scaled`, a component's place between its least and largest value in the load step."""
-    limits = nodes.groupBy(*STEP).agg(F.min(component).alias("low"), F.max(component).alias("high"))
+def limits_of(nodes: DataFrame, component: str) -> DataFrame:
+    """(set_id, load_step, low, high) of a component, by a pass over the nodes; a store has them written (store.limits)."""
+    return nodes.groupBy(*STEP).agg(F.min(component).alias("low"), F.max(component).alias("high"))
+
+
+def scaled(nodes: DataFrame, component: str, limits: DataFrame | None = None) -> DataFrame:
+    """The nodes with `scaled`, a component's place between its least and largest value in the load step; the limits
+    (set_id, load_step, low, high) may be given."""
+    limits = limits_of(nodes, component) if limits is None else limits
     return nodes.join(small_side(limits, "limits"), STEP).withColumn("scaled", S.minmax_scale(component, "low", "high")).drop("low", "high")
 
 
+#: Titles of the grain properties, of a component of a slice and of a grain.
+SLICE_TITLES = {"Norm Area": "norm_area", "Perimeter": "perimeter", "ECR": "ecr", "Shape factor": "shape_factor", "Area": "area"}
+GRAIN_TITLES = {"Volume": "volume", "Norm Volume": "norm_volume", "Surface Area": "surface_area", "ESR": "esr", "Inertia Moment": "inertia"}
+
+
+def grain_property(title: str, slices: DataFrame, grains: DataFrame) -> DataFrame:
+    """(set_id, title, grain, z, component, value) of the grain property of a title, z and component null for those of whole
+    grains. slices: lattice.slice_grains; grains: lattice.grain_properties."""
+    if title not in SLICE_TITLES and title not in GRAIN_TITLES:
+        raise ValueError(f"no grain property has the title {title!r}")
+    flat = title in SLICE_TITLES
+    rows, value = (slices, SLICE_TITLES[title]) if flat else (grains, GRAIN_TITLES[title])
+    place = [F.col(c) if flat else F.lit(None).cast("long").alias(c) for c in ("z", "component")]
+    return rows.select("set_id", F.lit(title).alias("title"), "grain", *place, F.col(value).cast("double").alias("value"))
+
+
+def grain_properties_long(slices: DataFrame, grains: DataFrame) -> DataFrame:
+    """The properties of all titles, one below the other: each table is read once."""
+    sides = [(slices, SLICE_TITLES, ["z", "component"]), (grains, GRAIN_TITLES, [])]
+    out = []
+    for rows, titles, keys in sides:
+        missing = [F.lit(None).cast("long").alias(c) for c in ("z", "component") if c not in keys]
+        wide = rows.select("set_id", "grain", *keys, *missing, *(F.col(c).cast("double").alias(t) for t, c in titles.items()))
+        out.append(wide.unpivot(["set_id", "grain", "z", "component"], list(titles), "title", "value"))
+    return out[0].unionByName(out[1]).select("set_id", "title", "grain", "z", "component", "value")
+
+
 def component_values(nodes: DataFrame, components: list[str]) -> DataFrame:
     """Long form (keys, component, value) of the components picked by name."""
     return nodes.unpivot([*STEP, "id"], components, "component", "value")
@@ -81,14 +114,22 @@ def value_at(points: DataFrame, nodes: DataFrame, component: str, order: str = "
     return points.join(held.select(*STEP, "x", "y", "z", F.col(component).alias("found")), [*STEP, "x", "y", "z"], "left").select(*points.columns, F.coalesce("found", F.lit(0.0)).alias("value"))
 
 
-def corner_values(voxels: DataFrame, nodes: DataFrame, component: str, load_step: int) -> DataFrame:
-    """(cell, corner, value, scaled, level) for the eight corners of each filled cell under one load step."""
+def corner_values(voxels: DataFrame, nodes: DataFrame, component: str, load_step: int, limits: DataFrame | None = None) -> DataFrame:
+    """(cell, corner, value, scaled, level) for the eight corners of each filled cell under one load step; the component's
+    limits (set_id, load_step, low, high) may be given."""
     corners = F.array(*(F.struct(F.lit(i + 1).alias("corner"), *(F.lit(v).alias(c) for v, c in zip(o, ("dx", "dy", "dz"), strict=True))) for i, o in enumerate(CORNERS)))
     cells = voxels.where("grain > 0").withColumn("o", F.explode(corners))
-    points = cells.select("set_id", F.lit(load_step).alias("load_step"), *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"), *(F.col(c).alias(f"cell_{c}") for c in "xyz"), F.col("o.corner").alias("corner"))
+    points = cells.select(
+        "set_id",
+        F.lit(load_step).alias("load_step"),
+        *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"),
+        *(F.col(c).alias(f"cell_{c}") for c in "xyz"),
+        F.col("o.corner").alias("corner"),
+    )
     step = nodes.where(F.col("load_step") == load_step)
-    limits = step.groupBy("set_id").agg(F.min(component).alias("low"), F.max(component).alias("high"))
-    valued = value_at(points, step, component).join(limits, "set_id")
+    limits = limits_of(step, component) if limits is None else limits.where(F.col("load_step") == load_step)
+    # one set may hold all rows: its limits are broadcast where sets are few
+    valued = value_at(points, step, component).join(small_side(limits.drop("load_step"), "limits"), "set_id")
     scaled = S.minmax_scale("value", "low", "high")
     return valued.select("set_id", "cell_x", "cell_y", "cell_z", "corner", "value", scaled.alias("scaled")).withColumn("level", S.color_level("scaled"))
 

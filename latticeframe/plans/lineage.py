@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests on one machine) a new temporary folder."""
+    """spark.checkpoint.dir of the session. Where it is unset: a new temporary folder under a local master (tests), and an
+    error on a cluster, whose executors would each write to a folder of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         held = spark.sparkContext.getCheckpointDir()
     return held

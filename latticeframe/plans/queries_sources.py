@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from latticeframe.functions import scalar as S
 from latticeframe.operators import lattice, results
 from latticeframe.plans import fixtures as X
 from latticeframe.plans import queries_grains as G
+from latticeframe.plans import queries_nodes as N
 from latticeframe.plans.lineage import materialise, shared_dir
 from latticeframe.plans.registry import query
 from latticeframe.sources import files, store
@@ -40,6 +42,20 @@ def loadstep_text_scan(spark, sf):
     return _shown(files.read_loadsteps(spark, path))
 
 
+# a tenth of the lines is cut off, another has a field of stars
+@query("""select load_step, id, case when id % 10 = 3 then 'short' else 'sx' end reason from nodes where id % 10 in (3, 7)""")
+def loadstep_rejects(spark, sf):
+    sound, damaged = _folder(spark, "loadsteps"), _folder(spark, "damaged")
+    files.write_loadsteps(materialise(X.node_results(spark, sf), "nodes"), sound)
+    lines = spark.read.option("recursiveFileLookup", True).text(sound).select("value", F.col("_metadata.file_path").alias("path"))
+    number, field = F.trim(F.substring("value", 1, 16)).try_cast("double") % 10, 17 * 7 + 1
+    stars = F.concat(F.substring("value", 1, field - 1), F.lit("*" * 16), F.expr(f"substring(value, {field + 16})"))
+    value = F.when(number == 3, F.substring("value", 1, 160)).when(number == 7, stars).otherwise(F.col("value"))
+    step = F.regexp_extract("path", r"ls=(\d+)", 1).alias("ls")
+    lines.select(value.alias("value"), step).write.partitionBy("ls").text(damaged)
+    return files.rejected_loadsteps(spark, damaged).select("load_step", "id", "reason")
+
+
 def _filled_store(spark, sf):
     root = _folder(spark, "store")
     nodes, loads = materialise(X.node_results(spark, sf), "nodes"), X.load_cases(spark, sf)
@@ -80,6 +96,21 @@ def result_store_scan(spark, sf):
     return _shown(store.scan(spark, _filled_store(spark, sf), "results", 2, 5))
 
 
+# the nodes of a box in the middle
+@query(f"select {SHOWN} from nodes where load_step = 5 and x between n // 3 and n // 2 and y between n // 4 and n // 2 and z between n // 3 and n // 2")
+def result_store_box(spark, sf):
+    n = X.size(spark, sf)
+    return _shown(store.box(spark, _filled_store(spark, sf), (n // 3, n // 4, n // 3), (n // 2, n // 2, n // 2), 2, 5))
+
+
+# coloured by the limits that the store holds: one pass over the nodes
+@query(N.LIMITS + " select load_step, id, round(case when high = low then 1.0 else (sx - low) / nullif(high - low, 0) end, 6) scaled, floor(case when high = low then 1.0 else (sx - low) / nullif(high - low, 0) end * 8)::int as level from nodes join lim using (set_id, load_step)")
+def result_store_color(spark, sf):
+    root = _filled_store(spark, sf)
+    coloured = results.scaled(store.scan(spark, root, "results"), "sx", store.limits(spark, root, "sx"))
+    return coloured.select("load_step", "id", F.round("scaled", 6).alias("scaled"), S.color_level("scaled").alias("level"))
+
+
 @query("select distinct case when load_step <= 3 then 1 else 2 end set_id, load_step from nodes")
 def result_catalog(spark, sf):
     return store.catalog(spark, _filled_store(spark, sf))
@@ -142,3 +173,25 @@ def loadstep_stream_ingest(spark, sf):
         ingest.ingest_loadsteps(spark, source, kept, marks)
     found = ingest.running_stats(spark, kept)
     return found.select("load_step", "component", "n", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("avg", "low", "high")))
+
+
+TITLES = {**results.SLICE_TITLES, **results.GRAIN_TITLES}
+PROPERTIES = G.CC + f""", {G.VOLUME}, {G.SURFACE}, gp as (select v.set_id, v.grain, volume, volume / max(volume) over (partition by v.set_id) norm_volume, surface_area,
+  pow(3 * volume / (4 * pi()), 1.0 / 3) esr, 0.4 * pow(3 * volume / (4 * pi()), 2.0 / 3) inertia from vol v join surf using (set_id, grain)),
+named as ({' union all '.join([f"select set_id, '{t}' title, grain, z, component, {c}::double v from full_sg" for t, c in results.SLICE_TITLES.items()] + [f"select set_id, '{t}', grain, null::bigint, null::bigint, {c}::double from gp" for t, c in results.GRAIN_TITLES.items()])})"""
+
+
+def _properties(spark, sf):
+    slices = G.r6(lattice.slice_grains(X.voxels_porous(spark, sf), X.size(spark, sf)).withColumn("shape_factor", F.col("shape_factor") + 1e-9), "norm_area", "ecr", "shape_factor")
+    return results.grain_properties_long(slices, lattice.grain_properties(X.voxels(spark, sf)))
+
+
+@query(PROPERTIES + ' select set_id, title, grain, z, component, round(v, 6) as "value" from named')
+def grain_property_select(spark, sf):
+    return G.r6(_properties(spark, sf), "value")
+
+
+# the distribution of every property that has a title; limits of bins are the only places where rounding counts, so values are rounded first
+@query(PROPERTIES + N.HIST[4:].replace("ok as (select event_type, value v from events where value is not null and not isnan(value) and value <> 0 and abs(value) < 'inf'::double)", ", ok as (select title event_type, round(v, 6) v from named where v is not null and round(v, 6) <> 0)").replace("{bin}", "bin") + " select event_type title, bin, low, n from hist")
+def grain_property_histogram(spark, sf):
+    return G.r6(results.histogram(G.r6(_properties(spark, sf), "value"), "title", "value"), "low")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from latticeframe.functions.scalar import STORED
@@ -55,16 +55,46 @@ def write_loadsteps(nodes: DataFrame, path: str, file_ids: int = 1_000_000) -> N
     rows.select("ls", "ids", "value").write.mode("overwrite").partitionBy("ls", "ids").text(path)
 
 
-def parse_loadsteps(lines: DataFrame) -> DataFrame:
-    """Lines (value, path) to node rows: 19 fields of 16 characters every 17, the load step from the path; header and short lines go."""
-    fields = [F.trim(F.substring("value", STRIDE * j + 1, WIDTH)).try_cast("double").alias(c) for j, c in enumerate(STORED)]
-    step = F.regexp_extract("path", r"ls[_=](\d+)", 1).cast("int").alias("load_step")
-    return lines.select(step, *fields).where(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long"))
+def judged_loadsteps(lines: DataFrame) -> DataFrame:
+    """Lines (value, path) as (value, path, load_step, fields, reason): an array of 19 numbers, of 16 characters every 17, and
+    the load step from the path. reason is null for a sound line, else `header`, `short`, `load step` or the first field
+    that is no number."""
+    number = lambda j: F.trim(F.substring(F.col("value"), j * STRIDE + 1, F.lit(WIDTH))).try_cast("double")
+    fields = F.transform(F.sequence(F.lit(0), F.lit(len(STORED) - 1)), number)
+    step = F.regexp_extract("path", r"ls[_=](\d+)", 1).try_cast("int")
+    read = lines.select("value", "path", step.alias("load_step"), fields.alias("fields"))
+    short = F.length("value") < STRIDE * (len(STORED) - 1) + WIDTH
+    reason = F.when(F.trim(F.substring("value", 1, WIDTH)) == STORED[0], "header").when(short, "short").when(F.col("load_step").isNull(), "load step")
+    faulty = F.array_position(F.transform("fields", lambda v: v.isNull()), True)
+    return read.withColumn("reason", reason.when(faulty > 0, F.array(*map(F.lit, STORED))[(faulty - 1).cast("int")]))
 
 
-def read_loadsteps(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    return parse_loadsteps(lines)
+def parse_loadsteps(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """Sound lines (value, path) as node rows. `counts` observes, in the same pass, how many lines were nodes, headers and
+    rejected."""
+    judged = judged_loadsteps(lines)
+    if counts is not None:
+        of = lambda c: F.count_if(c)
+        bad = F.coalesce(F.col("reason") != "header", F.lit(False))
+        judged = judged.observe(counts, of(F.col("reason").isNull()).alias("nodes"), of(F.col("reason") == "header").alias("headers"), of(bad).alias("rejected"))
+    field = lambda c: F.col("fields")[STORED.index(c)]
+    return judged.where(F.col("reason").isNull()).select("load_step", field("id").cast("long").alias("id"), *(field(c).alias(c) for c in STORED[1:]))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+
+
+def read_loadsteps(spark: SparkSession, path: str, counts: Observation | None = None) -> DataFrame:
+    """The nodes of all sound lines under a path; see parse_loadsteps."""
+    return parse_loadsteps(_lines(spark, path), counts)
+
+
+def rejected_loadsteps(spark: SparkSession, path: str) -> DataFrame:
+    """(path, load_step, id, reason, value) of the lines under a path that are neither nodes nor headers; id where it can
+    be read."""
+    rejected = judged_loadsteps(_lines(spark, path)).where("reason <> 'header'")
+    return rejected.select("path", "load_step", F.col("fields")[0].cast("long").alias("id"), "reason", "value")
 
 
 def dense_array_unpack(arrays: DataFrame, column: str) -> DataFrame:
