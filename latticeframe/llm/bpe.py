@@ -115,6 +115,7 @@ def encode_decode(docs: DataFrame, ranks_path: str = vocab.BYTE_RANKS, pattern:
         yield from out.rest()
 
     pieces = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("start", pa.int64()), ("last", pa.bool_()), ("text", pa.string())])
+    names = ("doc_id", "row", "start", "last", "copies", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sink(pieces)
@@ -126,12 +127,12 @@ def encode_decode(docs: DataFrame, ranks_path: str = vocab.BYTE_RANKS, pattern:
                     yield out.take()
         yield from out.rest()
 
-    scanned = pa.schema([*pieces, ("ends", pa.binary())])
+    scanned = pa.schema([*pieces.remove(4), ("copies", pa.int64()), ("text", pa.string()), ("ends", pa.binary())])
 
     def scan_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (splitter, _, _), out = codec(ranks_path, pattern, changes), Sink(scanned)
-        for doc, row, start, last, text in rows_of(batches, "doc_id", "row", "start", "last", "text"):
-            out.add((doc, row, start, last, text, (start + scan(splitter.rx, splitter.shadow(text), last)).astype("<i8").tobytes()), len(text) * 3)
+        for doc, row, start, last, copies, text in rows_of(batches, *names):
+            out.add((doc, row, start, last, copies, text, (start + scan(splitter.rx, splitter.shadow(text), last)).astype("<i8").tobytes()), len(text) * 3)
             if out.full():
                 yield out.take()
         yield from out.rest()
@@ -143,10 +144,16 @@ def encode_decode(docs: DataFrame, ranks_path: str = vocab.BYTE_RANKS, pattern:
         text = "".join(r[1][:chunk_chars] for r in rows)
         ends = stitch(splitter.rx, splitter.shadow(text), starts, [np.frombuffer(r[2], "<i8") for r in rows])
         ids = b"".join(table[text[a:b]] for a, b in pairwise([0, *ends.tolist()]))
-        return pa.table([[chunks.column("doc_id")[0].as_py()], [ids], [decode_ids(ids, by_id)]], schema=ENCODED)
+        one = [[chunks.column("doc_id")[0].as_py()], [ids], [decode_ids(ids, by_id)], [chunks.column("copies")[0].as_py()]]
+        return pa.table(one, schema=ENCODED.append(pa.field("copies", pa.int64())))
 
     short = base.where(F.length("text") <= chunk_chars).mapInArrow(whole, spec)
-    long = base.where(F.length("text") > chunk_chars).withColumn("row", F.expr("uuid()"))  # repeated ids stay apart
-    chunks = long.mapInArrow(cut, "doc_id long, row string, start long, last boolean, text string").repartition("row", "start")
-    joined = chunks.mapInArrow(scan_chunks, "doc_id long, row string, start long, last boolean, text string, ends binary").groupBy("row").applyInArrow(join_chunks, spec)
-    return short.unionByName(joined)
+    long = base.where(F.length("text") > chunk_chars)
+    # a row is named by what it holds, so a task that runs again names it as before; equal rows are encoded once
+    long = long.withColumn("row", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text"), 256))
+    chunks = long.mapInArrow(cut, "doc_id long, row string, start long, last boolean, text string").groupBy("row", "start")
+    chunks = chunks.agg(*(F.first(c).alias(c) for c in ("doc_id", "last", "text")), F.count(F.lit(1)).alias("copies")).select(*names)
+    scanned_spec = "doc_id long, row string, start long, last boolean, copies long, text string, ends binary"
+    joined = chunks.mapInArrow(scan_chunks, scanned_spec).groupBy("row").applyInArrow(join_chunks, f"{spec}, copies long")
+    every = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "ids", "decoded")
+    return short.unionByName(every)

@@ -47,7 +47,8 @@ def bins_of(raw: bytes, bins: int = BINS) -> np.ndarray:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Rows that are not trained on; one without an id is never held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pseudo: float = 0.5) -> tuple[list[str], np.ndarray]:

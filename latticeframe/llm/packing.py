@@ -111,9 +111,12 @@ def pack_tokens(docs: DataFrame, capacity: int = 2048, ranks_path: str = vocab.B
         return pa.Table.from_batches([out.take()])
 
     pieces = base.mapInArrow(encode, "doc_id long, piece int, ids binary")
-    # repeated ids, or rows without one, are told apart by what they hold, and equal rows by a number of their own
-    own = F.xxhash64("doc_id", "piece", "ids", F.monotonically_increasing_id())
-    dealt = pieces.withColumn("shard", F.pmod(own, F.lit(shards))).repartition(parts, "shard")
+    # repeated ids, or rows without one, are told apart by what they hold, and equal pieces by which of so many each is: a
+    # task that runs again deals as before
+    counted = pieces.groupBy("doc_id", "piece", "ids").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    single = counted.select("doc_id", "piece", "ids", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    own = F.xxhash64("doc_id", "piece", "ids", "copy")
+    dealt = single.withColumn("shard", F.pmod(own, F.lit(shards)).cast("long")).drop("copy").repartition(parts, "shard")
     return dealt.groupBy("shard").applyInArrow(pack, PACKS)
 
 

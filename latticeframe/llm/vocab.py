@@ -31,8 +31,9 @@ def rank_encoding(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-#: White space in a row from which a text is split outside the rank library, whose own matcher gives up near a million.
-LONG_GAP = re.compile(r"\s{100000}")
+#: White space in a row from which a text is split outside the rank library, whose own matcher gives up near a million; looked
+#: for from the beginning of a run only, so that each run is read once.
+LONG_GAP = re.compile(r"(?<!\s)\s{100000}")
 #: One character of each class of the split pattern for characters whose class the two matchers see differently.
 STAND_INS = {r"\p{L}": "\u4e00", r"\p{N}": "0", r"\s": "\u2003"}
 OTHER = "\ue000"
