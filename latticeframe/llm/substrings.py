@@ -16,6 +16,7 @@ repeats. Long texts are hashed a megabyte at a time. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from itertools import pairwise
@@ -65,22 +66,10 @@ def unzipped(raw: bytes, *dtypes: str) -> list[np.ndarray]:
     return out
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64, at least n of each."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        base = 0xD6E8FEB86659FD93
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
-
-
-LETTERS = scramble(np.arange(1, 257, dtype=np.uint64) * ODD)
+def digests_of(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A cryptographic digest of 64 bits of every stretch of a text."""
+    raw, held = text.tobytes(), functools.partial(hashlib.blake2b, digest_size=8)
+    return np.frombuffer(b"".join([held(raw[a:b]).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.uint64)
 
 
 def runs_of(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -103,11 +92,7 @@ def runs_of(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     first, last = edge[:-1], edge[1:]
     used = inside[first]
     first, last = first[used], last[used]
-    up, down = powers(n + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(LETTERS[text] * up[:n])])
-    size = last - first
-    digest = scramble((total[last + LENGTH - 1] - total[first]) * down[first] + size.astype(np.uint64) * ODD)
-    return m[first], digest & np.uint64((1 << 48) - 1), doc[first], first, size
+    return m[first], digests_of(text, first, last + LENGTH - 1), doc[first], first, last - first
 
 
 class Chunk:
@@ -203,7 +188,7 @@ def tell(chunks: DataFrame, buckets: int, many: int = MANY) -> DataFrame:
             for b, e in parted(bucket):
                 at = entry[e]
                 digest = c.digest[at]
-                low, high = digest.astype("<u4"), (digest >> np.uint64(32)).astype("<u2")
+                low, high = digest.astype("<u4"), (digest >> np.uint64(32)).astype("<u4")
                 width = np.minimum(c.size[c.example[at]], 255).astype("u1")
                 out.add((b, name, zipped(at.astype("<u4"), key[e], low, high, c.owner[at], dealt[e].astype("u1"), width)), 16 * len(e))
                 if out.full():
@@ -215,7 +200,7 @@ def tell(chunks: DataFrame, buckets: int, many: int = MANY) -> DataFrame:
 
 def assign(told: pa.Table) -> pa.Table:
     """What each chunk does with each of its entries in one bucket."""
-    names, parts = told.column("chunk").to_pylist(), [unzipped(x, "<u4", "<u8", "<u4", "<u2", "<i8", "u1", "u1") for x in told.column("entries").to_pylist()]
+    names, parts = told.column("chunk").to_pylist(), [unzipped(x, "<u4", "<u8", "<u4", "<u4", "<i8", "u1", "u1") for x in told.column("entries").to_pylist()]
     sizes = [len(p[0]) for p in parts]
     entry, key, low, high, owner, many, size = (np.concatenate(x) for x in zip(*parts, strict=True))
     source = np.repeat(np.arange(len(parts)), sizes)
