@@ -4,7 +4,8 @@ Patterns find the base spans (assigned credentials, access key ids, hex runs). B
 are decoded and reported only where their structure parses: DER key encodings whose nested lengths add up, OpenSSH
 key blobs with length-prefixed fields, PEM blocks around either (with real or escaped line ends, or with the headers of
 an encrypted body), and signed tokens whose header is JSON that names an algorithm; a token is tried at every dotted
-part. Positions are code points, ends exclusive.
+part. A key is looked for at every place of a run at which one can begin, and over lines of one width; base64 of a PEM
+block is scanned once more. Positions are code points, ends exclusive.
 
 Null and empty texts have no spans. Rows are independent: repeated rows repeat their result, and rows without an id are
 scanned like others. Texts are scanned whole, in time that goes with their length. Extra columns are ignored. An empty
@@ -33,7 +34,17 @@ SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"e
 
 HINTS = ("password", "passwd", "secret", "token", "api")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]++={0,2})+")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+#: Where a key can begin in base64 (a DER sequence, an SSH blob, the magic of an OpenSSH key, a PEM block) and in hex.
+BASE64_START = re.compile(r"M[A-I]|AAAA[AB]|b3BlbnNzaC1rZXk|LS0tLS1CRUdJTi")
+HEX_START = re.compile(r"30(?:[0-7][0-9A-Fa-f]|8[12])|000000(?:07|0[bB]|13)7373682[dD]|000000136563|6[fF]70656[eE]7373682[dD]")
+LEAST_BASE64, LEAST_HEX = 40, 64
+#: First bytes of a DER key: a sequence that begins with the number 0 or 1, or with a sequence that names an algorithm.
+KEY_HEAD = re.compile(rb"(\x30(?:([\x00-\x7f])|\x81([\x80-\xff])|\x82([\x01-\xff][\x00-\xff])))(?:\x02\x01[\x00\x01]|\x30(?:[\x00-\x7f]|\x81.|\x82..)\x06)", re.DOTALL)
+#: How a JSON header begins in base64: `{"`, `{` and a line end, a blank, a tab or a carriage return.
+TOKEN_HINTS = ("eyJ", "ewo", "eyA", "ewk", "ew0")
 DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----")
 PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: ")
@@ -169,18 +180,85 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def key_size(head: bytes) -> int:
+    """Bytes of the key that the first bytes of a DER encoding announce; 0 where they are not those of a key."""
+    m = KEY_HEAD.match(head)
+    return m.end(1) + int.from_bytes(m[2] or m[3] or m[4], "big") if m else 0
+
+
+def kind_of(raw: bytes) -> int | None:
+    return 4 if is_der_key(raw) else 5 if is_ssh_key(raw) else None
+
+
+def in_decoded(raw: bytes) -> list[int]:
+    """Kinds of what a decoded text holds when it is scanned once more."""
+    text = raw.decode("latin-1")
+    found = [3] if "-----BEGIN " in text and pem_blocks(text) else []
+    return found + ([6] if any(h in text for h in TOKEN_HINTS) and signed_tokens(text) else [])
+
+
+def base64_keys(run: str) -> list[tuple[int, int, int]]:
+    """Keys in a run of base64, wherever in it they begin: a DER encoding ends where its length says, others with the run."""
+    body, found, at = run.rstrip("="), [], 0
+    while m := BASE64_START.search(body, at):
+        at = m.start()
+        size = key_size(decode_base64(body[at : at + 20]) or b"") if m[0][0] == "M" else 0
+        end = at + -(-8 * size // 6) if size else len(body)
+        piece = body[at:end] if end <= len(body) and (size or m[0][0] != "M") else ""
+        raw = decode_base64(piece) if len(piece) >= LEAST_BASE64 else None
+        kinds = [] if not raw else in_decoded(raw) if m[0][0] == "L" else [k for k in [kind_of(raw)] if k]
+        end = len(run) if end == len(body) else end
+        found += [(at, kind, end) for kind in kinds]
+        at = end if kinds else at + 1
+    return found
+
+
+def hex_keys(run: str) -> list[tuple[int, int, int]]:
+    """Keys in a run of hex digits, at any digit."""
+    found, at = [], 0
+    while m := HEX_START.search(run, at):
+        at = m.start()
+        head = bytes.fromhex(run[at : at + 30])[:15] if at + 30 <= len(run) else b""
+        size = key_size(head)
+        end = at + 2 * size if size else at + (len(run) - at) // 2 * 2
+        kind = kind_of(bytes.fromhex(run[at:end])) if end <= len(run) and end - at >= LEAST_HEX and (size or m[0][0] != "3") else None
+        if kind:
+            found.append((at, kind, end))
+        at = end if kind else at + 1
+    return found
+
+
+def line_blocks(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Base64 over several lines of one width, the last one shorter or not: joined, with (place in the text, place in the
+    joined run) of each line."""
+    for m in BASE64_LINES.finditer(text):
+        lines = [(m.start() + x.start(), x[0]) for x in BASE64_LINE.finditer(m[0])]
+        first = 0
+        for i in range(1, len(lines) + 1):
+            width = len(lines[first][1])
+            if i < len(lines) and len(lines[i][1]) <= width and len(lines[i - 1][1]) == width:
+                continue
+            if i - first > 1:
+                places = [(start, k * width) for k, (start, _) in enumerate(lines[first:i])]
+                yield "".join(x for _, x in lines[first:i]), places
+            first = i
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     found = []
     if "-----BEGIN " in text:
         found += pem_blocks(text)
     for m in BASE64_RUN.finditer(text):
         raw = decode_base64(m[0])
-        if raw:
-            found += [(m.start(), kind, m.end()) for kind, test in ((4, is_der_key), (5, is_ssh_key)) if test(raw)]
+        kind = kind_of(raw) if raw else None
+        keys = [(0, kind, len(m[0]))] if kind else base64_keys(m[0])
+        found += [(m.start() + a, kind, m.start() + b) for a, kind, b in keys]
+    for run, places in line_blocks(text):
+        back = lambda at: next(start + at - own for start, own in reversed(places) if own <= at)  # noqa: B023,E731
+        found += [(back(a), kind, back(b - 1) + 1) for a, kind, b in base64_keys(run)]
     for m in HEX_RUN.finditer(text):
-        raw = bytes.fromhex(m[0])
-        found += [(m.start(), kind, m.end()) for kind, test in ((4, is_der_key), (5, is_ssh_key)) if test(raw)]
-    if "eyJ" in text or "ewo" in text or "eyA" in text or "ewk" in text or "ew0" in text:  # `{"`, `{\n`, `{ `, `{\t` and `{\r` in base64
+        found += [(m.start() + a, kind, m.start() + b) for a, kind, b in hex_keys(m[0])]
+    if any(h in text for h in TOKEN_HINTS):
         found += signed_tokens(text)
     return found
 
