@@ -2,15 +2,16 @@
 
 A stripe is a prefix of 0 to 4 words with an associative counter of the words that follow it. Tasks make stripes of the
 texts they read, and stripes of one prefix are merged elementwise. The merged stripes are the one structure from which
-all else is read: the count of every phrase (prefix and word), the total of a prefix (a stripe also counts, as `rest`,
-where no word or no frequent one follows), and for each phrase the largest count of a phrase longer by a word on the
-right (the largest entry of its own stripe) or on the left (the largest entry whose last words it is).
+all else is read: the count of every phrase (prefix and word); the total of a prefix (the stripe of no word sums to a
+language's words, that of a word also counts, as `rest`, where no frequent word follows, and a longer prefix is an entry of
+a shorter one's stripe); and for each phrase the largest count of a phrase longer by a word on the right (the largest
+entry of its own stripe) or on the left (the largest entry whose last words it is).
 
-Three passes make stripes of no word, of one word, and of two words and more. A phrase is frequent only where all its words
-and all its pairs of neighbours are: what is frequent after a pass goes as a Bloom filter of bounded size into the next
-one; what the filter lets through wrongly is counted and dropped. A prefix of more than SLICE_WORDS occurrences is cut
-into slices by the hash of the next word, so no stripe gathers in one task; at most SLICED prefixes can be that frequent,
-since the bound grows with the number of words.
+Four passes make stripes of no word, of one, of two, and of three words and more. A phrase is frequent only where all its
+words, all its pairs of neighbours and all its triples are: what is frequent after a pass goes as a Bloom filter of bounded
+size into the next one; what the filter lets through wrongly is counted and dropped. A prefix of more than SLICE_WORDS
+occurrences is cut into slices by the hash of the next word, so no stripe gathers in one task; at most SLICED prefixes
+can be that frequent, since the bound grows with the number of words.
 
 Texts: A-Z in lower case, null counts as empty; pieces end at . , ; : ! ? and line ends, words at blanks and tabs. Long texts are
 read a megabyte at a time. A row without a language is of `und`. Repeated rows count as often as they stand; further
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,14 +36,16 @@ from latticeframe.llm.common import Sink, bloom_filter, maybe_among, rows_of, te
 from latticeframe.plans.lineage import materialise, small_side
 
 #: Words of a task's buffer, and bytes of a text split at a time.
-BUFFER, CHUNK = 1 << 20, 1 << 20
+BUFFER, CHUNK = 3 << 19, 1 << 20
+#: Stripes travel in packets by the hash of their prefix: the least number of these, and words of the corpus for each.
+PACKETS, PACKET_WORDS = 256, 2_000_000
 #: Slices of the stripe of the empty prefix, least occurrences of a slice of others, most prefixes that are sliced.
-FIRST_SLICES, SLICE_WORDS, SLICED = 1024, 20_000, 10_000
+FIRST_SLICES, SLICE_WORDS, SLICED = 1024, 20_000, 2_000
 GAP = re.compile(rb"[ \t.,;:!?\n-\r]")
 #: A-Z in lower case; everything that ends a piece becomes a full stop.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz.........")
 ODD = np.uint64(0x9E3779B97F4A7C15)
-STRIPES = "lang string, prefix string, slice int, nexts binary, counts binary, rest long"
+STRIPES = "lang string, packet int, prefixes binary, sizes binary, nexts binary, counts binary, rests binary"
 MERGED = "lang string, prefix string, nexts array<string>, counts array<bigint>, total bigint"
 
 
@@ -97,26 +100,39 @@ class Buffer:
         kept.add(self.words[max(0, len(self.words) - most) :], np.concatenate(self.hashes)[max(0, len(self.words) - most) :])
         return kept
 
-    def stripes(self, lang: str, size: int, longest: int, frequent: np.ndarray | None, sliced: dict) -> Iterator[tuple]:
-        """Stripe rows of the prefixes of `size` words that begin before the last `longest` words. `frequent` has the
-        words and pairs of words that are frequent."""
-        ids, words = np.concatenate(self.hashes), self.words
-        last = len(ids) - longest
-        if last <= 0:
-            return
-        if frequent is not None:
-            named = np.flatnonzero(ids)
-            ids[np.delete(named, maybe_among(frequent, phrase_hash([ids[named]])))] = 0
-        starts = np.arange(last)
-        for k in range(size):
-            starts = starts[ids[starts + k] > 0]
-        for k in range(size - 1):
-            starts = starts[maybe_among(frequent, phrase_hash([ids[starts + k], ids[starts + k + 1]]))]
+    def marked(self, longest: int, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """The words' hashes, for prefixes of one word 0 for those that are not frequent; and, for longer prefixes, where a
+        phrase of two words (three, for prefixes of three and more) that is frequent begins. `frequent` has those."""
+        ids = np.concatenate(self.hashes)
+        at = np.flatnonzero(ids)
+        if longest == 1:
+            ids[np.delete(at, maybe_among(frequent, phrase_hash([ids[at]])))] = 0
+        if longest < 2:
+            return ids, None
+        padded = np.r_[ids, np.zeros(2, np.uint64)]
+        for k in (1, 2)[: longest - 1]:
+            at = at[padded[at + k] > 0]
+            at = at[maybe_among(frequent, phrase_hash([padded[at + i] for i in range(k + 1)]))]
+        begins = np.zeros(len(padded), bool)
+        begins[at] = True
+        return ids, begins
+
+    def stripes(self, lang: str, sizes: range, frequent: np.ndarray | None, sliced: dict) -> Iterator[tuple]:
+        """Stripe rows of the prefixes of `sizes` words that begin before the last max(sizes) words."""
+        if len(self.words) > max(sizes):
+            ids, begins = self.marked(max(sizes), frequent)
+            for size in sizes:
+                yield from self._stripes(lang, size, len(ids) - max(sizes), min(3, max(sizes)), ids, begins, sliced)
+
+    def _stripes(self, lang: str, size: int, last: int, known: int, ids: np.ndarray, begins: np.ndarray | None, sliced: dict) -> Iterator[tuple]:
+        words = self.words
+        if size < 2:
+            starts = np.flatnonzero(ids[:last]) if size else np.arange(last)
+        else:  # all phrases of `known` words in the prefix and the next word are frequent
+            starts = np.flatnonzero(begins[:last])
+            for k in range(1, size + 2 - known):
+                starts = starts[begins[starts + k]]
         nexts = ids[starts + size]
-        if size > 1:
-            named = np.flatnonzero(nexts)
-            pairs = phrase_hash([ids[starts[named] + size - 1], nexts[named]])
-            nexts[np.delete(named, maybe_among(frequent, pairs))] = 0
         if not size:
             starts, nexts = starts[nexts > 0], nexts[nexts > 0]
         if not len(starts):
@@ -150,11 +166,11 @@ class Buffer:
                 yield lang, text, int(of[by[c]]), b" ".join([follow[i] for i in part]), counts[part].astype("<i8").tobytes(), 0
 
 
-def make_stripes(texts: DataFrame, sizes: range, frequent: np.ndarray | None, sliced: dict) -> DataFrame:
-    """Partial stripes of the prefixes of `sizes` words, from texts (lang, content)."""
+def make_stripes(texts: DataFrame, sizes: range, frequent: np.ndarray | None, sliced: dict, packets: int) -> DataFrame:
+    """Partial stripes of the prefixes of `sizes` words, from texts (lang, content), in packets."""
     send = texts.sparkSession.sparkContext.broadcast((frequent, sliced))
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-    schema = pa.schema(list(zip(("lang", "prefix", "slice", "nexts", "counts", "rest"), kinds, strict=True)))
+    kinds = (pa.string(), pa.int32(), *[pa.binary()] * 5)
+    schema = pa.schema(list(zip(("lang", "packet", "prefixes", "sizes", "nexts", "counts", "rests"), kinds, strict=True)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filtered, split = send.value
@@ -162,11 +178,16 @@ def make_stripes(texts: DataFrame, sizes: range, frequent: np.ndarray | None, sl
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, buffer in held.items():
-                for size in sizes:
-                    for row in buffer.stripes(lang, size, longest, filtered, split):
-                        out.add(row, len(row[3]) + len(row[4]) + 64)
-                        if out.full():
-                            yield out.take()
+                packed: dict[int, list[tuple]] = {}
+                for stripe in buffer.stripes(lang, sizes, filtered, split):
+                    packed.setdefault(xxhash.xxh32_intdigest(stripe[1], stripe[2]) % packets, []).append(stripe)
+                for packet, some in packed.items():
+                    _, prefixes, _, nexts, counts, rests = zip(*some, strict=True)
+                    sizes_of, rests = (np.array(v, "<i8").tobytes() for v in ([len(c) // 8 for c in counts], rests))
+                    words = b" ".join(n for n in nexts if n)
+                    out.add((lang, packet, "\n".join(prefixes).encode(), sizes_of, words, b"".join(counts), rests), 3 * len(words))
+                    if out.full():
+                        yield out.take()
 
         for lang, raw in rows_of(batches, "lang", "content"):
             own = held.setdefault(lang, Buffer())
@@ -185,33 +206,46 @@ def make_stripes(texts: DataFrame, sizes: range, frequent: np.ndarray | None, sl
 
 
 def merge_stripes(stripes: DataFrame, least: int) -> DataFrame:
-    """Stripes of one prefix and slice summed elementwise: (lang, prefix, nexts, counts, total); only words that follow
-    `least` times or more are named, all are in the total."""
-    schema = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("nexts", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("total", pa.int64())])
+    """Stripes of one prefix (and slice of it) summed elementwise: (lang, prefix, nexts, counts, total); only words that
+    follow `least` times or more are named, all are in the total."""
+    key = ["lang", "packet"]
+    named = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("nexts", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("total", pa.int64())])
+
+    def numbers(rows: pa.Table, name: str) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.column(name).to_pylist()), "<i8")
+
+    def merged(rows: pa.Table) -> pa.RecordBatch:
+        """All stripes of one packet."""
+        split = lambda name, gap: [w for r in rows.column(name).to_pylist() if r for w in r.decode().split(gap)]
+        prefixes = pa.array([p for r in rows.column("prefixes").to_pylist() for p in r.decode().split("\n")], pa.string()).dictionary_encode()
+        of = prefixes.indices.to_numpy()
+        many, size = numbers(rows, "counts"), numbers(rows, "sizes")
+        owner, count = np.repeat(of, size), len(prefixes.dictionary)
+        total = np.bincount(of, numbers(rows, "rests"), count) + np.bincount(owner, many, count)
+        table = pa.table({"of": owner.astype(np.int64), "word": pa.array(split("nexts", " "), pa.string()), "n": many})
+        sums = table.group_by(["of", "word"]).aggregate([("n", "sum")])
+        sums = sums.filter(pc.greater_equal(sums.column("n_sum"), least)).sort_by([("of", "ascending"), ("word", "ascending")])
+        ends = pa.array(np.searchsorted(sums.column("of").to_numpy(), np.arange(count + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, sums.column(c).combine_chunks()) for c in ("word", "n_sum")]
+        lang = pa.array([rows.column("lang")[0].as_py()] * count, pa.string())
+        return pa.RecordBatch.from_arrays([lang, prefixes.dictionary, *lists, pa.array(np.rint(total).astype(np.int64))], schema=named)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, now, merged, total = Sink(schema), None, {}, 0
-
-        def close() -> None:
-            named = sorted((w, c) for w, c in merged.items() if c >= least)
-            out.add((now[0], now[1], [w.decode() for w, _ in named], [c for _, c in named], total), 32 * len(named) + 64)
-
-        for lang, prefix, part, nexts, counts, rest in rows_of(batches, "lang", "prefix", "slice", "nexts", "counts", "rest"):
-            if (lang, prefix, part) != now:
-                if now:
-                    close()
-                    if out.full():
-                        yield out.take()
-                now, merged, total = (lang, prefix, part), {}, 0
-            many = np.frombuffer(counts, "<i8")
-            total += int(many.sum()) + rest
-            for w, c in zip(nexts.split(b" "), many.tolist()):  # no words: one empty name and no count  # noqa: B905
-                merged[w] = merged.get(w, 0) + c
-        if now:
-            close()
-        yield from out.rest()
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [pc.not_equal(batch.column(c)[1:], batch.column(c)[:-1]).to_numpy(zero_copy_only=False) for c in key]
+            edges = [0, *(np.flatnonzero(new[0] | new[1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in key):
+                    yield merged(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield merged(pa.Table.from_batches(held))
 
-    key = ["lang", "prefix", "slice"]
     return stripes.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, MERGED)
 
 
@@ -226,7 +260,7 @@ def _gram_hashes(found: DataFrame) -> DataFrame:
     """(hash) of phrases (lang, phrase) of one size, as the next pass makes it from the words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, phrases in ((k, b.filter(pa.compute.equal(b.column("lang"), k))) for b in batches for k in b.column("lang").unique()):
+        for lang, phrases in ((k, b.filter(pc.equal(b.column("lang"), k))) for b in batches for k in b.column("lang").unique()):
             words = zip(*(p.encode().split(b" ") for p in phrases.column("phrase").to_pylist()), strict=True)
             hashes = phrase_hash([word_hashes(lang.as_py(), list(w)) for w in words])
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["hash"])
@@ -235,21 +269,24 @@ def _gram_hashes(found: DataFrame) -> DataFrame:
 
 
 def all_stripes(texts: DataFrame, longest: int, least: int) -> list[DataFrame]:
-    """Merged stripes of the prefixes of no word, of one, and of two to longest - 1 words, as far as there can be any."""
-    passes, frequent, sliced, bound, merged = [range(1), range(1, 2), range(2, longest)], None, {}, SLICE_WORDS, []
-    for sizes in passes:
+    """Merged stripes of the prefixes of no word, of one, of two, and of three to longest - 1, as far as there can be any."""
+    frequent, hashes, sliced, bound, merged, packets = None, None, {}, SLICE_WORDS, [], FIRST_SLICES
+    for sizes in [range(1), range(1, 2), range(2, 3), range(3, longest)]:
         if not sizes or not longest > sizes[0]:
             break
-        merged.append(materialise(merge_stripes(make_stripes(texts, sizes, frequent, sliced), least), "stripes"))
+        merged.append(materialise(merge_stripes(make_stripes(texts, sizes, frequent, sliced, packets), least), "stripes"))
         found = materialise(entries(merged[-1]), "frequent")
-        if sizes[0] == 2 or found.isEmpty():
+        if sizes[0] == 3 or found.isEmpty():
             break
         if not sizes[0]:
-            bound = max(SLICE_WORDS, merged[0].agg(F.sum("total")).first()[0] // SLICED)
-        hashes = _gram_hashes(found)
-        frequent = bloom_filter(hashes if frequent is None else materialise(hashes.unionByName(_gram_hashes(entries(merged[0]))), "frequent-hashes"))
+            n = merged[0].agg(F.sum("total")).first()[0]
+            bound, packets = max(SLICE_WORDS, n // SLICED), max(PACKETS, n // PACKET_WORDS)
+        own = materialise(_gram_hashes(found), "frequent-hashes")
+        hashes = own if hashes is None else hashes.unionByName(own)
+        frequent = bloom_filter(hashes)
         # no more than SLICED phrases of one size can lie above the bound; longer prefixes go by their first two words
-        sliced = {(r.lang, *r.phrase.encode().split(b" ")): -(-r.f // bound) for r in found.where(F.col("f") > bound).collect()}
+        if sizes[0] < 2:
+            sliced = {(r.lang, *r.phrase.encode().split(b" ")): -(-r.f // bound) for r in found.where(F.col("f") > bound).collect()}
     return merged
 
 
@@ -268,7 +305,8 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, share: int
     merged = all_stripes(texts, longest, least)
     stripes = _union(merged)
     phrases = materialise(entries(stripes).where("size > 1"), "phrases")
-    counts = materialise(stripes.groupBy("lang", "prefix").agg(F.sum("total").alias("total")), "prefix-totals")
+    totals = stripes.where("prefix not like '% %'").groupBy("lang", "prefix").agg(F.sum("total").alias("total"))
+    counts = materialise(totals.unionByName(phrases.select("lang", F.col("phrase").alias("prefix"), F.col("f").alias("total"))), "totals")
     # a phrase inside one longer by several words is inside one longer by one, which has as many occurrences at least
     right = stripes.select("lang", F.col("prefix").alias("phrase"), F.array_max("counts").alias("f"))
     left = phrases.where("size > 2").select("lang", _words("phrase", "2", "size - 1").alias("phrase"), "f")
