@@ -24,6 +24,7 @@ columns are ignored, and an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -61,33 +62,36 @@ class Classes:
     """Classes of sizes, each so wide that similar sets are of one class or of two next to each other."""
 
     def __init__(self, percent: int):
-        self.percent, self.first = percent, [1]
+        self.percent, self.first, self.known = percent, [1], {}
 
-    def upto(self, n: int) -> list[int]:
-        """The classes' first sizes, until one is above n."""
-        while self.first[-1] <= n:
-            least = self.first[-1]
-            self.first.append(least * 100 // self.percent + 1)  # no set of this size or more is similar to one of `least`
-        return self.first
+    def _more(self) -> None:
+        self.first.append(self.first[-1] * 100 // self.percent + 1)  # no set of this size or more is similar to one of the last first
 
     def of(self, n: int) -> int:
-        return int(np.searchsorted(self.upto(n), n, "right")) - 1
+        while self.first[-1] <= n:
+            self._more()
+        return bisect.bisect_right(self.first, n) - 1
 
-    def fragments(self, k: int) -> tuple[int, int]:
-        """(fragments of class k, weak segments that may stay out)."""
-        self.upto(self.first[-1])
+    def edges(self, k: int) -> tuple[np.ndarray, int]:
+        """Where the fragments of class k begin but for the first, and how many weak segments may stay out."""
         while len(self.first) < k + 2:
-            self.upto(self.first[-1])
-        largest = self.first[k + 1] - 1
-        differ = 2 * largest * (100 - self.percent) // (100 + self.percent)  # n-grams in one of two similar sets only
-        spare = (differ + 1) // 16 + 1 if differ else 0
-        return differ + 1 + spare, spare
+            self._more()
+        if k not in self.known:
+            largest = self.first[k + 1] - 1
+            differ = 2 * largest * (100 - self.percent) // (100 + self.percent)  # n-grams in one of two similar sets only
+            spare = (differ + 1) // 16 + 1 if differ else 0
+            self.known[k] = edges_of(differ + 1 + spare), spare
+        return self.known[k]
+
+
+def edges_of(parts: int) -> np.ndarray:
+    """Where all fragments but the first begin, of `parts` equal ranges of the order."""
+    return np.array([((k << 64) + parts - 1) // parts for k in range(1, parts)], np.uint64)
 
 
-def cut(grams: np.ndarray, parts: int) -> np.ndarray:
+def cut(grams: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Where the fragments of a sorted set begin and end."""
-    edges = [((k << 64) + parts - 1) // parts for k in range(1, parts)]
-    return np.r_[0, np.searchsorted(grams, np.array(edges, np.uint64)), len(grams)]
+    return np.r_[0, np.searchsorted(grams, edges), len(grams)]
 
 
 def digests(grams: np.ndarray, classes: Classes) -> np.ndarray:
@@ -97,11 +101,11 @@ def digests(grams: np.ndarray, classes: Classes) -> np.ndarray:
     mixed, own, out = np.cumsum(_mix(grams)), classes.of(len(grams)), []
     sums = np.r_[np.uint64(0), mixed]
     for k in (own, own + 1):
-        parts, spare = classes.fragments(k)
-        edges = cut(grams, parts)
+        edges, spare = classes.edges(k)
+        edges = cut(grams, edges)
         size = np.diff(edges)
         weak = size < LEAST
-        entered = np.arange(parts) if weak.sum() > spare else np.flatnonzero(~weak)
+        entered = np.arange(len(size)) if weak.sum() > spare else np.flatnonzero(~weak)
         held = (sums[edges[1:]] - sums[edges[:-1]])[entered]
         out.append(_mix(_mix(held) + entered.astype(np.uint64) * ODD + np.uint64(k)))
     return np.concatenate(out).view(np.int64)
@@ -160,12 +164,12 @@ def gram_sets(contents: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("part", pa.int32()), ("grams", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, bits = Sink(schema), table.value
+        out, bits, parts = Sink(schema), table.value, edges_of(PARTS)
         for batch in batches:
             hit = maybe_among(bits, batch.column("t1").to_numpy().view(np.uint64))
             for t1, t2, raw in rows_of(iter([batch.take(pa.array(hit))]), "t1", "t2", "content"):
                 grams = gram_set(raw)
-                edges = cut(grams, PARTS)
+                edges = cut(grams, parts)
                 for k in range(PARTS):
                     held = grams[edges[k] : edges[k + 1]].astype("<u8").tobytes()
                     out.add((t1, t2, k, held), len(held))
