@@ -130,8 +130,8 @@ def describe(keyed: DataFrame, percent: int) -> DataFrame:
     return keyed.mapInArrow(work, "doc_id long, t1 long, t2 long, node long, n long, digests binary")
 
 
-def entered(nodes: DataFrame) -> DataFrame:
-    """(hash, node): every digest of every node."""
+def entered(described: DataFrame) -> DataFrame:
+    """(hash, node): every digest of the node of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,20 +140,21 @@ def entered(nodes: DataFrame) -> DataFrame:
                 node = np.repeat(batch.column("node").to_numpy(), [len(d) for d in held])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(node)], ["hash", "node"])
 
-    return nodes.select("node", "digests").mapInArrow(work, "hash long, node long")
+    return described.select("node", "digests").mapInArrow(work, "hash long, node long")
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """(node, least, met): for each digest that several nodes have, each of them with the least and the number of others."""
-    counted = entered(nodes).groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("least")).where("c > 1")
-    counted = materialise(counted, "shared-digests")
-    table = nodes.sparkSession.sparkContext.broadcast(bloom_filter(counted))
+def meetings(described: DataFrame) -> DataFrame:
+    """(node, least, met): for each digest that different nodes have, each of them with the least and the number of other
+    rows that have it."""
+    held = F.count(F.lit(1)).alias("c"), F.min("node").alias("least"), F.max("node").alias("most")
+    counted = materialise(entered(described).groupBy("hash").agg(*held).where("least < most").drop("most"), "shared-digests")
+    table = described.sparkSession.sparkContext.broadcast(bloom_filter(counted))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.take(pa.array(maybe_among(table.value, batch.column("hash").to_numpy().view(np.uint64))))
 
-    some = materialise(entered(nodes).mapInArrow(work, "hash long, node long"), "met-digests")
+    some = materialise(entered(described).mapInArrow(work, "hash long, node long").distinct(), "met-digests")
     return some.join(counted, "hash").select("node", "least", (F.col("c") - 1).alias("met"))
 
 
@@ -293,13 +294,13 @@ def rest_blocks(large: DataFrame, groups: DataFrame) -> DataFrame:
     return spread.select("family", "p.i", "p.j", "node", "n", "active")
 
 
-def similar_links(nodes: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links that connect what similar pairs of nodes connect. nodes: (node, n, t1, t2, digests)."""
-    met = materialise(meetings(nodes), "meetings")
+def similar_links(described: DataFrame, nodes: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that connect what similar pairs of nodes connect. nodes: (node, n, t1, t2)."""
+    met = materialise(meetings(described), "meetings")
     edges = met.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     families = materialise(connected_components(edges).withColumnRenamed("component", "family"), "families")
     most = met.groupBy("node").agg(F.sum("met").alias("met"))
-    members = materialise(nodes.drop("digests").join(families, "node").join(most, "node"), "members")
+    members = materialise(nodes.join(families, "node").join(most, "node"), "members")
     sets = gram_sets(contents, members).join(members.select("t1", "t2", "node"), ["t1", "t2"]).select("node", "part", "grams")
     sets = materialise(sets, "segments")
     placed = materialise(first_blocks(members.select("node", "n", "met", "family")), "first-blocks")
@@ -316,9 +317,9 @@ def jaccard_join(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
     more; component_id is the smallest id reachable."""
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text_col), text_bytes(text_col).alias("content"))
     own = materialise(describe(keyed, percent), "described")
-    nodes = own.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("t1", "t2")).alias("key"), F.first("digests").alias("digests"), F.min("doc_id").alias("smallest"))
-    nodes = materialise(nodes.select("node", "n", "key.t1", "key.t2", "digests", "smallest"), "nodes")
-    found = materialise(connected_components(similar_links(nodes.drop("smallest"), keyed.select("t1", "t2", "content"), percent)), "groups")
+    nodes = own.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("t1", "t2")).alias("key"), F.min("doc_id").alias("smallest"))
+    nodes = materialise(nodes.select("node", "n", "key.t1", "key.t2", "smallest"), "nodes")
+    found = materialise(connected_components(similar_links(own, nodes.drop("smallest"), keyed.select("t1", "t2", "content"), percent)), "groups")
     parts = materialise(nodes.select("node", "smallest").join(found, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("part")), "parts")
     least = parts.groupBy("part").agg(F.min("smallest").alias("component_id"))
     named = materialise(parts.join(least, "part").select("node", "component_id"), "components")
