@@ -112,22 +112,21 @@ def digests(grams: np.ndarray, classes: Classes) -> np.ndarray:
 
 
 def describe(keyed: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, t1, t2, node, n, digests) of every row of (doc_id, t1, t2, content)."""
-    names = ("doc_id", "t1", "t2")
+    """(doc_id, t1, node, n, digests) of every row of (doc_id, t1, content)."""
+    names = ("doc_id", "t1")
     schema = pa.schema([*((c, pa.int64()) for c in (*names, "node", "n")), ("digests", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, classes = Sink(schema), Classes(percent)
         for *known, raw in rows_of(batches, *names, "content"):
             grams = gram_set(raw)
-            node = int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).view(np.int64))
             held = digests(grams, classes).astype("<i8").tobytes()
-            out.add((*known, node, len(grams), held), len(held))
+            out.add((*known, node_of(grams), len(grams), held), len(held))
             if out.full():
                 yield out.take()
         yield from out.rest()
 
-    return keyed.mapInArrow(work, "doc_id long, t1 long, t2 long, node long, n long, digests binary")
+    return keyed.mapInArrow(work, "doc_id long, t1 long, node long, n long, digests binary")
 
 
 def entered(described: DataFrame) -> DataFrame:
@@ -158,28 +157,32 @@ def meetings(described: DataFrame) -> DataFrame:
     return some.join(counted, "hash").select("node", "least", (F.col("c") - 1).alias("met"))
 
 
+def node_of(grams: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).view(np.int64))
+
+
 def gram_sets(contents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(t1, t2, part, grams): the segments of the texts of (t1, t2, content) that have a wanted key, and of a few more
-    that a join by key drops; each once."""
+    """(node, part, grams): the segments of the texts of (t1, content) that have a wanted key t1, and of a few more that a
+    join by node drops; each once."""
     table = contents.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select(F.col("t1").alias("hash"))))
-    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("part", pa.int32()), ("grams", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("part", pa.int32()), ("grams", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, bits, parts = Sink(schema), table.value, edges_of(PARTS)
         for batch in batches:
             hit = maybe_among(bits, batch.column("t1").to_numpy().view(np.uint64))
-            for t1, t2, raw in rows_of(iter([batch.take(pa.array(hit))]), "t1", "t2", "content"):
+            for (raw,) in rows_of(iter([batch.take(pa.array(hit))]), "content"):
                 grams = gram_set(raw)
-                edges = cut(grams, parts)
+                node, edges = node_of(grams), cut(grams, parts)
                 for k in range(PARTS):
                     held = grams[edges[k] : edges[k + 1]].astype("<u8").tobytes()
-                    out.add((t1, t2, k, held), len(held))
+                    out.add((node, k, held), len(held))
                 if out.full():
                     yield out.take()
         yield from out.rest()
 
-    found = contents.mapInArrow(work, "t1 long, t2 long, part int, grams binary")
-    return found.groupBy("t1", "t2", "part").agg(F.first("grams").alias("grams"))
+    found = contents.select("t1", "content").mapInArrow(work, "node long, part int, grams binary")
+    return found.groupBy("node", "part").agg(F.first("grams").alias("grams"))
 
 
 def partial_overlaps(segments: list[np.ndarray], active: np.ndarray) -> np.ndarray:
@@ -295,14 +298,13 @@ def rest_blocks(large: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def similar_links(described: DataFrame, nodes: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links that connect what similar pairs of nodes connect. nodes: (node, n, t1, t2)."""
+    """(u, v): links that connect what similar pairs of nodes connect. nodes: (node, n, t1)."""
     met = materialise(meetings(described), "meetings")
     edges = met.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     families = materialise(connected_components(edges).withColumnRenamed("component", "family"), "families")
     most = met.groupBy("node").agg(F.sum("met").alias("met"))
     members = materialise(nodes.join(families, "node").join(most, "node"), "members")
-    sets = gram_sets(contents, members).join(members.select("t1", "t2", "node"), ["t1", "t2"]).select("node", "part", "grams")
-    sets = materialise(sets, "segments")
+    sets = materialise(gram_sets(contents, members), "segments")
     placed = materialise(first_blocks(members.select("node", "n", "met", "family")), "first-blocks")
     links = _links(placed.drop("blocks"), sets, percent, "first")
     large = placed.where("blocks > 1").select("family", "node", "n").distinct()
@@ -315,11 +317,11 @@ def similar_links(described: DataFrame, nodes: DataFrame, contents: DataFrame, p
 def jaccard_join(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link when their sets' intersection has `percent` of their union or
     more; component_id is the smallest id reachable."""
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text_col), text_bytes(text_col).alias("content"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_keys(text_col)[0], text_bytes(text_col).alias("content"))
     own = materialise(describe(keyed, percent), "described")
-    nodes = own.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("t1", "t2")).alias("key"), F.min("doc_id").alias("smallest"))
-    nodes = materialise(nodes.select("node", "n", "key.t1", "key.t2", "smallest"), "nodes")
-    found = materialise(connected_components(similar_links(own, nodes.drop("smallest"), keyed.select("t1", "t2", "content"), percent)), "groups")
+    nodes = own.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("t1").alias("t1"), F.min("doc_id").alias("smallest"))
+    nodes = materialise(nodes, "nodes")
+    found = materialise(connected_components(similar_links(own, nodes.drop("smallest"), keyed, percent)), "groups")
     parts = materialise(nodes.select("node", "smallest").join(found, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("part")), "parts")
     least = parts.groupBy("part").agg(F.min("smallest").alias("component_id"))
     named = materialise(parts.join(least, "part").select("node", "component_id"), "components")
