@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from latticeframe.llm import bpe, langid, packing, secrets, substrings, token_counts, vocab
+from latticeframe.llm import bpe, containment, langid, packing, secrets, substrings, token_counts, vocab
 
 
 @pytest.mark.parametrize("run", [12_500, 50_000, 99_999])
@@ -103,3 +103,34 @@ def test_texts_of_the_same_letters_hold_no_key():
     began = time.time()
     secrets.confirmed_spans("MIIBAgEA" * 60_000 + " " + "30820102020100" * 40_000 + "\n".join(["MIIBAgEA" * 8] * 5_000))
     assert time.time() - began < 20
+
+
+def test_shared_lines_bring_no_texts_together(spark, monkeypatch):
+    """A line that all items and all texts share: pairs looked at stay under the rows of the texts, and none is lost."""
+    line = "the nine words of a line that all share"
+    items = [(i, f"{line} " + " ".join(f"i{i}x{k}" for k in range(12))) for i in range(150)] + [(900 + i, f"{line} {i}") for i in range(3)]
+    rows = [(d, f"d{d} {line} e{d} f{d} g{d} h{d}" + (f" {items[d][1]}" if d % 3 == 0 and d < 150 else "")) for d in range(400)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    looked = []
+    plain_meetings = containment.meetings
+
+    def meetings(probes, ranked):
+        looked.append((plain_meetings(probes, ranked).count(), probes.count()))
+        return plain_meetings(probes, ranked)
+
+    monkeypatch.setattr(containment, "meetings", meetings)
+    found = {(r.doc_id, r.item_id) for r in containment.contained_items(docs, bench).collect()}
+    shingles = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(t.split())
+    held = {d: shingles(t) for d, t in rows}
+    assert found == {(d, i) for i, s in items for d in held if 10 * len(shingles(s) & held[d]) >= 8 * len(shingles(s))}
+    # of items that are the line and one word, a text that has the line has five in six: all of those pairs are results
+    results = sum(i >= 900 for _, i in found)
+    met, probed = looked[0]
+    assert results == 1200 and met <= probed + 3 * results
+
+
+def test_equal_items_are_searched_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "none of it is here at all")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, "b c d e f g") for i in range(20)] + [(None, "b c d e f g")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in containment.contained_items(docs, bench).collect()} == {(1, i) for i in [*range(20), None]}
+    assert [r.doc_id for r in containment.clean_documents(docs, bench).collect()] == [2]
