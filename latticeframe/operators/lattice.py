@@ -211,12 +211,18 @@ def surface_voxels(voxels: DataFrame) -> DataFrame:
 
 
 def near_cell_pairs(points: DataFrame, edge: int) -> DataFrame:
-    """(id_a, id_b): different points, id_a < id_b, whose cells of the given edge are the same or touch. Columns id, x, y, z."""
+    """(id_a, id_b): different points, id_a < id_b, whose cells of the given edge are the same or touch. Columns id, x, y, z.
+
+    Two cells that touch meet once: a cell looks into itself and the 13 of the 26 around it that come later. Spark's
+    estimate of a side does not see that its rows are multiplied and would send it through the driver, so the join is one of
+    two sorted sides, of which Spark can split a cell with many points."""
     cell = lambda c: F.floor(F.col(c) / edge).cast("long")
     keyed = points.select("id", *(cell(c).alias(f"c{c}") for c in "xyz"))
-    near = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(o, ("dx", "dy", "dz"), strict=True))) for o in itertools.product((-1, 0, 1), repeat=3)))
-    spread = keyed.withColumn("o", F.explode(near)).select(F.col("id").alias("id_b"), *((F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in "xyz"))
-    return keyed.withColumnRenamed("id", "id_a").join(spread, ["cx", "cy", "cz"]).where("id_a < id_b").select("id_a", "id_b")
+    later = [o for o in itertools.product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
+    near = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(o, ("dx", "dy", "dz"), strict=True)), F.lit(not any(o)).alias("same")) for o in later))
+    spread = keyed.withColumn("o", F.explode(near)).select(F.col("id").alias("other"), F.col("o.same").alias("same"), *((F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in "xyz"))
+    met = keyed.join(spread.hint("merge"), ["cx", "cy", "cz"]).where("id < other or (id > other and not same)")
+    return met.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
 
 
 def cluster_contacts(cells: DataFrame, n: int, periodic: bool = False) -> DataFrame:
