@@ -2,8 +2,11 @@
 
 import itertools
 
+import __spark_entry__ as entry
 from latticeframe.operators import lattice as L
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -19,3 +22,7 @@ def test_near_cells_of_repeated_points(spark):
     found = sorted(map(tuple, L.near_cell_pairs(spark.createDataFrame(rows, "id long, x long, y long, z long"), 2).collect()))
     close = lambda a, b: all(abs(p // 2 - q // 2) <= 1 for p, q in zip(a[1:], b[1:], strict=True))
     assert found == sorted((a[0], b[0]) for a, b in itertools.product(rows, rows) if a[0] < b[0] and close(a, b))
+
+
+def test_near_cells_of_all_filled_cells_do_not_go_through_the_driver(spark):
+    assert "Broadcast" not in plan(entry.queries()["near_cell_join_filled"](spark, SF))
