@@ -17,6 +17,10 @@ from latticeframe.sources import files, store
 from latticeframe.streaming import ingest
 
 
+#: How the queries write load steps: packed, in files that one task reads.
+PACKED = {"file_ids": 250_000, "compression": "lz4"}
+
+
 def _folder(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -38,7 +42,7 @@ def _shown(nodes):
 @query(f"select {SHOWN} from nodes")
 def loadstep_text_scan(spark, sf):
     path = _folder(spark, "loadsteps")
-    files.write_loadsteps(materialise(X.node_results(spark, sf), "nodes"), path)
+    files.write_loadsteps(X.node_results(spark, sf), path, **PACKED)
     return _shown(files.read_loadsteps(spark, path))
 
 
@@ -46,13 +50,13 @@ def loadstep_text_scan(spark, sf):
 @query("""select load_step, id, case when id % 10 = 3 then 'short' else 'sx' end reason from nodes where id % 10 in (3, 7)""")
 def loadstep_rejects(spark, sf):
     sound, damaged = _folder(spark, "loadsteps"), _folder(spark, "damaged")
-    files.write_loadsteps(materialise(X.node_results(spark, sf), "nodes"), sound)
+    files.write_loadsteps(X.node_results(spark, sf), sound, **PACKED)
     lines = spark.read.option("recursiveFileLookup", True).text(sound).select("value", F.col("_metadata.file_path").alias("path"))
     number, field = F.trim(F.substring("value", 1, 16)).try_cast("double") % 10, 17 * 7 + 1
     stars = F.concat(F.substring("value", 1, field - 1), F.lit("*" * 16), F.expr(f"substring(value, {field + 16})"))
     value = F.when(number == 3, F.substring("value", 1, 160)).when(number == 7, stars).otherwise(F.col("value"))
     step = F.regexp_extract("path", r"ls=(\d+)", 1).alias("ls")
-    lines.select(value.alias("value"), step).write.partitionBy("ls").text(damaged)
+    lines.select(value.alias("value"), step).write.option("compression", PACKED["compression"]).partitionBy("ls").text(damaged)
     return files.rejected_loadsteps(spark, damaged).select("load_step", "id", "reason")
 
 
@@ -167,9 +171,9 @@ LONG = "unpivot (select load_step, x::double x, y::double y, z::double z, " + ",
 @query(f"select load_step, component, count(*) n, round(avg(v) + 1e-9, 4) avg, round(min(v) + 1e-9, 4) low, round(max(v) + 1e-9, 4) high from ({LONG}) group by 1, 2")
 def loadstep_stream_ingest(spark, sf):
     source, kept, marks = (_folder(spark, f"stream-{x}") for x in ("in", "store", "marks"))
-    nodes = materialise(X.node_results(spark, sf), "nodes")
+    nodes = X.node_results(spark, sf)
     for part in (nodes.where("load_step <= 4"), nodes.where("load_step > 4")):  # files arrive in two goes
-        files.write_loadsteps(part, f"{source}/{uuid.uuid4().hex}")
+        files.write_loadsteps(part, f"{source}/{uuid.uuid4().hex}", **PACKED)
         ingest.ingest_loadsteps(spark, source, kept, marks)
     found = ingest.running_stats(spark, kept)
     return found.select("load_step", "component", "n", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("avg", "low", "high")))

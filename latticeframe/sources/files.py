@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from latticeframe.functions.scalar import STORED
@@ -41,32 +45,62 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def write_loadsteps(nodes: DataFrame, path: str, file_ids: int = 1_000_000) -> None:
+LINE = ["%16.0f"] + ["%16.8E"] * (len(STORED) - 1)
+NUMBER = r"^-?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?$"
+
+
+def _line(*columns: pa.Array) -> pa.Array:
+    """The nodes' fields as lines; a missing value is written as NULL."""
+    if any(c.null_count for c in columns):
+        fields = [[" " * (WIDTH - 4) + "NULL" if v is None else form % v for v in c.to_pylist()] for form, c in zip(LINE, columns, strict=True)]
+        return pa.array([";".join(row) + ";" for row in zip(*fields, strict=True)], pa.string())
+    form = ";".join(LINE) + ";"
+    return pa.array([form % row for row in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in columns), strict=True)], pa.string())
+
+
+def write_loadsteps(nodes: DataFrame, path: str, file_ids: int = 1_000_000, compression: str = "none") -> None:
     """Text of fixed-width fields: a folder `ls=<n>` for each load step, in it a folder `ids=<b>` for each `file_ids` ids,
     in that one file, a header line first, then the nodes in order of id. Load steps are few, so it is the ranges of ids
-    that spread the work. Readers take the step from the path, as in files `ls_<n>.csv`."""
-    form = ";".join(["%16.0f"] + ["%16.8E"] * (len(STORED) - 1)) + ";"
-    line = F.format_string(form, *(F.col(c).cast("double") for c in STORED))
-    header = F.lit(";".join(c.rjust(WIDTH) for c in STORED) + ";")
-    file = [F.col("load_step").alias("ls"), F.floor(F.col("id") / file_ids).cast("long").alias("ids")]
-    body = nodes.select(*file, F.col("id").alias("k"), line.alias("value"))
-    heads = nodes.select(*file).distinct().select("ls", "ids", F.lit(None).cast("long").alias("k"), header.alias("value"))
-    rows = heads.unionByName(body).repartition("ls", "ids").sortWithinPartitions("ls", "ids", F.col("k").asc_nulls_first())
-    rows.select("ls", "ids", "value").write.mode("overwrite").partitionBy("ls", "ids").text(path)
+    that spread the work. Readers take the step from the path, as in files `ls_<n>.csv`, and unpack compressed files by
+    their names; as one of these is read by one task, they should be of fewer ids."""
+    line = F.arrow_udf(_line, "string")(*(F.col(c).cast("double") for c in STORED))
+    header = ";".join(c.rjust(WIDTH) for c in STORED) + ";"
+    body = nodes.select(F.col("load_step").alias("ls"), F.floor(F.col("id") / file_ids).cast("long").alias("ids"), F.col("id").alias("k"), line.alias("value"))
+    first = F.row_number().over(W.partitionBy("ls", "ids").orderBy("k")) == 1
+    rows = body.repartition("ls", "ids").withColumn("first", first)
+    value = F.when(F.col("first"), F.concat(F.lit(header + "\n"), "value")).otherwise(F.col("value"))
+    rows.select("ls", "ids", value.alias("value")).write.mode("overwrite").option("compression", compression).partitionBy("ls", "ids").text(path)
+
+
+def _numbers(lines: pa.Array) -> pa.Array:
+    """The 19 numbers of each line; null where a field is none that is written plainly."""
+    columns = []
+    for j in range(len(STORED)):
+        field = pc.utf8_trim(pc.utf8_slice_codeunits(lines, j * STRIDE, j * STRIDE + WIDTH), " ")
+        plain = pc.if_else(pc.match_substring_regex(field, NUMBER), field, pa.scalar(None, field.type))
+        columns.append(pc.cast(plain, pa.float64()).to_numpy(zero_copy_only=False))
+    numbers = np.stack(columns, axis=1)
+    ends = np.arange(0, numbers.size + 1, len(STORED), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers.ravel()), mask=pa.array(~np.isfinite(numbers).all(axis=1)))
 
 
 def judged_loadsteps(lines: DataFrame) -> DataFrame:
     """Lines (value, path) as (value, path, load_step, fields, reason): an array of 19 numbers, of 16 characters every 17, and
     the load step from the path. reason is null for a sound line, else `header`, `short`, `load step` or the first field
-    that is no number."""
+    that is no number.
+
+    Lines of plain numbers are read in bulk, once for all uses; the others field by field."""
+    # declared as not deterministic, so that a filter by the reason does not read the fields a second time
+    bulk = F.arrow_udf(_numbers, "array<double>").asNondeterministic()
     number = lambda j: F.trim(F.substring(F.col("value"), j * STRIDE + 1, F.lit(WIDTH))).try_cast("double")
-    fields = F.transform(F.sequence(F.lit(0), F.lit(len(STORED) - 1)), number)
+    single = F.transform(F.sequence(F.lit(0), F.lit(len(STORED) - 1)), number)
     step = F.regexp_extract("path", r"ls[_=](\d+)", 1).try_cast("int")
-    read = lines.select("value", "path", step.alias("load_step"), fields.alias("fields"))
+    read = lines.select("value", "path", step.alias("load_step"), bulk("value").alias("bulk"))
+    read = read.select("value", "path", "load_step", F.coalesce("bulk", single).alias("fields"), F.col("bulk").isNull().alias("odd"))
     short = F.length("value") < STRIDE * (len(STORED) - 1) + WIDTH
-    reason = F.when(F.trim(F.substring("value", 1, WIDTH)) == STORED[0], "header").when(short, "short").when(F.col("load_step").isNull(), "load step")
-    faulty = F.array_position(F.transform("fields", lambda v: v.isNull()), True)
-    return read.withColumn("reason", reason.when(faulty > 0, F.array(*map(F.lit, STORED))[(faulty - 1).cast("int")]))
+    reason = F.when(F.col("odd") & (F.trim(F.substring("value", 1, WIDTH)) == STORED[0]), "header").when(short, "short").when(F.col("load_step").isNull(), "load step")
+    faulty = F.when(F.col("odd"), F.array_position(F.transform("fields", lambda v: v.isNull()), True))
+    return read.withColumn("reason", reason.when(faulty > 0, F.array(*map(F.lit, STORED))[(faulty - 1).cast("int")])).drop("odd")
 
 
 def parse_loadsteps(lines: DataFrame, counts: Observation | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 
 import __spark_entry__ as entry
 from latticeframe.operators import lattice as L
+from latticeframe.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +27,28 @@ def test_near_cells_of_repeated_points(spark):
 
 def test_near_cells_of_all_filled_cells_do_not_go_through_the_driver(spark):
     assert "Broadcast" not in plan(entry.queries()["near_cell_join_filled"](spark, SF))
+
+
+def test_sound_lines_are_read_once_and_in_bulk(spark):
+    lines = spark.createDataFrame([("x", "ls=1/y")], "value string, path string")
+    shown = plan(files.parse_loadsteps(lines))
+    assert shown.count("_numbers(") == 1
+
+
+def test_load_steps_are_written_from_one_reading_of_the_nodes(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+    nodes = spark.range(40, numPartitions=2).selectExpr("cast(1 + id % 2 as int) load_step", "id", *(f"double(id) / 7 {c}" for c in files.STORED[1:]))
+    counted = nodes.mapInArrow(lambda parts: (reads.add(p.num_rows) or p for p in parts), nodes.schema)
+    files.write_loadsteps(counted, str(tmp_path / "ls"), file_ids=16, compression="gzip")
+    assert reads.value == 40
+    read = files.read_loadsteps(spark, str(tmp_path / "ls"))
+    assert sorted((r.load_step, r.id, r.x) for r in read.collect()) == sorted((1 + k % 2, k, float(f"{k / 7:.8E}")) for k in range(40))
+
+
+def test_odd_lines_are_judged_as_before(spark):
+    sound = ";".join(form % (k + 0.5) for k, form in enumerate(files.LINE)) + ";"
+    put = lambda k, text: sound[: 17 * k] + text.rjust(16) + sound[17 * k + 16 :]
+    odd = {sound: None, sound[:300]: "short", put(3, "*" * 16): files.STORED[3], put(0, "NULL"): files.STORED[0], put(5, "+1.5e3"): None, put(6, "Infinity"): None, put(7, "NaN"): None, put(8, "1e999"): None, put(9, ""): files.STORED[9], put(10, "\t2"): None}
+    odd[";".join(c.rjust(16) for c in files.STORED) + ";"] = "header"
+    lines = spark.createDataFrame([(v, "ls=1/y") for v in odd], "value string, path string")
+    assert {r.value: r.reason for r in files.judged_loadsteps(lines).collect()} == odd
