@@ -231,10 +231,50 @@ def cluster_contacts(cells: DataFrame, n: int, periodic: bool = False) -> DataFr
     return moved.join(cells.select(F.col("cluster").alias("id_b"), "x", "y", "z"), ["x", "y", "z"]).where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
-def cluster_merge(cells: DataFrame, n: int) -> DataFrame:
-    """The cells with the smallest cluster that theirs is joined to by contacts."""
-    found = connected_components(cluster_contacts(cells, n), "id_a", "id_b")
-    return cells.join(found, cells["cluster"] == found["node"], "left").select(*cells.columns, F.coalesce("component", "cluster").alias("merged"))
+def _brick_parts(cells: pa.Table, n: int, edge: int) -> pa.Table:
+    """A brick's cells with `part`, the smallest cluster that theirs is joined to by contacts inside the brick and its rim,
+    and `first`, which one row of each cluster has. Places may hold several clusters, which touch those next to them and not
+    one another; places outside the lattice touch nothing."""
+    wide = edge + 2
+    place = bricks.places(cells, bricks.corner(cells, edge, 1))
+    at = (place[0] * wide + place[1]) * wide + place[2]
+    inside = np.all([(v >= 0) & (v < n) for v in (bricks.column(cells, c) for c in "xyz")], axis=0)
+    clusters, shown, cluster = np.unique(bricks.column(cells, "cluster"), return_index=True, return_inverse=True)
+    there = np.zeros(wide**3 + wide * wide, bool)
+    there[at[inside]] = True
+    spots, met, pairs = np.flatnonzero(there), np.zeros(len(there), bool), []
+    for step, along in ((wide * wide, spots // (wide * wide)), (wide, spots // wide % wide), (1, spots % wide)):
+        like = spots[(along < wide - 1) & there[spots + step]]
+        met[like] = met[like + step] = True
+        pairs.append((like + len(clusters), like + step + len(clusters)))
+    # clusters are numbered before places and in order, so the first of a part is its smallest cluster
+    touching = inside & met[at]
+    pairs.append((cluster[touching], at[touching] + len(clusters)))
+    least = _first_of_parts(len(clusters) + len(there), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+    first = np.zeros(len(at), bool)
+    first[shown] = True
+    return cells.select(["x", "y", "z", "cluster", "own"]).append_column("part", pa.array(clusters[least[cluster]], pa.int64())).append_column("first", pa.array(first))
+
+
+def cluster_merge(cells: DataFrame, n: int, edge: int = 32) -> DataFrame:
+    """(x, y, z, cluster, merged): the cells with the smallest cluster that theirs is joined to by contacts.
+
+    Cells are dealt to bricks with a rim once, and each brick joins what touches in it. Parts of several bricks are linked
+    where they have a cluster in common, and only these links go to the general components: where clusters are of cells near
+    each other they grow with the bricks, not with the cells."""
+    kept = cells.select(*(F.col(c).cast("long").alias(c) for c in ("x", "y", "z", "cluster")))
+    odd = kept.where("x is null or y is null or z is null or cluster is null")
+    dealt = bricks.dealt(kept.where("cluster is not null"), edge, 1)
+    schema = "x long, y long, z long, cluster long, own boolean, part long, first boolean"
+    parts = materialise(dealt.groupBy("bx", "by", "bz").applyInArrow(lambda rows: _brick_parts(rows, n, edge), schema), "cluster-parts")
+    shared = parts.where("first").select("part", F.min("part").over(W.partitionBy("cluster")).alias("least"))
+    links = shared.where("part > least").distinct()
+    found = materialise(connected_components(links, "part", "least"), "cluster-components")
+    whole = parts.where("own").select("x", "y", "z", "cluster", "part")
+    if not odd.isEmpty():  # cells without a place or a cluster touch nothing and keep their rows
+        known = parts.groupBy("cluster").agg(F.min("part").alias("part"))
+        whole = whole.unionByName(odd.join(known, "cluster", "left").select("x", "y", "z", "cluster", F.coalesce("part", "cluster").alias("part")))
+    return whole.join(found, F.col("part") == F.col("node"), "left").select("x", "y", "z", "cluster", F.coalesce("component", "part").alias("merged"))
 
 
 def void_fill(voxels: DataFrame, n: int) -> DataFrame:

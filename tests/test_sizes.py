@@ -1,6 +1,9 @@
 """Steps that must not grow faster than their input."""
 
 import itertools
+import random
+
+import pytest
 
 import __spark_entry__ as entry
 from latticeframe.operators import lattice as L
@@ -52,3 +55,26 @@ def test_odd_lines_are_judged_as_before(spark):
     odd[";".join(c.rjust(16) for c in files.STORED) + ";"] = "header"
     lines = spark.createDataFrame([(v, "ls=1/y") for v in odd], "value string, path string")
     assert {r.value: r.reason for r in files.judged_loadsteps(lines).collect()} == odd
+
+
+@pytest.mark.parametrize("several", [1, 40])
+def test_clusters_over_many_bricks(spark, monkeypatch, several):
+    n, rng = 11, random.Random(several)
+    places = [p for p in itertools.product(range(n), repeat=3) if rng.random() < 0.45]
+    rows = [(rng.randrange(several * 20) if several > 1 else 500 - k, *p) for k, p in enumerate(places)]
+    rows += [(c + 1, *p) for c, *p in rows[:9]] + [(1000, n, 3, 3), (1001, n + 1, 3, 3), (7, None, 1, 1), (None, 1, 1, 1)]
+    root = {c: c for c, *_ in rows if c is not None}
+    at = {}
+    for c, *p in rows[:-4]:
+        at.setdefault(tuple(p), []).append(c)
+    met = [(a, b) for (x, y, z), ids in at.items() for q in ((x + 1, y, z), (x, y + 1, z), (x, y, z + 1)) for a in ids for b in at.get(q, [])]
+    while any(root[a] != root[b] for a, b in met):
+        for a, b in met:
+            root[a] = root[b] = min(root[a], root[b])
+    links = []
+    whole = L.connected_components
+    monkeypatch.setattr(L, "connected_components", lambda edges, u, v: whole(links.append(edges.count()) or edges, u, v))
+    found = L.cluster_merge(spark.createDataFrame(rows, "cluster long, x long, y long, z long"), n, 4)
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(map(tuple, found.select("cluster", "x", "y", "z", "merged").collect()), key=key) == sorted(((*r, root.get(r[0])) for r in rows), key=key)
+    assert several > 1 or links[0] < len(met) / 3
