@@ -25,7 +25,7 @@ NOT_COMPONENTS = ("set_id", "load_step", "id")
 TABLES = ("voxels", "geometry_sets", "orientations", "results", "result_stats", "load_cases")
 COMMITTED, ABANDONED = "committed", "abandoned"
 #: Nodes of a file of results.
-FILE_ROWS = 4_000_000
+FILE_ROWS = 500_000
 
 
 def _folder(spark: SparkSession, path: str):

@@ -4,10 +4,11 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from latticeframe.operators import lattice as L
-from latticeframe.sources import files
+from latticeframe.sources import files, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,13 @@ def test_clusters_over_many_bricks(spark, monkeypatch, several):
     key = lambda r: tuple((v is None, v or 0) for v in r)
     assert sorted(map(tuple, found.select("cluster", "x", "y", "z", "merged").collect()), key=key) == sorted(((*r, root.get(r[0])) for r in rows), key=key)
     assert several > 1 or links[0] < len(met) / 3
+
+
+def test_results_of_a_load_step_are_sorted_and_written_by_several_tasks(spark, tmp_path):
+    spot = spark.range(600_000).selectExpr("cast(1 as int) load_step", "id", "id % 90 x", "id div 90 % 90 y", "id div 8100 z")
+    nodes = spot.select("*", *(F.col("id").cast("double").alias(c) for c in files.STORED[4:]))
+    own = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "grain long, phi1 double, phi double, phi2 double")
+    voxels = spark.createDataFrame([(0, 0, 0, 1)], "x long, y long, z long, grain long")
+    store.append_set(str(tmp_path), voxels, own, nodes)
+    assert len(list(tmp_path.glob("results/set_id=1/load_step=1/*.parquet"))) > 1
+    assert store.scan(spark, str(tmp_path), "results").agg(F.count("id"), F.sum("sx")).first()[:] == (600_000, 600_000 * 599_999 / 2)
