@@ -3,12 +3,15 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from latticeframe.operators import lattice as L
 from latticeframe.operators import mesh
+from latticeframe.plans import fixtures
 from latticeframe.sources import files, store
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +102,37 @@ def test_mesh_does_not_carry_lists_of_nodes_between_its_passes(spark, monkeypatc
     voxels = spark.range(27).selectExpr("1L set_id", "id div 9 x", "id div 3 % 3 y", "id % 3 z", "id % 4 grain")
     assert mesh.mesh8(voxels, 2)[1].count() == 20
     assert not [t for name, types in written if name == "mesh8" for t in types.values() if t.startswith("array")]
+
+
+def test_nodes_are_dealt_once_and_not_sent_through_the_driver(spark):
+    made = plan(fixtures.node_results(spark, SF))
+    assert "Broadcast" not in made and made.count("Exchange hashpartitioning") == 2
+
+
+def hard_values():
+    rng, n = np.random.default_rng(5), 400
+    signs = rng.choice([-1.0, 1.0], n)
+    powers = 10.0 ** rng.integers(-18, 33, n)
+    middle = (rng.integers(10**8, 10**9, n) + 0.5) * 10.0 ** rng.integers(-16, 10, n)
+    values = [signs * 10 ** rng.uniform(-20, 35, n), signs * 10 ** rng.uniform(-320, 308, n), powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), signs * middle, np.nextafter(middle, 0)]
+    values += [(rng.integers(10**8, 10**9, n) * 8 + 4) / 8, 999999999.5 / powers, rng.choice([0.0, -0.0, 5e-324, np.inf, np.nan], n), rng.integers(0, 100, n) / 100]
+    ids = np.where(rng.random(n) < 0.8, np.floor(10 ** rng.uniform(0, 15, n)), rng.choice([0.0, 0.5, 1.5, -3.0, 1e16, 2.0**53], n))
+    return [ids, *(values * 2)[: len(files.STORED) - 1]]
+
+
+def test_lines_and_numbers_in_bulk_are_those_one_by_one(monkeypatch):
+    columns = [pa.array([None if k == 7 * j else v for k, v in enumerate(c.tolist())], pa.float64()) for j, c in enumerate(hard_values())]
+    rows = list(zip(*(c.to_pylist() for c in columns), strict=True))
+    lines = files._line(*columns)
+    assert lines.to_pylist() == [";".join(" " * 12 + "NULL" if v is None else form % v for form, v in zip(files.LINE, row, strict=True)) + ";" for row in rows]
+    rng = random.Random(2)
+    damaged = [v[:k] + rng.choice("0123456789 .;+-Eé/:") + v[k + 1 :] for v in lines.to_pylist() for k in [rng.randrange(len(v))]]
+    for text in (lines, lines.slice(3, 90), pa.array([*damaged, None, "", "x"]), pa.array([], pa.string())):
+        one_by_one = files._plain_numbers(text)
+        sound = np.isfinite(one_by_one).all(axis=1)
+        assert files._numbers(text).to_pylist() == [row if fine else None for row, fine in zip(one_by_one.tolist(), sound.tolist(), strict=True)]
+    reached = []
+    whole = files._plain_numbers
+    monkeypatch.setattr(files, "_plain_numbers", lambda text: reached.append(len(text)) or whole(text))
+    simple = files._line(*(pa.array(np.arange(500) / (1 if j == 0 else 7)) for j in range(len(files.STORED))))
+    assert files._numbers(simple).null_count == 0 and not reached
