@@ -23,9 +23,10 @@ STATS = "load_step int, component string, n long, total double, low double, high
 
 def partial_stats(rows: DataFrame) -> DataFrame:
     """(load_step, component, n, total, low, high): what a batch adds to the running statistics."""
-    parts = F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).alias("v")) for c in COMPONENTS))
-    long = rows.select("load_step", F.explode(parts).alias("p")).select("load_step", "p.*")
-    return long.groupBy(*KEYS).agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
+    of = {"n": F.count, "total": F.sum, "low": F.min, "high": F.max}
+    wide = rows.groupBy("load_step").agg(*(f(c).alias(f"{name}_{c}") for c in COMPONENTS for name, f in of.items()))
+    parts = F.array(*(F.struct(F.lit(c).alias("component"), *(F.col(f"{name}_{c}").alias(name) for name in of)) for c in COMPONENTS))
+    return wide.select("load_step", F.explode(parts).alias("p")).select("load_step", "p.*")
 
 
 def merged_stats(stats: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def ingest_loadsteps(spark: SparkSession, source: str, store: str, checkpoint: s
 
     def put(batch: DataFrame, number: int) -> None:
         place = f"{store}/rows/batch={number}"
-        batch.write.mode("overwrite").partitionBy("load_step").parquet(place)
+        batch.write.mode("overwrite").option("compression", "zstd").partitionBy("load_step").parquet(place)
         held = spark.read.schema(batch.schema).parquet(place)
         _put_stats(partial_stats(held), store, number)
 

@@ -13,6 +13,7 @@ from latticeframe.operators import lattice as L
 from latticeframe.operators import mesh
 from latticeframe.plans import fixtures
 from latticeframe.sources import files, store
+from latticeframe.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -136,3 +137,18 @@ def test_lines_and_numbers_in_bulk_are_those_one_by_one(monkeypatch):
     monkeypatch.setattr(files, "_plain_numbers", lambda text: reached.append(len(text)) or whole(text))
     simple = files._line(*(pa.array(np.arange(500) / (1 if j == 0 else 7)) for j in range(len(files.STORED))))
     assert files._numbers(simple).null_count == 0 and not reached
+
+
+def test_statistics_of_a_batch_do_not_multiply_its_rows(spark):
+    rows = spark.range(60).selectExpr("if(id % 9 = 8, null, int(id % 2)) load_step", *(f"if(id % {k + 3} = 0, null, double(id * {k} % 11)) {c}" for k, c in enumerate(ingest.COMPONENTS)), "double(null) nothing").withColumn("uz", F.col("nothing")).drop("nothing")
+    found = ingest.partial_stats(rows)
+    made = plan(found)
+    assert made.index("Generate explode") < made.index("HashAggregate")
+    held, want = [r.asDict() for r in rows.collect()], {}
+    for r in held:
+        for c in ingest.COMPONENTS:
+            values = want.setdefault((r["load_step"], c), [])
+            values += [] if r[c] is None else [r[c]]
+    want = {key: (len(v), sum(v) if v else None, min(v, default=None), max(v, default=None)) for key, v in want.items()}
+    assert {(r.load_step, r.component): (r.n, r.total, r.low, r.high) for r in found.collect()} == want
+    assert found.schema.simpleString() == "struct<load_step:int,component:string,n:bigint,total:double,low:double,high:double>"
