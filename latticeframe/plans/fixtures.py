@@ -61,15 +61,23 @@ def voxels_porous(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return labelled(spark, sf_dir).select("set_id", "x", "y", "z", grain.alias("grain"), *more)
 
 
-def node_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def node_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(load_step, k, x, y, z, q, p, d, t): the nodes' places and the four numbers that all their values are made of."""
     d = lambda c: F.max(F.col(c).cast("double"))
     # dealt by k alone, which serves the grouping and the join; a side's estimate would send it through the driver
     li = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("load_step"), F.col("l_orderkey").cast("long").alias("k"), "l_quantity", "l_extendedprice", "l_discount", "l_tax").repartition("k")
     li = li.groupBy("load_step", "k").agg(d("l_quantity").alias("q"), d("l_extendedprice").alias("p"), d("l_discount").alias("d"), d("l_tax").alias("t"))
+    return li.join(cells(spark, sf_dir).hint("merge"), "k").select("load_step", "k", "x", "y", "z", "q", "p", "d", "t")
+
+
+def node_values(base: DataFrame) -> DataFrame:
     e = F.expr
     made = {"ux": "d", "uy": "t", "uz": "d - t", "sx": "q", "sy": "p / 1e3", "sz": "q * t", "sxy": "q * d", "syz": "p * d / 1e3", "sxz": "p * t / 1e3", "eps_x": "q / 1e5", "eps_y": "p / 1e8", "eps_z": "q * t / 1e5", "eps_xy": "q * d / 1e5", "eps_yz": "p * d / 1e8", "eps_xz": "p * t / 1e8"}
-    both = li.join(cells(spark, sf_dir).hint("merge"), "k")
-    return both.select(F.lit(1).cast("long").alias("set_id"), "load_step", (F.col("k") + 1).alias("id"), "x", "y", "z", *(e(v).alias(c) for c, v in made.items()))
+    return base.select(F.lit(1).cast("long").alias("set_id"), "load_step", (F.col("k") + 1).alias("id"), "x", "y", "z", *(e(v).alias(c) for c, v in made.items()))
+
+
+def node_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_values(node_base(spark, sf_dir))
 
 
 def load_cases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def loadstep_rejects(spark, sf):
 
 def _filled_store(spark, sf):
     root = _folder(spark, "store")
-    nodes, loads = materialise(X.node_results(spark, sf), "nodes"), X.load_cases(spark, sf)
+    nodes, loads = X.node_values(materialise(X.node_base(spark, sf), "nodes")), X.load_cases(spark, sf)
     own = X.table(spark, sf, "embeddings").select((F.col("vec_id") + 1).alias("grain"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(("phi1", "phi", "phi2"))))
     store.append_set(root, X.voxels(spark, sf), own, nodes.where("load_step <= 3"), loads)
     store.append_set(root, X.voxels_porous(spark, sf), own, nodes.where("load_step > 3"), loads)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from latticeframe.operators import lattice as L
 from latticeframe.operators import mesh
-from latticeframe.plans import fixtures
+from latticeframe.plans import fixtures, queries_sources
 from latticeframe.sources import files, store
 from latticeframe.streaming import ingest
 
@@ -152,3 +152,11 @@ def test_statistics_of_a_batch_do_not_multiply_its_rows(spark):
     want = {key: (len(v), sum(v) if v else None, min(v, default=None), max(v, default=None)) for key, v in want.items()}
     assert {(r.load_step, r.component): (r.n, r.total, r.low, r.high) for r in found.collect()} == want
     assert found.schema.simpleString() == "struct<load_step:int,component:string,n:bigint,total:double,low:double,high:double>"
+
+
+def test_the_store_keeps_no_values_that_follow_from_others(spark, monkeypatch):
+    written = []
+    whole = queries_sources.materialise
+    monkeypatch.setattr(queries_sources, "materialise", lambda df, name: written.append(len(df.columns)) or whole(df, name))
+    assert entry.queries()["result_store_append"](spark, SF).count() == 2
+    assert written == [9]
