@@ -38,6 +38,13 @@ def test_near_cells_of_all_filled_cells_do_not_go_through_the_driver(spark):
     assert "Broadcast" not in plan(entry.queries()["near_cell_join_filled"](spark, SF))
 
 
+def test_near_cells_of_all_filled_cells_do_not_go_through_the_driver_when_sizes_are_known(spark):
+    pairs = entry.queries()["near_cell_join_filled"](spark, SF)
+    assert len(pairs.collect()) > 0
+    final = plan(pairs)
+    assert "isFinalPlan=true" in final and "Broadcast" not in final
+
+
 def test_sound_lines_are_read_once_and_in_bulk(spark):
     lines = spark.createDataFrame([("x", "ls=1/y")], "value string, path string")
     shown = plan(files.parse_loadsteps(lines))
