@@ -226,9 +226,11 @@ def near_cell_pairs(points: DataFrame, edge: int) -> DataFrame:
 
 
 def cluster_contacts(cells: DataFrame, n: int, periodic: bool = False) -> DataFrame:
-    """(id_a, id_b): clusters with cells at a Manhattan distance of one. Columns cluster, x, y, z."""
+    """(id_a, id_b): clusters with cells at a Manhattan distance of one. Columns cluster, x, y, z.
+
+    Two sorted sides for the reason given in near_cell_pairs."""
     moved = neighbours(cells.select("cluster", "x", "y", "z"), 6, n, periodic).select(F.col("cluster").alias("id_a"), *(F.col(f"n{c}").alias(c) for c in "xyz"))
-    return moved.join(cells.select(F.col("cluster").alias("id_b"), "x", "y", "z"), ["x", "y", "z"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    return moved.join(cells.select(F.col("cluster").alias("id_b"), "x", "y", "z").hint("merge"), ["x", "y", "z"]).where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
 def _brick_parts(cells: pa.Table, n: int, edge: int) -> pa.Table:

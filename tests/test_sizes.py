@@ -45,6 +45,15 @@ def test_near_cells_of_all_filled_cells_do_not_go_through_the_driver_when_sizes_
     assert "isFinalPlan=true" in final and "Broadcast" not in final
 
 
+@pytest.mark.parametrize("name", ["cluster_contacts", "cluster_contacts_periodic"])
+def test_contacts_do_not_go_through_the_driver(spark, name):
+    contacts = entry.queries()[name](spark, SF)
+    assert "Broadcast" not in plan(contacts)
+    assert len(contacts.collect()) > 0
+    final = plan(contacts)
+    assert "isFinalPlan=true" in final and "Broadcast" not in final
+
+
 def test_sound_lines_are_read_once_and_in_bulk(spark):
     lines = spark.createDataFrame([("x", "ls=1/y")], "value string, path string")
     shown = plan(files.parse_loadsteps(lines))
